@@ -6,7 +6,9 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+HOME = str(Path(__file__).resolve().parents[1])
+sys.path.insert(0, HOME)
+os.environ["PYTHONPATH"] = f"{HOME}:{os.environ.get('PYTHONPATH', '')}"  # for Python workers
 os.environ.setdefault("TZ", "UTC")
 
 
