@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,7 +57,15 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Python workers import this package from where the driver has it, if they have it nowhere else."""
+    home, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if home not in known.get("PYTHONPATH", "").split(":"):
+        known["PYTHONPATH"] = f"{known['PYTHONPATH']}:{home}" if known.get("PYTHONPATH") else home
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reach_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

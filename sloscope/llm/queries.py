@@ -1,8 +1,8 @@
 """All queries of the subpackage and their DuckDB SQL."""
 
-from sloscope.llm import exact_dedup
+from sloscope.llm import bpe, exact_dedup, packing, simhash
 
-_MODULES = (exact_dedup,)
+_MODULES = (exact_dedup, simhash, packing, bpe)
 
 QUERIES = {name: run for module in _MODULES for name, run in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
