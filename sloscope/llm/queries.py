@@ -1,8 +1,8 @@
 """All queries of the subpackage and their DuckDB SQL."""
 
-from sloscope.llm import bpe, exact_dedup, packing, quality, simhash
+from sloscope.llm import bpe, exact_dedup, packing, pii, quality, simhash
 
-_MODULES = (exact_dedup, quality, simhash, packing, bpe)
+_MODULES = (exact_dedup, quality, simhash, packing, bpe, pii)
 
 QUERIES = {name: run for module in _MODULES for name, run in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
