@@ -31,8 +31,7 @@ def test_both_codecs_agree_with_the_libraries(text):
     (ids,) = pieces.encode([text])
     assert unpack(ids) == TIK.encode_ordinary(text)
     assert encoder.decode(ids) == text.encode()
-    (ids,) = packing.codec(packing.TOKENIZER).encode([text])
-    assert unpack(ids) == HF.encode(text, add_special_tokens=False).ids
+    assert unpack(packing.token_ids(text)) == HF.encode(text, add_special_tokens=False).ids
 
 
 def test_long_pieces_and_small_memo():
@@ -45,6 +44,13 @@ def test_long_pieces_and_small_memo():
         assert unpack(small.encode([text])[0]) == TIK.encode_ordinary(text)
 
 
+def test_every_kind_of_character():
+    encoder, pieces = bpe.codec(bpe.RANKS)
+    texts = [f"a{chr(c)}b {chr(c)} {chr(c)}{chr(c)}1 <|endoftext|>" for c in [*range(0x3100), *range(0x1F300, 0x1F700)] if not 0xD800 <= c <= 0xDFFF]
+    for text, ids, hf in zip(texts, pieces.encode(texts), HF.encode_batch(texts, add_special_tokens=False)):
+        assert hf.ids == TIK.encode_ordinary(text) == unpack(ids) == unpack(packing.token_ids(text))
+
+
 def test_encode_documents(awkward, nothing):
     got = bpe.encode_documents(awkward).collect()
     want = [(r["doc_id"], TIK.encode_ordinary(r["text"] or ""), (r["text"] or "").encode()) for r in awkward.collect()]
