@@ -1,8 +1,8 @@
 """All queries of the subpackage and their DuckDB SQL."""
 
-from sloscope.llm import bpe, exact_dedup, packing, pii, quality, simhash, suffix_dedup
+from sloscope.llm import bpe, exact_dedup, line_dedup, packing, pii, quality, simhash, suffix_dedup, url_filters
 
-_MODULES = (exact_dedup, suffix_dedup, quality, simhash, packing, bpe, pii)
+_MODULES = (exact_dedup, line_dedup, suffix_dedup, quality, simhash, url_filters, packing, bpe, pii)
 
 QUERIES = {name: run for module in _MODULES for name, run in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
