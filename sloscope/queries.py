@@ -1,4 +1,546 @@
-"""Registered queries of the observability engine and their DuckDB SQL."""
+"""Registered queries of the observability engine and their DuckDB SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+All run over the whole generic ``events`` table as inference events. Series are spelt
+out in the results, undefined ratios are null, and computed doubles are rounded.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sloscope.functions import scalars as S
+from sloscope.operators import anomaly, buckets, incident, sketches, slo, windows
+from sloscope.plans import dashboard
+from sloscope.scratch import shared_folder
+from sloscope.sources import config, events, simulate
+from sloscope.streaming import pipeline
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+EVENTS_SQL = """raw AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+ev AS (
+  SELECT event_id AS seq, epoch_us(ts) * 1000 AS ts_nanos, epoch_us(ts) // 60000000 AS minute,
+    'model-' || (user_id % 8) AS model, 'r' || (user_id % 3) AS region, 'v' || (1 + k // 50) AS version, value AS v,
+    CASE WHEN event_type = 'error' AND k < 60 THEN 'server_error' WHEN event_type = 'error' THEN 'timeout'
+         WHEN event_type = 'view' AND k < 25 THEN 'client_error' ELSE 'success' END AS status,
+    CAST(50 + 7 * k AS BIGINT) AS tokens_in, CAST(2 * k AS BIGINT) AS tokens_out, CAST(50 + 11 * k AS DOUBLE) * 0.000002::DOUBLE AS cost,
+    'inference{model=model-' || (user_id % 8) || '}' AS series,
+    'inference{model=model-' || (user_id % 8) || ',region=r' || (user_id % 3) || '}' AS regional
+  FROM raw),
+edge AS (SELECT max(minute) AS m FROM ev)"""
+
+
+def query(name: str, sql: str | None = None, recursive: bool = False):
+    """Registers a query and its SQL, which may refer to ``ev`` and ``edge``."""
+
+    def register(run: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = run
+        if sql is not None:
+            ORACLES[name] = f"WITH {'RECURSIVE ' if recursive else ''}{EVENTS_SQL}{', ' if sql.lstrip().startswith('--cte') else ' '}{sql.replace('--cte', '', 1)}"
+        return run
+
+    return register
+
+
+def load(spark: SparkSession, sf_dir: str, region: bool = False) -> DataFrame:
+    return events.from_event_table(spark.read.parquet(f"{sf_dir}/events.parquet"), region)
+
+
+def last_minute(rows: DataFrame) -> int | None:
+    """The one number that fixes the windows' right edge."""
+    return rows.agg(F.max(S.minute_of())).first()[0]
+
+
+def spelt(df: DataFrame) -> DataFrame:
+    return df.withColumn("series", S.series_text())
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+COUNTS = ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in S.STATUSES)
+OUTCOME = "count(*) AS total, count(*) FILTER (status = 'success') AS good, count(*) FILTER (status IN ('server_error', 'timeout')) AS server_failures"
+
+# --- buckets and series -------------------------------------------------------------------
+
+
+@query("status_counts", "SELECT status, count(*) AS n FROM ev GROUP BY status")
+def _(spark, d):
+    return load(spark, d).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("minute_buckets", f"SELECT series, minute, {COUNTS} FROM ev GROUP BY ALL")
+def _(spark, d):
+    return spelt(buckets.minute_buckets(load(spark, d)))
+
+
+@query("bucket_totals", f"SELECT series, count(DISTINCT minute) AS buckets, {OUTCOME} FROM ev GROUP BY series")
+def _(spark, d):
+    rows = buckets.with_totals(buckets.minute_buckets(load(spark, d)))
+    return spelt(rows.groupBy("series").agg(F.count("*").alias("buckets"), *[F.sum(c).alias(c) for c in ("total", "good", "server_failures")]))
+
+
+@query("series_keys", "SELECT regional AS series, count(*) AS n FROM ev GROUP BY ALL")
+def _(spark, d):
+    return spelt(buckets.with_series(load(spark, d, True)).groupBy("series").agg(F.count("*").alias("n")))
+
+
+@query("series_count", "SELECT count(DISTINCT regional) AS series FROM ev")
+def _(spark, d):
+    return buckets.with_series(load(spark, d, True)).agg(F.count_distinct("series").alias("series"))
+
+
+@query("retention_newest_n", "SELECT series, minute FROM (SELECT DISTINCT series, minute, dense_rank() OVER (PARTITION BY series ORDER BY minute DESC) AS k FROM ev) WHERE k <= 50")
+def _(spark, d):
+    return spelt(buckets.retain_newest(buckets.minute_buckets(load(spark, d)), 50).select("series", "minute"))
+
+
+@query(
+    "series_cap",
+    """--cte first AS (SELECT regional, min(seq) AS opened FROM ev GROUP BY 1), ok AS (SELECT regional FROM first ORDER BY opened LIMIT 10)
+    SELECT regional AS series, regional IN (SELECT regional FROM ok) AS accepted, count(*) AS n FROM ev GROUP BY ALL""",
+)
+def _(spark, d):
+    return spelt(buckets.with_admission(load(spark, d, True), 10).groupBy("series", "accepted").agg(F.count("*").alias("n")))
+
+
+@query("out_of_order", f"SELECT series, minute, {COUNTS} FROM ev GROUP BY ALL")
+def _(spark, d):
+    """Partials of events dealt against their order, merged."""
+    rows = load(spark, d)
+    late, early = rows.filter("arrival_seq % 3 = 0"), rows.filter("arrival_seq % 3 <> 0")
+    return spelt(buckets.merge_buckets(buckets.minute_buckets(late).union(buckets.minute_buckets(early))))
+
+
+@query("series_meta", "SELECT series, max(minute) AS last_minute, count(DISTINCT version) AS model_version_cardinality FROM ev GROUP BY series")
+def _(spark, d):
+    return spelt(buckets.series_meta(load(spark, d)))
+
+
+# --- windows ------------------------------------------------------------------------------
+
+
+def window_sql(minutes: int, q: float = 0.95, key: str = "series") -> str:
+    return f"""--cte known AS (SELECT {key} AS series, any_value(model) AS model, count(DISTINCT version) AS model_version_cardinality FROM ev GROUP BY 1),
+    inside AS (SELECT {key} AS series, {OUTCOME}, quantile_cont(v, {q}) AS lq FROM ev, edge WHERE minute BETWEEN m - {minutes} AND m GROUP BY 1)
+    SELECT known.series, model, coalesce(total, 0) AS total, coalesce(good, 0) AS good, coalesce(server_failures, 0) AS server_failures,
+      round(good::DOUBLE / total, 6) AS success_ratio, {q}::DOUBLE AS quantile, round(lq, 6) AS latency_quantile_ms, model_version_cardinality
+    FROM known LEFT JOIN inside USING (series)"""
+
+
+def _window(name: str, window: str, minutes: int, q: float = 0.95, region: bool = False) -> None:
+    @query(name, window_sql(minutes, q, "regional" if region else "series"))
+    def _(spark, d):
+        rows = load(spark, d, region)
+        return rounded(spelt(windows.window_query(rows, window, q, last_minute(rows))))
+
+
+_window("window_subminute", "30s", 0)
+_window("window_5m", "5m", 5)
+_window("window_1h", "1h", 60)
+_window("window_6h", "6h", 360)
+_window("window_1d", "1d", 1440, 0.99)
+_window("snapshot_all", "3d", 4320, 0.5, True)
+
+
+@query("model_fallback", window_sql(43200).replace("FROM ev GROUP BY 1)", "FROM ev WHERE regional = (SELECT min(regional) FROM ev WHERE model = 'model-3') GROUP BY 1)", 1).replace("series AS series, any_value", "regional AS series, any_value").replace("SELECT series AS series, count(*) AS total", "SELECT regional AS series, count(*) AS total"))
+def _(spark, d):
+    """Only labelled series bear the model's name: the first in key order answers."""
+    rows = load(spark, d, True)
+    return rounded(spelt(windows.model_query(rows, "model-3", "30d", 0.95, last_minute(rows))))
+
+
+@query("latency_quantiles", "SELECT series, count(v) AS n, min(v) AS min_ms, max(v) AS max_ms, " + ", ".join(f'round(quantile_cont(v, {q}), 6) AS "q{q:g}"' for q in (0.5, 0.95, 0.99)) + " FROM ev GROUP BY series")
+def _(spark, d):
+    out = spelt(windows.latency_summary(load(spark, d), [0.5, 0.95, 0.99]))
+    return out.select("series", "n", "min_ms", "max_ms", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in ("q0.5", "q0.95", "q0.99")])
+
+
+@query("latency_above_100", "SELECT series, count(*) AS total, count(*) FILTER (v > 100) AS count_above FROM ev, edge WHERE minute BETWEEN m - 1440 AND m GROUP BY series")
+def _(spark, d):
+    rows = load(spark, d)
+    return spelt(windows.latency_above(rows, "1d", 100.0, last_minute(rows)))
+
+
+@query("latency_cdf", "SELECT series, x::DOUBLE AS x, round(avg((v <= x)::INTEGER), 6) AS cdf FROM ev, (VALUES (20), (50), (100), (200), (1000)) AS p(x) GROUP BY ALL")
+def _(spark, d):
+    return rounded(spelt(windows.latency_cdf(load(spark, d), [20, 50, 100, 200, 1000])))
+
+
+@query("version_cardinality_exact", "SELECT series, count(DISTINCT version) AS versions FROM ev GROUP BY series")
+def _(spark, d):
+    return spelt(buckets.series_meta(load(spark, d)).select("series", F.col("model_version_cardinality").alias("versions")))
+
+
+_ROLL = "RANGE BETWEEN 60 PRECEDING AND CURRENT ROW"
+
+
+@query(
+    "rolling_totals",
+    f"""--cte b AS (SELECT series, minute, {OUTCOME} FROM ev GROUP BY ALL)
+    SELECT series, minute, CAST(sum(total) OVER w AS BIGINT) AS total, CAST(sum(good) OVER w AS BIGINT) AS good, CAST(sum(server_failures) OVER w AS BIGINT) AS server_failures
+    FROM b WINDOW w AS (PARTITION BY series ORDER BY minute {_ROLL})""",
+)
+def _(spark, d):
+    return spelt(windows.rolling_totals(buckets.minute_buckets(load(spark, d)), "1h"))
+
+
+@query("bucket_window_6h", f"SELECT series, {OUTCOME}, round(count(*) FILTER (status = 'success')::DOUBLE / count(*), 6) AS success_ratio FROM ev, edge WHERE minute BETWEEN m - 360 AND m GROUP BY series")
+def _(spark, d):
+    rows = load(spark, d)
+    return rounded(spelt(windows.bucket_window(buckets.minute_buckets(rows), "6h", last_minute(rows))))
+
+
+def _tumbling(name: str, size: str, slide: str, minutes: int, steps: int) -> None:
+    @query(
+        name,
+        f"""SELECT (minute // {minutes // steps} - s) * {minutes // steps} AS start_minute, model, {OUTCOME}
+        FROM ev, range({steps}) AS r(s) GROUP BY ALL""",
+    )
+    def _(spark, d):
+        out = pipeline.windowed_counts(load(spark, d), size, slide)
+        return out.select((F.unix_seconds("window.start") / 60).cast("long").alias("start_minute"), "model", "total", "good", "server_failures")
+
+
+_tumbling("windowed_tumbling", "1 hour", "1 hour", 60, 1)
+_tumbling("windowed_sliding", "1 hour", "20 minutes", 60, 3)
+
+# --- objectives ---------------------------------------------------------------------------
+
+
+def objectives(spark: SparkSession, kind: str = "availability") -> DataFrame:
+    models = [f"model-{k}" for k in range(8)]
+    made = {
+        "availability": [config.Slo(f"avail-{m}", m, 0.9, "30d") for m in models],
+        "latency": [config.Slo(f"slow-{m}", m, 0.8, "7d", "latency_threshold", 120.0, 0.95) for m in models],
+        "missing": [config.Slo("avail-model-0", "model-0", 0.9, "30d"), config.Slo("gone", "no-such-model", 0.99, "7d"), config.Slo("gone-slow", "no-such-model", 0.99, "7d", "latency_threshold", 1.0, 0.95)],
+        "one": [config.Slo("strict-model-1", "model-1", 1.0, "30d")],
+    }
+    return config.slo_table(spark, made[kind])
+
+
+def slo_sql(kind: str) -> str:
+    """CTEs slos(slo, model, objective, wmin, latency) and s(slo, minute, total, bad), sums(slo, objective, t<w>, b<w>)."""
+    table = {
+        "availability": "SELECT 'avail-model-' || i AS slo, 'model-' || i AS model, 0.9::DOUBLE AS objective, 43200 AS wmin, false AS slow, 0.0::DOUBLE AS ms FROM range(8) r(i)",
+        "latency": "SELECT 'slow-model-' || i AS slo, 'model-' || i AS model, 0.8::DOUBLE AS objective, 10080 AS wmin, true AS slow, 120.0::DOUBLE AS ms FROM range(8) r(i)",
+        "missing": "SELECT * FROM (VALUES ('avail-model-0', 'model-0', 0.9::DOUBLE, 43200, false, 0.0::DOUBLE), ('gone', 'no-such-model', 0.99::DOUBLE, 10080, false, 0.0::DOUBLE), ('gone-slow', 'no-such-model', 0.99::DOUBLE, 10080, true, 1.0::DOUBLE)) x(slo, model, objective, wmin, slow, ms)",
+        "one": "SELECT 'strict-model-1' AS slo, 'model-1' AS model, 1.0::DOUBLE AS objective, 43200 AS wmin, false AS slow, 0.0::DOUBLE AS ms",
+    }[kind]
+    sums = ", ".join(f"coalesce(sum(total) FILTER (minute BETWEEN m - {w} AND m), 0)::BIGINT AS t{n}, coalesce(sum(bad) FILTER (minute BETWEEN m - {w} AND m), 0)::BIGINT AS b{n}" for n, w in _WINDOWS)
+    return f"""--cte slos AS ({table}),
+    s AS (SELECT slo, minute, count(*) AS total, count(*) FILTER (CASE WHEN slow THEN v > ms ELSE status <> 'success' END) AS bad FROM ev JOIN slos USING (model) GROUP BY ALL),
+    sums AS (SELECT slos.slo, any_value(objective) AS objective, {sums} FROM slos LEFT JOIN s USING (slo), edge GROUP BY slos.slo)"""
+
+
+_WINDOWS = [*((str(w), str(w)) for w in (5, 30, 60, 360, 4320)), ("full", "wmin")]
+
+
+def burn_sql(n: str) -> str:
+    return f"(CASE WHEN t{n} = 0 THEN 0.0 WHEN 1 - objective <= 0 THEN CASE WHEN b{n} > 0 THEN 'Infinity'::DOUBLE ELSE 0.0 END ELSE (b{n}::DOUBLE / t{n}) / (1.0::DOUBLE - objective) END)::DOUBLE"
+
+
+def _allow(n: str) -> str:
+    return f"t{n}::DOUBLE * (1.0::DOUBLE - objective)"
+
+
+def consumed_sql(n: str) -> str:
+    return f"(CASE WHEN {_allow(n)} <= 0 THEN 0.0 ELSE b{n}::DOUBLE / ({_allow(n)}) END)"
+
+
+TIERS_SQL = "(VALUES " + ", ".join(f"({n}, '{label}', '{severity}', {rate}::DOUBLE, {a}, {b})" for n, rate, a, b, severity, label in slo.DEFAULT_TIERS) + ") AS tiers(tier_no, tier_label, severity, rate, lw, sw)"
+
+
+def _pick(prefix: str, column: str) -> str:
+    return "CASE " + column + " " + " ".join(f"WHEN {w} THEN {prefix(str(w)) if callable(prefix) else prefix + str(w)}" for w in (5, 30, 60, 360, 4320)) + " END"
+
+
+ALERTS_SQL = f"""fired AS (SELECT slo, tier_no, tier_label, severity, {_pick(burn_sql, "lw")} AS long_burn_rate, {_pick(burn_sql, "sw")} AS short_burn_rate,
+    {_pick("t", "lw")} AS long_total, {_pick("t", "sw")} AS short_total, rate FROM sums, {TIERS_SQL}),
+    alerts AS (SELECT * EXCLUDE (rate) FROM fired WHERE long_burn_rate >= rate AND short_burn_rate >= rate)"""
+
+
+def _evaluated(spark: SparkSession, d: str, kind: str) -> tuple[DataFrame, DataFrame, int | None]:
+    rows = load(spark, d)
+    return rows, objectives(spark, kind), last_minute(rows)
+
+
+@query("burn_rates", slo_sql("availability") + " SELECT slo, w::BIGINT AS window_minutes, " + f"round({_pick(burn_sql, 'w')}, 6) AS burn_rate, {_pick('t', 'w')} AS total, {_pick('b', 'w')} AS bad FROM sums, (VALUES (5), (30), (60), (360), (4320)) x(w)")
+def _(spark, d):
+    sums = slo.budgets(*_evaluated(spark, d, "availability")[:2], as_of_minute=last_minute(load(spark, d)))
+    one = lambda w: F.struct(F.lit(w).cast("long").alias("window_minutes"), S.burn_rate(F.col(f"total_{w}"), F.col(f"bad_{w}"), F.col("objective")).alias("burn_rate"), F.col(f"total_{w}").alias("total"), F.col(f"bad_{w}").alias("bad"))
+    return rounded(sums.select("slo", F.inline(F.array(*map(one, (5, 30, 60, 360, 4320))))))
+
+
+@query("error_budget", slo_sql("availability") + f" SELECT slo, tfull AS total, bfull AS bad, round({_allow('full')}, 6) AS allowance, round({consumed_sql('full')}, 6) AS consumed, round(1 - {consumed_sql('full')}, 6) AS remaining FROM sums")
+def _(spark, d):
+    rows, slos, at = _evaluated(spark, d, "availability")
+    sums = slo.budgets(rows, slos, as_of_minute=at)
+    t, b, o = F.col("total_full"), F.col("bad_full"), F.col("objective")
+    return rounded(sums.select("slo", t.alias("total"), b.alias("bad"), S.budget_allowance(t, o).alias("allowance"), S.budget_consumed(t, b, o).alias("consumed"), S.budget_remaining(t, b, o).alias("remaining")))
+
+
+@query("slo_alerts", slo_sql("availability") + f", {ALERTS_SQL} SELECT slo, tier_no, tier_label, severity, round(long_burn_rate, 6) AS long_burn_rate, round(short_burn_rate, 6) AS short_burn_rate, long_total, short_total FROM alerts")
+def _(spark, d):
+    rows, slos, at = _evaluated(spark, d, "availability")
+    return rounded(slo.flat_alerts(slo.budgets(rows, slos, as_of_minute=at)))
+
+
+def _evaluation(name: str, kind: str) -> None:
+    @query(
+        name,
+        slo_sql(kind) + f""", {ALERTS_SQL}, n AS (SELECT slo, count(*) AS alerts, string_agg(tier_label, ',' ORDER BY tier_no) AS tiers FROM alerts GROUP BY slo)
+        SELECT slo, objective, round({burn_sql("60")}, 6) AS burn_rate_1h, round({burn_sql("full")}, 6) AS burn_rate_full_window, round(1 - {consumed_sql("full")}, 6) AS budget_remaining,
+          coalesce(alerts, 0) AS alerts, coalesce(tiers, '') AS tiers FROM sums LEFT JOIN n USING (slo)""",
+    )
+    def _(spark, d):
+        rows, slos, at = _evaluated(spark, d, kind)
+        out = slo.evaluate(rows, slos, as_of_minute=at)
+        return rounded(out.withColumns({"tiers": F.array_join(F.col("alerts.tier_label"), ","), "alerts": F.size("alerts").cast("long")}))
+
+
+_evaluation("slo_evaluation", "availability")
+_evaluation("latency_slo", "latency")
+_evaluation("missing_model_slo", "missing")
+_evaluation("objective_one", "one")
+
+
+@query("fired_count", slo_sql("availability") + f", {ALERTS_SQL} SELECT count(*) AS fired FROM alerts")
+def _(spark, d):
+    rows, slos, at = _evaluated(spark, d, "availability")
+    return slo.fired_count(slo.evaluate(rows, slos, as_of_minute=at))
+
+
+_STEP = 360
+_FRAMES = ", ".join(f"coalesce(sum(total) OVER w{w}, 0)::BIGINT AS t{w}, coalesce(sum(bad) OVER w{w}, 0)::BIGINT AS b{w}" for w in (5, 30, 60, 360, 4320))
+_NAMED = ", ".join(f"w{w} AS (PARTITION BY slo ORDER BY minute RANGE BETWEEN {w} PRECEDING AND CURRENT ROW)" for w in (5, 30, 60, 360, 4320))
+
+
+@query(
+    "slo_timeline",
+    slo_sql("availability") + f""", ends AS (SELECT slo, (min(minute) + {_STEP - 1}) // {_STEP} AS a, (max(minute) + {_STEP - 1}) // {_STEP} AS b FROM s GROUP BY slo),
+    spine AS (SELECT slo, unnest(range(a, b + 1)) * {_STEP} AS minute FROM ends),
+    both_ AS (SELECT slo, minute, total, bad, false AS spine FROM s UNION ALL SELECT slo, minute, 0, 0, true FROM spine),
+    rolled AS (SELECT slo, minute, spine, 0.9::DOUBLE AS objective, {_FRAMES} FROM both_ WINDOW {_NAMED}),
+    each_ AS (SELECT slo, minute, tier_no, tier_label, rate, {_pick(burn_sql, "lw")} AS l, {_pick(burn_sql, "sw")} AS s FROM rolled, {TIERS_SQL} WHERE spine)
+    SELECT slo, minute, tier_no, tier_label, round(l, 6) AS long_burn_rate, round(s, 6) AS short_burn_rate, l >= rate AND s >= rate AS fires FROM each_""",
+)
+def _(spark, d):
+    return rounded(slo.timeline(load(spark, d), objectives(spark), step=_STEP))
+
+
+# --- detectors ----------------------------------------------------------------------------
+
+Z_SQL = """--cte o AS (SELECT model, seq, ts_nanos, v, row_number() OVER (PARTITION BY model ORDER BY seq) AS rn FROM ev),
+    z AS (SELECT model, seq, ts_nanos, v, rn, v AS mean, 0.0::DOUBLE AS variance, NULL::DOUBLE AS z FROM o WHERE rn = 1
+      UNION ALL SELECT o.model, o.seq, o.ts_nanos, o.v, o.rn, z.mean + 0.05::DOUBLE * (o.v - z.mean),
+        (1 - 0.05::DOUBLE) * (z.variance + (o.v - z.mean) * (0.05::DOUBLE * (o.v - z.mean))),
+        CASE WHEN z.rn >= 2 AND sqrt(z.variance) > 2.220446049250313e-16 THEN (o.v - z.mean) / sqrt(z.variance) END
+      FROM z JOIN o ON o.model = z.model AND o.rn = z.rn + 1)"""
+SEVERITY_SQL = "CASE WHEN abs(z) >= 6 THEN 'critical' WHEN abs(z) >= 4 THEN 'warning' ELSE 'info' END"
+FOUND_SQL = f"""found AS (SELECT seq AS arrival_seq, ts_nanos, model, 'avail-' || model AS detector_id, 'zscore' AS source, v AS value, round(z, 6) AS score, {SEVERITY_SQL} AS severity FROM z WHERE rn >= 60 AND abs(z) >= 4)"""
+LIMITS_SQL = """limits AS (SELECT seq AS arrival_seq, ts_nanos, model, id AS detector_id, 'threshold' AS source, v AS value, round(abs(v - ms), 6) AS score, severity
+    FROM ev JOIN (VALUES ('high-0', 'model-0', 300.0::DOUBLE, true, 'critical'), ('high-1', 'model-1', 200.0::DOUBLE, true, 'warning'), ('low-1', 'model-1', 1.0::DOUBLE, false, 'info')) l(id, model, ms, above, severity)
+    USING (model) WHERE CASE WHEN above THEN v > ms ELSE v < ms END)"""
+
+
+def _limits() -> list[tuple]:
+    return [anomaly.threshold_detector("high-0", "model-0", 300.0, "above", "critical"), anomaly.threshold_detector("high-1", "model-1", 200.0, "above", "warning"), anomaly.threshold_detector("low-1", "model-1", 1.0, "below", "info")]
+
+
+@query("zscore_states", Z_SQL + " SELECT model, 'avail-' || model AS detector_id, seq AS arrival_seq, rn AS n, round(mean, 6) AS mean, round(variance, 6) AS variance, round(z, 6) AS z FROM z", recursive=True)
+def _(spark, d):
+    return rounded(anomaly.zscore_states(load(spark, d), anomaly.detectors_for(objectives(spark))))
+
+
+@query("zscore_anomalies", Z_SQL + f", {FOUND_SQL} SELECT * FROM found", recursive=True)
+def _(spark, d):
+    return rounded(anomaly.zscore_anomalies(load(spark, d), anomaly.detectors_for(objectives(spark))))
+
+
+@query("threshold_anomalies", f"--cte {LIMITS_SQL} SELECT * FROM limits")
+def _(spark, d):
+    return rounded(anomaly.threshold_anomalies(load(spark, d), anomaly.detector_table(spark, _limits())))
+
+
+@query("detector_registry", Z_SQL + f", {FOUND_SQL}, {LIMITS_SQL} SELECT * FROM found UNION ALL SELECT * FROM limits", recursive=True)
+def _(spark, d):
+    known = anomaly.detectors_for(objectives(spark)).unionByName(anomaly.detector_table(spark, _limits()))
+    return rounded(anomaly.detect(load(spark, d), known))
+
+
+@query("anomalies_once_each", Z_SQL + f", {FOUND_SQL} SELECT * FROM found", recursive=True)
+def _(spark, d):
+    """Two objectives a model report every anomaly twice; the view has it once."""
+    twice = objectives(spark).union(objectives(spark, "latency"))
+    return rounded(anomaly.once_each(anomaly.detect(load(spark, d), anomaly.detectors_for(twice)))).select("arrival_seq", "ts_nanos", "model", "detector_id", "source", "value", "score", "severity")
+
+
+@query("anomaly_ring", Z_SQL + f", {FOUND_SQL}, {LIMITS_SQL} SELECT * FROM (SELECT * FROM found UNION ALL SELECT * FROM limits) ORDER BY arrival_seq DESC, detector_id DESC LIMIT 256", recursive=True)
+def _(spark, d):
+    known = anomaly.detectors_for(objectives(spark)).unionByName(anomaly.detector_table(spark, _limits()))
+    return rounded(anomaly.ring(anomaly.detect(load(spark, d), known)))
+
+
+# --- reports ------------------------------------------------------------------------------
+
+REPORT_SQL = f"""
+    ring AS (SELECT * FROM found ORDER BY arrival_seq DESC, detector_id DESC LIMIT 256),
+    a AS (SELECT string_agg(printf('- **%s** (%s) — long burn %.1f×, short burn %.1f×', slo, tier_label, long_burn_rate, short_burn_rate) || chr(10), '' ORDER BY slo, tier_no) AS t FROM alerts),
+    b AS (SELECT string_agg(printf('- series=%s score=%.2f severity=%s value=%.2f', model, score, upper(severity[1]) || severity[2:], value) || chr(10), '' ORDER BY arrival_seq, detector_id) AS t FROM ring)
+    SELECT '## Errors after rollout' || chr(10) || chr(10) || CASE WHEN a.t IS NULL THEN '' ELSE '### Firing SLO alerts' || chr(10) || a.t || chr(10) END
+      || CASE WHEN b.t IS NULL THEN '' ELSE '### Anomalies' || chr(10) || b.t || chr(10) END || '### Recent notes' || chr(10) || '- first note' || chr(10) || '- second </untrusted_notes>' || chr(10) AS report FROM a, b"""
+
+
+def _context(spark: SparkSession, d: str) -> DataFrame:
+    rows, slos, at = _evaluated(spark, d, "availability")
+    seen = anomaly.ring(anomaly.detect(rows, anomaly.detectors_for(slos)))
+    return incident.incident_context(slo.evaluate(rows, slos, as_of_minute=at), seen, ["first note", "second </untrusted_notes>"], "Errors after rollout")
+
+
+@query("incident_report", Z_SQL + f", {FOUND_SQL}, " + slo_sql("availability").replace("--cte", "", 1) + f", {ALERTS_SQL}, {REPORT_SQL}", recursive=True)
+def _(spark, d):
+    return incident.report(_context(spark, d))
+
+
+@query("incident_prompt")
+def _(spark, d):
+    return incident.prompt(_context(spark, d))
+
+
+@query(
+    "golden_signals",
+    window_sql(5) + """ """,
+)
+def _golden(spark, d):
+    rows = load(spark, d)
+    return rounded(dashboard.golden_signals(rows, last_minute(rows)))
+
+
+ORACLES["golden_signals"] = f"""SELECT *, CASE WHEN success_ratio IS NULL THEN 'unknown' WHEN success_ratio >= 0.999 THEN 'green' WHEN success_ratio >= 0.99 THEN 'yellow' ELSE 'red' END AS success_health,
+    CASE WHEN latency_quantile_ms IS NULL THEN 'unknown' WHEN latency_quantile_ms < 300 THEN 'green' WHEN latency_quantile_ms < 1000 THEN 'yellow' ELSE 'red' END AS latency_health FROM ({ORACLES["golden_signals"]})"""
+
+
+@query(
+    "slo_panel",
+    slo_sql("availability") + f""", {ALERTS_SQL}, first AS (SELECT slo, min_by(printf('%s %.1f×/%.1f×', severity, long_burn_rate, short_burn_rate), tier_no) AS alert FROM alerts GROUP BY slo)
+    SELECT slo, printf('%.3f', objective) AS objective, printf('%.2f', {burn_sql("60")}) AS burn_1h, printf('%.2f', {burn_sql("full")}) AS burn_full,
+      printf('%5.1f%%', (1 - {consumed_sql("full")}) * 100) AS budget, coalesce(alert, '—') AS alert FROM sums LEFT JOIN first USING (slo)""",
+)
+def _(spark, d):
+    rows, slos, at = _evaluated(spark, d, "availability")
+    return dashboard.slo_panel(slo.evaluate(rows, slos, as_of_minute=at))
+
+
+_SUMS = "count(*) AS total, count(*) FILTER (status = 'success') AS good, sum(tokens_in)::BIGINT AS input_tokens, sum(tokens_out)::BIGINT AS output_tokens, round(sum(cost), 6) AS cost_usd"
+
+
+@query("model_rollup", f"SELECT model, region, grouping(model, region)::BIGINT AS level, {_SUMS} FROM ev GROUP BY ROLLUP (model, region)")
+def _(spark, d):
+    return rounded(dashboard.model_rollup(load(spark, d, True)))
+
+
+# --- scalars and ingest -------------------------------------------------------------------
+
+DURATIONS = ("30s", "5m", "6h", "3d", "  1h ", "", "5", "h", "5x", "-5m", "1.5h", "5 m", "+7m", "0s", "99999999999999999999d")
+
+
+@query(
+    "duration_parse",
+    "SELECT t AS text, TRY_CAST(nullif(regexp_extract(trim(t), '^\\+?([0-9]+)[smhd]$', 1), '') AS BIGINT) * CASE right(trim(t), 1) WHEN 's' THEN 1 WHEN 'm' THEN 60 WHEN 'h' THEN 3600 WHEN 'd' THEN 86400 END * 1000000000 AS nanos FROM (VALUES "
+    + ", ".join(f"('{t}')" for t in DURATIONS) + ") x(t)",
+)
+def _(spark, d):
+    rows = spark.sql("VALUES " + ", ".join(f"('{t}')" for t in DURATIONS)).toDF("text")
+    return rows.select("text", S.duration_nanos("text").alias("nanos"))
+
+
+@query(
+    "time_arithmetic",
+    """SELECT seq AS arrival_seq, minute, ts_nanos - ts_nanos % 300000000000 AS five_minutes, ts_nanos // 1000000 AS millis, ts_nanos // 1000000000 AS seconds,
+    (ts_nanos // 1000000) * 1000000 AS back, greatest(0, seq - 500) AS below FROM ev""",
+)
+def _(spark, d):
+    rows = load(spark, d).withColumns({"millis": S.nanos_to_millis("ts_nanos"), "five": F.lit(500).cast("long")})
+    return rows.select("arrival_seq", S.minute_of().alias("minute"), S.bucket_start("ts_nanos", 300_000_000_000).alias("five_minutes"), "millis", S.nanos_to_seconds("ts_nanos").alias("seconds"), S.millis_to_nanos("millis").alias("back"), S.saturating_sub("arrival_seq", "five").alias("below"))
+
+
+@query("json_ingest", "SELECT seq AS arrival_seq, ts_nanos, model, version AS model_version, v AS latency_ms, status, tokens_in AS input_tokens, tokens_out AS output_tokens, round(cost, 9) AS cost_usd, region FROM ev")
+def _(spark, d):
+    """Events written as JSON messages and read back, with a few messages that are none."""
+    wire = events.to_wire(load(spark, d, True))
+    bad = spark.sql("""VALUES (-1L, '{'), (-2L, '{"model": "m"}'), (-3L, '{"timestamp": 1, "model": "m", "model_version": "v", "latency_ms": 1.0, "status": "odd"}')""").toDF("arrival_seq", "value")
+    back = events.parse_events(wire.union(bad))
+    return back.select("arrival_seq", "ts_nanos", "model", "model_version", "latency_ms", "status", "input_tokens", "output_tokens", F.round("cost_usd", 9).alias("cost_usd"), F.try_element_at("metadata", F.lit("region")).alias("region"))
+
+
+def _batched(rows: DataFrame, size: int) -> DataFrame:
+    """JSON arrays of ``size`` events; a bounded group by construction."""
+    wire = events.to_wire(rows).withColumn("batch", F.expr(f"arrival_seq div {size}"))
+    held = wire.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("arrival_seq", "value"))).alias("x"))
+    return held.select(F.col("batch").alias("arrival_seq"), F.concat(F.lit("["), F.array_join(F.col("x.value"), ","), F.lit("]")).alias("value"))
+
+
+@query("batch_ingest", "SELECT seq // 100 AS batch_seq, (seq % 100)::INTEGER AS place, model, status FROM ev")
+def _(spark, d):
+    found = events.parse_batches(_batched(load(spark, d), 100))
+    return found.select("arrival_seq.batch_seq", "arrival_seq.place", "model", "status")
+
+
+@query("batch_reply", "SELECT seq // 1200 AS arrival_seq, CASE WHEN count(*) > 1000 THEN 413 ELSE 202 END AS http_status, CASE WHEN count(*) > 1000 THEN 0 ELSE count(*) END AS ingested FROM ev GROUP BY 1")
+def _(spark, d):
+    return events.batch_reply(_batched(load(spark, d), 1200)).select("arrival_seq", "http_status", "ingested")
+
+
+# --- sketches, streams, simulation --------------------------------------------------------
+
+
+@query("latency_kll")
+def _(spark, d):
+    rows = load(spark, d)
+    return spelt(sketches.sketch_window(buckets.minute_buckets(rows, sketches=True), "30d", 0.95, last_minute(rows)))
+
+
+@query("version_hll")
+def _(spark, d):
+    rows = load(spark, d)
+    return spelt(sketches.windowed_versions(buckets.minute_buckets(rows, sketches=True), "1d", last_minute(rows)))
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    return events.from_event_table(spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]"))
+
+
+@query("stream_buckets", f"SELECT series, minute, {COUNTS} FROM ev GROUP BY ALL")
+def _(spark, d):
+    """Ingested by a stream and merged from its micro-batches' partials."""
+    folder, checkpoint = shared_folder(spark, "stream-buckets"), shared_folder(spark, "stream-checkpoint")
+    rows = _stream(spark, d)
+    pipeline.ingest(rows, folder, checkpoint).awaitTermination()
+    return spelt(pipeline.read_buckets(spark, folder).select("series", "minute", *buckets.COUNTERS))
+
+
+@query("stream_anomalies", Z_SQL + f", {FOUND_SQL} SELECT * FROM found", recursive=True)
+def _(spark, d):
+    found, checkpoint = shared_folder(spark, "stream-anomalies"), shared_folder(spark, "stream-checkpoint")
+    out = pipeline.detect_stream(_stream(spark, d), anomaly.detectors_for(objectives(spark)))
+    out.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(found).awaitTermination()
+    return rounded(spark.read.schema(out.schema).parquet(found))
+
+
+def _simulated(scenario: str) -> None:
+    @query(f"simulate_{scenario.replace('-', '_')}")
+    def _(spark, d):
+        made = simulate.simulate(spark, 2000, 60, scenario=scenario, seed=7, partitions=4)
+        tenth = F.expr("(ts_nanos div 6000000000L)").alias("tenth")
+        return rounded(made.groupBy(tenth, "model_version").agg(F.count("*").alias("n"), F.avg((~S.is_good()).cast("double")).alias("failures"), F.percentile("latency_ms", F.lit(0.5)).alias("median_ms"), F.percentile("latency_ms", F.lit(0.99)).alias("p99_ms")))
+
+
+for _scenario in simulate.SCENARIOS:
+    _simulated(_scenario)
