@@ -42,6 +42,8 @@ VALUE = r"([^\x00-\x20\x22'<>|,;]+)$"
 SECRET = r"^(?:[0-9a-fA-F]{32,}|(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9_+/=-]{24,})$"
 
 ROUNDS, SEEDS, CONFIDENCE = 3, 3, 0.7
+#: Rows and spans (some 50 bytes each) that may be broadcast; beyond it rows are shuffled to their spans.
+BROADCAST_SPANS = 300_000
 
 
 def matches(text: str, pattern: str) -> str:
@@ -63,6 +65,7 @@ _LUHN = """aggregate(sequence(1, length(d)), 0, (a, i) -> a + CASE WHEN i % 2 =
     ELSE int(substr(d, length(d) + 1 - i, 1)) * 2 - if(substr(d, length(d) + 1 - i, 1) >= '5', 9, 0) END) % 10 = 0"""
 
 _NO_MATCH = "CAST(array() AS array<struct<s: bigint, m: string>>)"
+_NO_SPAN = "CAST(array() AS array<struct<s: bigint, e: bigint>>)"
 
 
 def fixed_spans(text: str) -> dict[str, Column]:
@@ -81,9 +84,14 @@ def fixed_spans(text: str) -> dict[str, Column]:
     }
 
 
-def _scanned(docs: DataFrame, *carried: str) -> DataFrame:
-    """One row per document: its fixed spans by kind, and its labelled values (label, s, value)."""
-    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), *carried, text_or_empty().alias("_text"))
+def row_key() -> list[Column]:
+    """A row's id (the least long if null) and its text's hash: rows that agree in both have the same spans."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_did"), F.xxhash64(text_or_empty()).alias("_th")]
+
+
+def _scanned(docs: DataFrame) -> DataFrame:
+    """For each key of rows that have any: the fixed spans by kind, and the labelled values (pattern, s, value)."""
+    rows = docs.select(*row_key(), text_or_empty().alias("_text"))
     labelled = F.expr(f"if(_text RLIKE '[:=]', {matches('_text', LABELLED)}, {_NO_MATCH})")
     value = f"regexp_replace(regexp_extract(x.m, '{_quoted(VALUE)}', 1), '[^\\\\p{{L}}0-9]+$', '')"
     tidy = F.expr(
@@ -91,9 +99,10 @@ def _scanned(docs: DataFrame, *carried: str) -> DataFrame:
             concat(lower(regexp_extract(x.m, '{_quoted(LABEL)}', 1)), regexp_extract(x.m, '{_quoted(LABEL)}', 2)) AS pattern,
             x.s + length(x.m) - length(regexp_extract(x.m, '{_quoted(VALUE)}', 1)) AS s, {value} AS value))"""
     )
-    rows = rows.select("*", *(e.alias(f"_{k}") for k, e in fixed_spans("_text").items()), labelled.alias("_labelled"))
+    rows = rows.select("_did", "_th", *(e.alias(f"_{k}") for k, e in fixed_spans("_text").items()), labelled.alias("_labelled"))
     bounds = [F.transform(f"_{k}", lambda x: F.struct(x["s"].alias("s"), (x["s"] + F.length(x["m"])).alias("e"))).alias(f"_{k}") for k in KINDS]
-    return rows.select("_rid", *carried, "_text", *bounds, tidy.alias("_labelled"))
+    rows = rows.select("_did", "_th", *bounds, tidy.alias("_labelled"))
+    return rows.filter(sum((F.size(f"_{k}") for k in (*KINDS, "labelled")), F.lit(0)) > 0)
 
 
 def _is_seed(value: str) -> str:
@@ -114,17 +123,30 @@ def trusted_patterns(occurrences: DataFrame, rounds: int = ROUNDS, seeds: int =
     return patterns.filter((F.col("seeds") >= seeds) & (F.col("confidence") >= confidence)).select("pattern")
 
 
-def found_spans(docs: DataFrame, *carried: str) -> DataFrame:
-    """_rid, the carried columns, _text, spans by fixed kind and ``_id``: each array<struct<s, e>> in order."""
-    scanned = stash(_scanned(docs, *carried), "pii-scanned")
-    seen = scanned.filter(F.size("_labelled") > 0).select("_rid", F.flatten(F.array(*(f"_{k}" for k in KINDS))).alias("fixed"), F.explode("_labelled").alias("x"))
-    seen = seen.select("_rid", "fixed", "x.*").filter("length(value) >= 6")
-    trusted = trusted_patterns(seen.select("pattern", "value"))
-    found = seen.join(trusted, "pattern").filter("value RLIKE '[0-9]'").withColumn("e", F.col("s") + F.length("value"))
+def _spans_by_key(docs: DataFrame) -> DataFrame:
+    """One row for each key with any span: array<struct<s, e>> in order for each kind of FOUND."""
+    scanned = stash(_scanned(docs), "pii-scanned")
+    labelled = scanned.filter(F.size("_labelled") > 0)
+    trusted = trusted_patterns(labelled.select(F.explode("_labelled").alias("x")).select("x.pattern", "x.value").filter("length(value) >= 6"))
+    # rows of one key are alike, so any of them speaks for it
+    spans = scanned.groupBy("_did", "_th").agg(F.first(F.struct(*(f"_{k}" for k in KINDS), "_labelled")).alias("x")).select("_did", "_th", "x.*")
+    seen = spans.filter(F.size("_labelled") > 0).select("_did", "_th", F.flatten(F.array(*(f"_{k}" for k in KINDS))).alias("fixed"), F.explode("_labelled").alias("x"))
+    found = seen.select("_did", "_th", "fixed", "x.*").filter("length(value) >= 6 AND value RLIKE '[0-9]'").join(trusted, "pattern").withColumn("e", F.col("s") + F.length("value"))
     found = found.filter(~F.exists("fixed", lambda f: (f["s"] < F.col("e")) & (F.col("s") < f["e"])))
-    ids = found.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_id"))
-    none = F.expr("CAST(array() AS array<struct<s: bigint, e: bigint>>)")
-    return scanned.join(ids, "_rid", "left").withColumn("_id", F.coalesce("_id", none)).drop("_labelled")
+    ids = found.groupBy("_did", "_th").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_id"))
+    spans = spans.drop("_labelled").join(ids, ["_did", "_th"], "left").withColumn("_id", F.coalesce("_id", F.expr(_NO_SPAN)))
+    return stash(spans.filter(sum((F.size(f"_{k}") for k in FOUND), F.lit(0)) > 0), "pii-spans")
+
+
+def found_spans(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_email`` to ``_id``: array<struct<s, e>> in order for each kind of FOUND."""
+    spans = _spans_by_key(docs)
+    held = spans.agg(F.count("*") + F.coalesce(F.sum(sum((F.size(f"_{k}") for k in FOUND), F.lit(0))), F.lit(0))).first()[0]
+    if held <= BROADCAST_SPANS:
+        spans = F.broadcast(spans)
+    rows = docs.select("*", *row_key()).join(spans, ["_did", "_th"], "left")
+    none = F.expr(_NO_SPAN)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], *(F.coalesce(f"_{k}", none).alias(f"_{k}") for k in FOUND))
 
 
 def spelled(kinds: tuple[str, ...]) -> Column:
@@ -137,7 +159,7 @@ def spelled(kinds: tuple[str, ...]) -> Column:
 
 
 def redacted() -> Column:
-    """``_text`` with each stretch of overlapping spans replaced by its first span's kind, like ``[EMAIL]``."""
+    """``text`` with each stretch of overlapping spans replaced by its first span's kind, like ``[EMAIL]``."""
 
     def of(kind: str) -> Column:
         return F.transform(f"_{kind}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"[{kind.upper()}]").alias("k")))
@@ -146,11 +168,11 @@ def redacted() -> Column:
 
     def step(a: Column, x: Column) -> Column:
         apart = x["s"] >= a["at"]
-        gap = F.substring(F.col("_text"), (a["at"] + 1).cast("int"), (x["s"] - a["at"]).cast("int"))
+        gap = F.substring(F.col("text"), (a["at"] + 1).cast("int"), (x["s"] - a["at"]).cast("int"))
         return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(apart, F.concat(a["out"], F.array(gap, x["k"]))).otherwise(a["out"]).alias("out"))
 
     def finish(a: Column) -> Column:
-        rest = F.substring(F.col("_text"), (a["at"] + 1).cast("int"), F.length("_text"))
+        rest = F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text"))
         return F.concat(F.array_join(a["out"], ""), rest)
 
     return F.aggregate(F.array_sort(F.flatten(F.array(*map(of, FOUND)))), start, step, finish)
@@ -158,21 +180,18 @@ def redacted() -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data replaced in ``text`` (and ``n_chars`` kept in step); rows without any stay as they are."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    found = found_spans(docs.select(whole.alias("_row"), "text"), "_row")
-    some = F.size(F.flatten(F.array(*(f"_{k}" for k in FOUND)))) > 0
-    out = found.withColumn("_new", F.when(some, redacted()))
-    changed = {"text": F.coalesce("_new", F.col("_row.text"))}
+    some = sum((F.size(f"_{k}") for k in FOUND), F.lit(0)) > 0
+    found = found_spans(docs).withColumn("_new", F.when(some, redacted()))
+    changed = {"text": F.coalesce("_new", F.col("text"))}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_new").isNotNull(), F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
-    return out.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
+        changed["n_chars"] = F.when(F.col("_new").isNotNull(), F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return found.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = found_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumnRenamed("doc_id", "_doc"), "_doc")
+    found = found_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select(F.col("_doc").alias("doc_id"), *counts, F.sha2(spelled(KINDS), 256).alias("base_sha256"), spelled(FOUND).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(spelled(KINDS), 256).alias("base_sha256"), spelled(FOUND).alias("spans"))
 
 
 QUERIES = {"op10_pii": op10_pii}

@@ -233,17 +233,26 @@ def simhash_components(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def keep_heads(docs: DataFrame, width: int) -> DataFrame:
-    """One row of each component stays (smallest doc_id, null last; then the first read), with all its columns."""
-    names = docs.columns
-    marked = docs.withColumn("_rid", F.monotonically_increasing_id())
-    rows = stash(with_fingerprints(marked, width), "simhash-rows")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("id"), F.col("_rid").alias("rid"))
-    ranks = rows.select("_fp", "_rid", order.alias("head"))
-    found = fingerprint_components(ranks, "head")
-    gone = stash(ranks.join(found.filter("size > 1").select(F.col("fp").alias("_fp"), F.col("head.rid").alias("keep")), "_fp").filter("_rid <> keep").select("_rid"), "simhash-gone")
+    """One row of each component stays (smallest doc_id, null last; then by text hash), with all its columns.
+
+    Rows are known by id and text hash, so no copy of the texts is written. Rows
+    alike in both are one row repeated, of which one stays, too.
+    """
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_did"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_th")]
+    texts = docs.select(*key, F.col("doc_id").isNull().alias("_no_id"), F.col("text").cast("string").alias("text"))
+    prints = stash(with_fingerprints(texts, width).select("_did", "_th", "_no_id", "_fp"), "simhash-prints")
+    ranks = prints.select("_fp", F.struct("_no_id", "_did", "_th").alias("head"))
+    found = fingerprint_components(ranks, "head").filter("size > 1").select(F.col("fp").alias("_fp"), F.struct("head._did", "head._th").alias("stays"))
+    members = prints.join(found, "_fp").groupBy("_did", "_th", "stays").agg(F.count("*").alias("n"))
+    heads = F.struct("_did", "_th") == F.col("stays")
+    gone = stash(members.filter(~heads | (F.col("n") > 1)).select("_did", "_th", heads.alias("again")), "simhash-gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return rows.join(gone, "_rid", "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    marked = docs.select("*", *key)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    alone = marked.join(gone, ["_did", "_th"], "left_anti").select(*names)
+    again = marked.join(gone.filter("again"), ["_did", "_th"], "left_semi").groupBy("_did", "_th")
+    return alone.union(again.agg(F.first(F.struct(*names)).alias("row")).select("row.*"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

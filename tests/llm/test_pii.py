@@ -47,13 +47,16 @@ TEXTS = [
 ]
 
 
+def docs_of(spark, texts):
+    return spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "k int, doc_id int, text string")
+
+
 def spans_of(rows):
     return {r["k"]: {kind: [tuple(x) for x in r[f"_{kind}"]] for kind in pii.FOUND} for r in rows}
 
 
 def test_fixed_forms_match_brute_force(spark):
-    docs = spark.createDataFrame(list(enumerate(TEXTS)), "k int, text string")
-    got = spans_of(pii.found_spans(docs, "k").collect())
+    got = spans_of(pii.found_spans(docs_of(spark, TEXTS)).collect())
     for k, text in enumerate(TEXTS):
         assert {kind: got[k][kind] for kind in pii.KINDS} == brute(text), k
 
@@ -62,8 +65,7 @@ def test_patterns_are_learnt_from_seeds(spark):
     hexes = [hashlib.sha1(bytes([k])).hexdigest() for k in range(6)]
     texts = [f'abc token = "{h}" end' for h in hexes]
     texts += ['say token = "short-7x9" now', "badge: A1234567, badge: Q9999999", "note: something else 1", "server: 10.0.0.7 up"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
-    got = spans_of(pii.found_spans(docs, "k").collect())
+    got = spans_of(pii.found_spans(docs_of(spark, texts)).collect())
     assert all(got[k]["id"] == [(13, 53)] for k in range(6))
     assert got[6]["id"] == [(13, 22)]  # unseen, found by its pattern
     assert got[7]["id"] == got[8]["id"] == got[9]["id"] == []
@@ -89,6 +91,14 @@ def test_redact(spark, awkward, nothing):
     assert sorted(map(repr, pii.redact(awkward).collect())) == sorted(map(repr, awkward.collect()))
 
 
+def test_shuffled_spans_give_the_same(spark, monkeypatch):
+    docs = docs_of(spark, [*TEXTS, TEXTS[0]]).selectExpr("k", "nullif(doc_id % 4, 0) AS doc_id", "text")
+    docs = docs.union(docs.limit(3))
+    want = sorted(map(repr, pii.found_spans(docs).collect()))
+    monkeypatch.setattr(pii, "BROADCAST_SPANS", -1)
+    assert sorted(map(repr, pii.found_spans(docs).collect())) == want and len(want) == len(TEXTS) + 4
+
+
 def test_op10(corpus, spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     rows = {r["doc_id"]: r for r in pii.op10_pii(spark, corpus(documents=docs)).collect()}
