@@ -27,13 +27,13 @@ from pyspark.sql import types as T
 from sloscope.llm.common import table
 
 #: Labelled rows that a model is fitted on, at most.
-SAMPLE = 3000
+SAMPLE = 2000
 #: Least calibrated probability of good quality that keeps a document.
 THRESHOLD = 0.5
 LEAST_WORDS, MOST_REPEATED = 50, 50  # words; per cent of words in repeated windows
 SYMBOLS = b"#*$%&|<>"
 
-DIMS, GRAM, SCALE = 1 << 16, 3, 30.0
+DIMS, GRAM, SCALE = 1 << 14, 3, 30.0
 STEPS, RATE, DECAY = 120, 0.1, 1e-4
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -88,9 +88,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model
     if len(set(labels[held].tolist())) < 2 or len(set(labels[~held].tolist())) < 2:
         held[:] = False
     train = np.flatnonzero(~held)
-    dims = np.concatenate([rows[i][0] for i in train])
-    values = np.concatenate([rows[i][1] for i in train])
-    owner = np.repeat(np.arange(len(train)), [len(rows[i][0]) for i in train])
+    dims = np.concatenate([rows[i][0] for i in train]).astype(np.int32)
+    values = np.concatenate([rows[i][1] for i in train]).astype(np.float32)
+    owner = np.repeat(np.arange(len(train), dtype=np.int32), [len(rows[i][0]) for i in train])
     y = labels[train]
     w, bias = np.zeros(2 * DIMS), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -198,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     got = rows.mapInArrow(_sample_features, "doc_id long, quality int, dims binary, vals binary").collect()
     got.sort(key=lambda r: r["doc_id"])
-    vectors = [(np.frombuffer(r["dims"], "<i4").astype(np.int64), np.frombuffer(r["vals"], "<f4").astype(float)) for r in got]
+    vectors = [(np.frombuffer(r["dims"], "<i4"), np.frombuffer(r["vals"], "<f4")) for r in got]
     return fit(vectors, np.array([r["quality"] for r in got]))
 
 
