@@ -23,7 +23,7 @@ ALPHA, THRESHOLD, WARMUP = 0.05, 4.0, 60
 RING = 256
 
 _ANOMALY = "arrival_seq long, ts_nanos long, model string, detector_id string, source string, value double, score double, severity string"
-_STATE = "model string, detector_id string, arrival_seq long, n long, mean double, variance double, z double"
+_STATE = "model string, detector_id string, arrival_seq long, ts_nanos long, value double, n long, mean double, variance double, z double"
 
 
 def zscore_detector(detector_id: str, model: str, alpha: float = ALPHA, threshold: float = THRESHOLD, warmup: int = WARMUP) -> tuple:
@@ -82,25 +82,23 @@ def _states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n, mean, variance = state if now == key else (0, 0.0, 0.0)
             z, means, variances = ewma(rows["latency_ms"].to_numpy(float), float(rows["alpha"].iloc[0]), n, mean, variance)
             counts = n + 1 + np.arange(len(rows))
-            yield pd.DataFrame({"model": now[0], "detector_id": now[1], "arrival_seq": rows["arrival_seq"].to_numpy(), "n": counts, "mean": means, "variance": variances, "z": [None if np.isnan(x) else x for x in z]})
+            seen = {c: rows[c].to_numpy() for c in ("arrival_seq", "ts_nanos")}
+            yield pd.DataFrame({"model": now[0], "detector_id": now[1], **seen, "value": rows["latency_ms"].to_numpy(float), "n": counts, "mean": means, "variance": variances, "z": [None if np.isnan(x) else x for x in z]})
             key, state = now, (int(counts[-1]), means[-1], variances[-1])
 
 
 def zscore_states(events: DataFrame, detectors: DataFrame) -> DataFrame:
     """For every event and z-score detector of its model: the state after it and its score before it."""
     wanted = detectors.filter("kind = 'zscore'").select("detector_id", "model", "alpha")
-    rows = events.select("arrival_seq", "model", "latency_ms").join(F.broadcast(wanted), "model")
+    rows = events.select("arrival_seq", "ts_nanos", "model", "latency_ms").join(F.broadcast(wanted), "model")
     ordered = rows.repartition("model", "detector_id").sortWithinPartitions("model", "detector_id", "arrival_seq")
-    return ordered.select("model", "detector_id", "arrival_seq", "latency_ms", "alpha").mapInPandas(_states, _STATE)
+    return ordered.select("model", "detector_id", "arrival_seq", "ts_nanos", "latency_ms", "alpha").mapInPandas(_states, _STATE)
 
 
 def zscore_anomalies(events: DataFrame, detectors: DataFrame) -> DataFrame:
     wanted = F.broadcast(detectors.filter("kind = 'zscore'").select("detector_id", "model", "threshold", "warmup"))
     fired = zscore_states(events, detectors).join(wanted, ["model", "detector_id"]).filter((F.col("n") >= F.col("warmup")) & (F.abs("z") >= F.col("threshold")))
-    values = events.select("arrival_seq", "ts_nanos", F.col("latency_ms").alias("value"))
-    return fired.join(values, "arrival_seq").select(
-        "arrival_seq", "ts_nanos", "model", "detector_id", F.lit("zscore").alias("source"), "value", F.col("z").alias("score"), S.z_severity(F.col("z")).alias("severity")
-    )
+    return fired.select("arrival_seq", "ts_nanos", "model", "detector_id", F.lit("zscore").alias("source"), "value", F.col("z").alias("score"), S.z_severity(F.col("z")).alias("severity"))
 
 
 def threshold_anomalies(events: DataFrame, detectors: DataFrame) -> DataFrame:

@@ -19,6 +19,17 @@ def _lit(as_of_minute: Minute | None) -> Column:
     return F.lit(-(2**62)).cast("long") if as_of_minute is None else as_of_minute if isinstance(as_of_minute, Column) else F.lit(as_of_minute).cast("long")
 
 
+def recent(events: DataFrame, minutes: int, as_of_minute: Minute | None) -> DataFrame:
+    """Events that can be in a window of so many minutes at all; the filter is on the stored column and reaches the scan.
+
+    Windows end at ``as_of_minute`` or later, so what is older than one window before
+    it is in none. A series whose last event is older ends its window at ``as_of_minute``.
+    """
+    if not isinstance(as_of_minute, int):
+        return events
+    return events.filter(F.col("ts_nanos") >= max(0, as_of_minute - minutes) * S.MINUTE_NANOS)
+
+
 def in_window(rows: DataFrame, minutes: int | None, as_of_minute: Minute | None = None) -> DataFrame:
     """Rows (series, minute) inside the window of their series; None takes all minutes.
 
@@ -38,9 +49,9 @@ def _outcome() -> list[Column]:
 def window_query(events: DataFrame, window: str | int, quantile: float = 0.95, as_of_minute: Minute | None = None) -> DataFrame:
     """For each series: totals, success ratio, exact latency quantile and lifetime number of versions."""
     minutes, q = S.window_minutes(window), min(1.0, max(0.0, quantile))
-    rows = with_series(events).select("series", "minute", "status", "latency_ms", "model_version")
+    rows = with_series(recent(events, minutes, as_of_minute)).select("series", "minute", "status", "latency_ms")
     latency = F.percentile(S.finite("latency_ms"), F.lit(q)).alias("latency_quantile_ms")
-    versions = rows.groupBy("series").agg(F.count_distinct("model_version").alias("model_version_cardinality"))
+    versions = with_series(events).groupBy("series").agg(F.count_distinct("model_version").alias("model_version_cardinality"))
     found = in_window(rows, minutes, as_of_minute).groupBy("series").agg(*_outcome(), latency)
     # a series whose last event lies before the window still has a row, with nothing in it
     out = versions.join(found, "series", "left").na.fill(0, ["total", "good", "server_failures"])
@@ -73,8 +84,9 @@ def model_query(events: DataFrame, model: str, window: str | int, quantile: floa
 
 def latency_above(events: DataFrame, window: str | int, threshold_ms: float, as_of_minute: Minute | None = None) -> DataFrame:
     """For each series: events in the window, and those slower than the threshold (no fallback to other series)."""
-    rows = with_series(events).select("series", "minute", S.finite("latency_ms").alias("latency_ms"))
-    counts = in_window(rows, S.window_minutes(window), as_of_minute).groupBy("series")
+    minutes = S.window_minutes(window)
+    rows = with_series(recent(events, minutes, as_of_minute)).select("series", "minute", S.finite("latency_ms").alias("latency_ms"))
+    counts = in_window(rows, minutes, as_of_minute).groupBy("series")
     return counts.agg(F.count("*").alias("total"), F.count_if(F.col("latency_ms") > threshold_ms).alias("count_above"))
 
 

@@ -355,7 +355,7 @@ def _limits() -> list[tuple]:
 
 @query("zscore_states", Z_SQL + " SELECT model, 'avail-' || model AS detector_id, seq AS arrival_seq, rn AS n, round(mean, 6) AS mean, round(variance, 6) AS variance, round(z, 6) AS z FROM z", recursive=True)
 def _(spark, d):
-    return rounded(anomaly.zscore_states(load(spark, d), anomaly.detectors_for(objectives(spark))))
+    return rounded(anomaly.zscore_states(load(spark, d), anomaly.detectors_for(objectives(spark))).drop("ts_nanos", "value"))
 
 
 @query("zscore_anomalies", Z_SQL + f", {FOUND_SQL} SELECT * FROM found", recursive=True)

@@ -73,6 +73,15 @@ def test_window_covers_one_bucket_more_and_the_edge_follows_the_series(made):
     assert (late["total"], late["success_ratio"], late["latency_quantile_ms"], late["model_version_cardinality"]) == (0, None, None, 1)
 
 
+def test_window_filters_reach_the_scan(made, tmp_path, spark):
+    path = str(tmp_path / "events")
+    made(event(i, i) for i in range(70)).write.parquet(path)
+    plan = windows.latency_above(spark.read.parquet(path), "5m", 1.0, as_of_minute=69)._jdf.queryExecution().executedPlan().toString()
+    assert f"GreaterThanOrEqual(ts_nanos,{64 * S.MINUTE_NANOS})" in plan
+    schema = plan[plan.index("ReadSchema") :].split("\n")[0]
+    assert "latency_ms" in schema and "status" not in schema and "cost_usd" not in schema
+
+
 def test_series_cap(made):
     rows = made([event(0, 0, model="a"), event(1, 0, model="b"), event(2, 0, model="c"), event(3, 0, model="a")])
     got = {(r["model"], r["accepted"]) for r in buckets.with_admission(rows, 2).collect()}
