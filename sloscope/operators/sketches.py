@@ -11,13 +11,7 @@ from pyspark.sql import functions as F
 
 from sloscope.functions import scalars as S
 from sloscope.operators.buckets import SKETCH_K
-from sloscope.operators.windows import Minute, in_window
-
-
-def quantile_of(sketch: Column | str, q: float) -> Column:
-    """Null for an empty sketch."""
-    column = F.col(sketch) if isinstance(sketch, str) else sketch
-    return F.when(F.kll_sketch_get_n_double(column) > 0, F.kll_sketch_get_quantile_double(column, F.lit(min(1.0, max(0.0, q)))))
+from sloscope.operators.windows import Minute, in_window, quantile_of
 
 
 def rank_of(sketch: Column | str, x: float) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sloscope.functions import scalars as S
-from sloscope.operators.buckets import with_series, with_totals
+from sloscope.operators.buckets import SKETCH_K, with_series, with_totals
 
 Minute = int | Column
 
@@ -46,13 +46,20 @@ def _outcome() -> list[Column]:
     return [F.count("*").alias("total"), F.count_if(S.is_good()).alias("good"), F.count_if(S.is_server_failure()).alias("server_failures")]
 
 
-def window_query(events: DataFrame, window: str | int, quantile: float = 0.95, as_of_minute: Minute | None = None) -> DataFrame:
-    """For each series: totals, success ratio, exact latency quantile and lifetime number of versions."""
+def window_query(events: DataFrame, window: str | int, quantile: float = 0.95, as_of_minute: Minute | None = None, exact: bool = True) -> DataFrame:
+    """For each series: totals, success ratio, latency quantile and lifetime number of versions.
+
+    An exact quantile keeps a series' distinct latencies in one aggregation buffer; with
+    ``exact=False`` a sketch of fixed size takes their place, for series without bound.
+    """
     minutes, q = S.window_minutes(window), min(1.0, max(0.0, quantile))
     rows = with_series(recent(events, minutes, as_of_minute)).select("series", "minute", "status", "latency_ms")
-    latency = F.percentile(S.finite("latency_ms"), F.lit(q)).alias("latency_quantile_ms")
+    if exact:
+        latency = F.percentile(S.finite("latency_ms"), F.lit(q))
+    else:
+        latency = quantile_of(F.kll_sketch_agg_double(S.finite("latency_ms"), F.lit(SKETCH_K)), q)
     versions = with_series(events).groupBy("series").agg(F.count_distinct("model_version").alias("model_version_cardinality"))
-    found = in_window(rows, minutes, as_of_minute).groupBy("series").agg(*_outcome(), latency)
+    found = in_window(rows, minutes, as_of_minute).groupBy("series").agg(*_outcome(), latency.alias("latency_quantile_ms"))
     # a series whose last event lies before the window still has a row, with nothing in it
     out = versions.join(found, "series", "left").na.fill(0, ["total", "good", "server_failures"])
     return out.select(
@@ -64,6 +71,12 @@ def window_query(events: DataFrame, window: str | int, quantile: float = 0.95, a
 snapshot_all = window_query
 
 
+def quantile_of(sketch: Column | str, q: float) -> Column:
+    """A KLL sketch's quantile; null for an empty sketch."""
+    column = F.col(sketch) if isinstance(sketch, str) else sketch
+    return F.when(F.kll_sketch_get_n_double(column) > 0, F.kll_sketch_get_quantile_double(column, F.lit(min(1.0, max(0.0, q)))))
+
+
 def choose_series(rows: DataFrame, model: str | Column, fallback: bool = True) -> DataFrame:
     """Of rows with a ``series``, those of the one that a model's name stands for.
 

@@ -308,6 +308,13 @@ def test_sketch_properties(spark, values):
     assert r["c0"] == 0 <= r["c1"] <= r["c2"] == 1 and r["above"] <= len(values)
 
 
+def test_window_query_with_a_sketch(spark):
+    rows = simulate.simulate(spark, 1000, 30, seed=6, partitions=4)
+    exact, close = (one(windows.window_query(rows, "1h", 0.95, exact=x)) for x in (True, False))
+    assert exact["total"] == close["total"] == 30_000
+    assert close["latency_quantile_ms"] == pytest.approx(exact["latency_quantile_ms"], rel=0.02)
+
+
 def test_distinct_sketch_is_idempotent_and_unions(spark):
     rows = spark.range(3000).selectExpr("cast(id % 500 AS string) AS a", "cast(250 + id % 500 AS string) AS b")
     r = one(rows.agg(F.hll_sketch_agg("a", 10).alias("x"), F.hll_sketch_agg("b", 10).alias("y")).selectExpr("hll_sketch_estimate(x) AS n", "hll_sketch_estimate(hll_union(x, y)) AS u", "hll_sketch_estimate(hll_union(x, x)) AS again"))
