@@ -14,7 +14,6 @@ empty table gives an empty result. Columns other than doc_id and text don't matt
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +24,8 @@ from pyspark.sql import functions as F
 from sloscope.llm import fuse
 from sloscope.llm.common import SPACE, blocks_for, stash, table, text_or_empty
 
-#: Digests in one filter; a filter of this many keys takes about 20 KB.
-KEYS_PER_FILTER = 16_384
+#: Digests in one filter; a filter of this many keys takes about 5 KB.
+KEYS_PER_FILTER = 4096
 #: Digests (8 bytes each) that may be broadcast; beyond it a salted shuffle join is used.
 BROADCAST_DIGESTS = 500_000
 SALTS = 16
@@ -110,7 +109,8 @@ def exact_dedup(docs: DataFrame, split_at: int | None = None) -> DataFrame:
     suspects = met.select("h").union(snapshot.rows.filter("n > 1").select("h")).union(fresh.filter("n > 1").select("h")).distinct()
     sizes = _byte_groups(docs, suspects)
     heads = snapshot.rows.select("h", "sha", "keep").union(fresh.select("h", "sha", "keep")).groupBy("h", "sha").agg(F.min("keep").alias("keep"))
-    groups = sizes.filter("size > 1").join(heads, ["h", "sha"])
+    # written, so that the join below is between plain shuffles and a hot group can be split
+    groups = stash(sizes.filter("size > 1").join(heads, ["h", "sha"]), "exact-groups")
     out = rows.join(groups, ["h", "sha"], "left")
     return out.select(
         "rid", "doc_id",
