@@ -242,7 +242,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """did, th, spans (array of start, end in bytes; they may overlap) for rows of ``_keyed`` with any repeat."""
     found = stash(docs.mapInArrow(_anchor_rows, _ANCHORS), "suffix-anchors")
     met = found.groupBy("gram").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("mixed")).filter("n > 1")
-    again = stash(found.join(met.select("gram", "mixed"), "gram"), "suffix-again")
+    # written, so that the join is between plain shuffles and a hot anchor's rows can be split
+    met = stash(met.select("gram", "mixed"), "suffix-met")
+    again = stash(found.join(met, "gram"), "suffix-again")
     place = F.struct("did", "th", "low", "back", "more")
     contexts = stash(again.groupBy("gram", "context").agg(F.count("*").alias("n"), F.first("mixed").alias("mixed"), F.min(place).alias("one")), "suffix-contexts")
 
