@@ -57,8 +57,13 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Whole texts are long: batches of so many bytes, not of 10,000 rows, bound a Python worker's memory.
+BATCH_BYTES = "8m"
+
+
 def reach_workers(spark: SparkSession) -> None:
-    """Python workers import this package from where the driver has it, if they have it nowhere else."""
+    """Python workers import this package from where the driver has it, and get their rows in bounded batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     home, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if home not in known.get("PYTHONPATH", "").split(":"):
         known["PYTHONPATH"] = f"{known['PYTHONPATH']}:{home}" if known.get("PYTHONPATH") else home
