@@ -42,8 +42,8 @@ VALUE = r"([^\x00-\x20\x22'<>|,;]+)$"
 SECRET = r"^(?:[0-9a-fA-F]{32,}|(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9_+/=-]{24,})$"
 
 ROUNDS, SEEDS, CONFIDENCE = 3, 3, 0.7
-#: Rows and spans (some 50 bytes each) that may be broadcast; beyond it rows are shuffled to their spans.
-BROADCAST_SPANS = 300_000
+#: Rows and spans (some 250 bytes each) that may be broadcast; beyond it rows are shuffled to their spans.
+BROADCAST_SPANS = 200_000
 
 
 def matches(text: str, pattern: str) -> str:
@@ -86,23 +86,23 @@ def fixed_spans(text: str) -> dict[str, Column]:
 
 def row_key() -> list[Column]:
     """A row's id (the least long if null) and its text's hash: rows that agree in both have the same spans."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_did"), F.xxhash64(text_or_empty()).alias("_th")]
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_pii_did"), F.xxhash64(text_or_empty()).alias("_pii_th")]
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
     """For each key of rows that have any: the fixed spans by kind, and the labelled values (pattern, s, value)."""
-    rows = docs.select(*row_key(), text_or_empty().alias("_text"))
-    labelled = F.expr(f"if(_text RLIKE '[:=]', {matches('_text', LABELLED)}, {_NO_MATCH})")
+    rows = docs.select(*row_key(), text_or_empty().alias("_pii_text"))
+    labelled = F.expr(f"if(_pii_text RLIKE '[:=]', {matches('_pii_text', LABELLED)}, {_NO_MATCH})")
     value = f"regexp_replace(regexp_extract(x.m, '{_quoted(VALUE)}', 1), '[^\\\\p{{L}}0-9]+$', '')"
     tidy = F.expr(
-        f"""transform(_labelled, x -> struct(
+        f"""transform(_pii_labelled, x -> struct(
             concat(lower(regexp_extract(x.m, '{_quoted(LABEL)}', 1)), regexp_extract(x.m, '{_quoted(LABEL)}', 2)) AS pattern,
             x.s + length(x.m) - length(regexp_extract(x.m, '{_quoted(VALUE)}', 1)) AS s, {value} AS value))"""
     )
-    rows = rows.select("_did", "_th", *(e.alias(f"_{k}") for k, e in fixed_spans("_text").items()), labelled.alias("_labelled"))
-    bounds = [F.transform(f"_{k}", lambda x: F.struct(x["s"].alias("s"), (x["s"] + F.length(x["m"])).alias("e"))).alias(f"_{k}") for k in KINDS]
-    rows = rows.select("_did", "_th", *bounds, tidy.alias("_labelled"))
-    return rows.filter(sum((F.size(f"_{k}") for k in (*KINDS, "labelled")), F.lit(0)) > 0)
+    rows = rows.select("_pii_did", "_pii_th", *(e.alias(f"_pii_{k}") for k, e in fixed_spans("_pii_text").items()), labelled.alias("_pii_labelled"))
+    bounds = [F.transform(f"_pii_{k}", lambda x: F.struct(x["s"].alias("s"), (x["s"] + F.length(x["m"])).alias("e"))).alias(f"_pii_{k}") for k in KINDS]
+    rows = rows.select("_pii_did", "_pii_th", *bounds, tidy.alias("_pii_labelled"))
+    return rows.filter(sum((F.size(f"_pii_{k}") for k in (*KINDS, "labelled")), F.lit(0)) > 0)
 
 
 def _is_seed(value: str) -> str:
@@ -126,34 +126,34 @@ def trusted_patterns(occurrences: DataFrame, rounds: int = ROUNDS, seeds: int =
 def _spans_by_key(docs: DataFrame) -> DataFrame:
     """One row for each key with any span: array<struct<s, e>> in order for each kind of FOUND."""
     scanned = stash(_scanned(docs), "pii-scanned")
-    labelled = scanned.filter(F.size("_labelled") > 0)
-    trusted = trusted_patterns(labelled.select(F.explode("_labelled").alias("x")).select("x.pattern", "x.value").filter("length(value) >= 6"))
+    labelled = scanned.filter(F.size("_pii_labelled") > 0)
+    trusted = trusted_patterns(labelled.select(F.explode("_pii_labelled").alias("x")).select("x.pattern", "x.value").filter("length(value) >= 6"))
     # rows of one key are alike, so any of them speaks for it
-    spans = scanned.groupBy("_did", "_th").agg(F.first(F.struct(*(f"_{k}" for k in KINDS), "_labelled")).alias("x")).select("_did", "_th", "x.*")
-    seen = spans.filter(F.size("_labelled") > 0).select("_did", "_th", F.flatten(F.array(*(f"_{k}" for k in KINDS))).alias("fixed"), F.explode("_labelled").alias("x"))
-    found = seen.select("_did", "_th", "fixed", "x.*").filter("length(value) >= 6 AND value RLIKE '[0-9]'").join(trusted, "pattern").withColumn("e", F.col("s") + F.length("value"))
+    spans = scanned.groupBy("_pii_did", "_pii_th").agg(F.first(F.struct(*(f"_pii_{k}" for k in KINDS), "_pii_labelled")).alias("x")).select("_pii_did", "_pii_th", "x.*")
+    seen = spans.filter(F.size("_pii_labelled") > 0).select("_pii_did", "_pii_th", F.flatten(F.array(*(f"_pii_{k}" for k in KINDS))).alias("fixed"), F.explode("_pii_labelled").alias("x"))
+    found = seen.select("_pii_did", "_pii_th", "fixed", "x.*").filter("length(value) >= 6 AND value RLIKE '[0-9]'").join(trusted, "pattern").withColumn("e", F.col("s") + F.length("value"))
     found = found.filter(~F.exists("fixed", lambda f: (f["s"] < F.col("e")) & (F.col("s") < f["e"])))
-    ids = found.groupBy("_did", "_th").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_id"))
-    spans = spans.drop("_labelled").join(ids, ["_did", "_th"], "left").withColumn("_id", F.coalesce("_id", F.expr(_NO_SPAN)))
-    return stash(spans.filter(sum((F.size(f"_{k}") for k in FOUND), F.lit(0)) > 0), "pii-spans")
+    ids = found.groupBy("_pii_did", "_pii_th").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_pii_id"))
+    spans = spans.drop("_pii_labelled").join(ids, ["_pii_did", "_pii_th"], "left").withColumn("_pii_id", F.coalesce("_pii_id", F.expr(_NO_SPAN)))
+    return stash(spans.filter(sum((F.size(f"_pii_{k}") for k in FOUND), F.lit(0)) > 0), "pii-spans")
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_email`` to ``_id``: array<struct<s, e>> in order for each kind of FOUND."""
+    """``docs`` with ``_pii_email`` to ``_pii_id``: array<struct<s, e>> in order for each kind of FOUND."""
     spans = _spans_by_key(docs)
-    held = spans.agg(F.count("*") + F.coalesce(F.sum(sum((F.size(f"_{k}") for k in FOUND), F.lit(0))), F.lit(0))).first()[0]
+    held = spans.agg(F.count("*") + F.coalesce(F.sum(sum((F.size(f"_pii_{k}") for k in FOUND), F.lit(0))), F.lit(0))).first()[0]
     if held <= BROADCAST_SPANS:
         spans = F.broadcast(spans)
-    rows = docs.select("*", *row_key()).join(spans, ["_did", "_th"], "left")
+    rows = docs.select("*", *row_key()).join(spans, ["_pii_did", "_pii_th"], "left")
     none = F.expr(_NO_SPAN)
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], *(F.coalesce(f"_{k}", none).alias(f"_{k}") for k in FOUND))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], *(F.coalesce(f"_pii_{k}", none).alias(f"_pii_{k}") for k in FOUND))
 
 
 def spelled(kinds: tuple[str, ...]) -> Column:
     """``kind:start:end`` of all spans, by kind and start, comma-joined."""
 
     def of(kind: str) -> Column:
-        return F.transform(f"_{kind}", lambda x: F.concat_ws(":", F.lit(kind), x["s"].cast("string"), x["e"].cast("string")))
+        return F.transform(f"_pii_{kind}", lambda x: F.concat_ws(":", F.lit(kind), x["s"].cast("string"), x["e"].cast("string")))
 
     return F.array_join(F.flatten(F.array(*map(of, kinds))), ",")
 
@@ -162,7 +162,7 @@ def redacted() -> Column:
     """``text`` with each stretch of overlapping spans replaced by its first span's kind, like ``[EMAIL]``."""
 
     def of(kind: str) -> Column:
-        return F.transform(f"_{kind}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"[{kind.upper()}]").alias("k")))
+        return F.transform(f"_pii_{kind}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"[{kind.upper()}]").alias("k")))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("CAST(array() AS array<string>)").alias("out"))
 
@@ -180,17 +180,17 @@ def redacted() -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data replaced in ``text`` (and ``n_chars`` kept in step); rows without any stay as they are."""
-    some = sum((F.size(f"_{k}") for k in FOUND), F.lit(0)) > 0
-    found = found_spans(docs).withColumn("_new", F.when(some, redacted()))
-    changed = {"text": F.coalesce("_new", F.col("text"))}
+    some = sum((F.size(f"_pii_{k}") for k in FOUND), F.lit(0)) > 0
+    found = found_spans(docs).withColumn("_pii_new", F.when(some, redacted()))
+    changed = {"text": F.coalesce("_pii_new", F.col("text"))}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_new").isNotNull(), F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        changed["n_chars"] = F.when(F.col("_pii_new").isNotNull(), F.length("_pii_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return found.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = found_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(f"_pii_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(spelled(KINDS), 256).alias("base_sha256"), spelled(FOUND).alias("spans"))
 
 

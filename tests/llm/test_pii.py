@@ -52,7 +52,7 @@ def docs_of(spark, texts):
 
 
 def spans_of(rows):
-    return {r["k"]: {kind: [tuple(x) for x in r[f"_{kind}"]] for kind in pii.FOUND} for r in rows}
+    return {r["k"]: {kind: [tuple(x) for x in r[f"_pii_{kind}"]] for kind in pii.FOUND} for r in rows}
 
 
 def test_fixed_forms_match_brute_force(spark):
@@ -83,7 +83,7 @@ def test_scores_pass_over_the_graph(spark):
 
 
 def test_redact(spark, awkward, nothing):
-    docs = spark.createDataFrame([(1, "é a@b.co, 1.2.3.4 x", 0, "k"), (2, None, 7, "k"), (None, "clean", 5, None)], "doc_id long, text string, n_chars long, _rid2 string")
+    docs = spark.createDataFrame([(1, "é a@b.co, 1.2.3.4 x", 0, "k"), (2, None, 7, "k"), (None, "clean", 5, None)], "doc_id long, text string, n_chars long, _id string")
     out = pii.redact(docs)
     assert out.columns == docs.columns
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "é [EMAIL], [IP] x", 17, "k"), (2, None, 7, "k"), (None, "clean", 5, None)], key=str)
