@@ -4,12 +4,14 @@ Lines within ``EDITS`` edits of each other: cut one into EDITS + 1 segments and
 least one segment stands unchanged in the other, at a place that the lengths bound
 (Li, Deng & Feng, 2011). Distinct lines are indexed by (length, segment number,
 segment); longer lines probe the indexes of the few lengths below theirs with the
-substrings at those places. A 64-bit parity signature of characters, of which an edit
-changes two bits at most, prunes meetings; texts are then compared by a bit-parallel
-edit distance over a diagonal band (Hyyrö, 2003) that keeps one machine word a column.
+substrings at those places; where different lines meet under a key, their texts are
+gathered. Parity signatures of characters and of neighbours, of which an edit changes two
+and four bits at most, prune meetings; the rest are compared by a bit-parallel edit distance over a
+diagonal band (Hyyrö, 2003) that keeps one machine word a column.
 
-Index keys shared by very many lines are cut again on the signature: of five parts one
-is equal for linked lines, so no bucket need be met whole and no link is lost.
+Keys shared by very many lines are cut again on the signature: of five parts one is
+equal for lines in reach. What is still too many under one piece is met chunk by chunk.
+Buckets are bounded, give out one verdict a line and never a pair, and lose no link.
 
 A line goes if an earlier one (by doc_id, null last, then rows as read, then place) is
 equal, or within EDITS edits where both have LEAST characters or more; shorter lines
@@ -27,8 +29,10 @@ from sloscope.llm.common import SPACE, stash, table
 
 EDITS = 2
 LEAST = 20
-#: Lines under one index key that are met directly; beyond it the key is cut by signature.
-BUCKET = 1000
+#: Lines under one key that are met directly; beyond it the key is cut.
+BUCKET = 500
+#: Keys (8 bytes each) that may be broadcast; beyond it lines are shuffled to their keys.
+BROADCAST_KEYS = 1_000_000
 PARTS = 2 * EDITS + 1
 _WORD = 64
 
@@ -43,47 +47,60 @@ def _ids(line: str = "line") -> list[Column]:
 
 
 def _has_word(line: str = "line") -> Column:
-    return F.length(F.regexp_replace(line, SPACE, "")) > 0
-
-
-def segments(length: int | Column, edits: int = EDITS) -> list[tuple[Column, Column]]:
-    """Start (from 0) and size of each segment; the last ones take the rest."""
-    n = length if isinstance(length, Column) else F.lit(length)
-    base, rest = F.floor(n / (edits + 1)).cast("int"), (n % (edits + 1)).cast("int")
-    out, start = [], F.lit(0)
-    for k in range(edits + 1):
-        size = base + F.when(F.lit(k) >= (edits + 1) - rest, 1).otherwise(0)
-        out.append((start, size))
-        start = start + size
+    return F.col(line).rlike(SPACE.replace("[", "[^"))
+
+
+#: Characters around a segment that hold every place where it may stand in a line in reach.
+_MARGIN = (EDITS + 1) ** 2
+
+
+def segments(less: int, edits: int = EDITS) -> list[tuple[str, str]]:
+    """SQL of start (from 0) and size of each segment of a line ``less`` shorter than this one; the last ones take the rest.
+
+    All but the last (length modulo edits + 1) segments have the smaller size.
+    """
+    parts = edits + 1
+    out = []
+    for k in range(parts):
+        before = f" + greatest(0, {k - parts} + _m{less})" if k > 1 else ""
+        more = f" + if(_m{less} >= {parts - k}, 1, 0)" if k else ""
+        out.append((f"{k} * _b{less}{before}" if k else "0", f"_b{less}{more}"))
     return out
 
 
-def _key(length: Column, number: int, piece: Column) -> Column:
-    return F.xxhash64(length, F.lit(number), piece)
+def measures(edits: int = EDITS) -> list[Column]:
+    """Segment size and rest for a line's length ``n`` and those up to ``edits`` below, computed once."""
+    return [F.expr(e) for k in range(edits + 1) for e in (f"int((n - {k}) div {edits + 1}) AS _b{k}", f"int((n - {k}) % {edits + 1}) AS _m{k}")]
 
 
-def index_keys(edits: int = EDITS) -> Column:
-    """A line's own segments as keys."""
-    return F.array(*[_key(F.col("n"), k, F.substring(F.col("line"), s + 1, z)) for k, (s, z) in enumerate(segments(F.col("n"), edits))])
+def regions(edits: int = EDITS) -> list[Column]:
+    """The neighbourhood of each of a line's segments, cut out once; finding a place in a string takes a walk to it."""
+    own = enumerate(segments(0, edits))
+    return [F.expr(e) for k, (start, size) in own for e in (f"greatest(0, {start} - {_MARGIN}) AS _s{k}", f"substring(line, greatest(0, {start} - {_MARGIN}) + 1, {size} + {2 * _MARGIN}) AS _r{k}")]
 
 
-def probe_keys(edits: int = EDITS) -> Column:
-    """Substrings of a line that may be a segment of one of its length or up to ``edits`` shorter."""
+def line_keys(edits: int = EDITS) -> Column:
+    """array<long> of a line's keys (``n`` characters, measures and regions): odd ones for its own segments, even ones
+    for substrings that may be a segment of a line of its length or up to ``edits`` shorter, 0 where there is none.
+
+    Lines of LEAST characters have segments longer than ``edits``, so no substring leaves the line.
+    """
+    if LEAST < (edits + 1) ** 2:
+        raise ValueError("LEAST is too small for so many edits")
     keys = []
     for less in range(edits + 1):
-        length = (F.col("n") - less).cast("int")
-        for k, (start, size) in enumerate(segments(length, edits)):
+        for k, (start, size) in enumerate(segments(less, edits)):
             # k edits at most stand left of the first equal segment, edits - k right of it
-            low, high = max(-k, less - (edits - k)), min(k, less + (edits - k))
-            for shift in range(low, high + 1):
-                at = start + shift
-                fits = (F.col("n") - less >= LEAST) & (at >= 0) & (at + size <= F.col("n"))
-                keys.append(F.when(fits, _key(length, k, F.substring(F.col("line"), at + 1, size))))
-    return F.array_distinct(F.filter(F.array(*keys), lambda x: x.isNotNull()))
+            for shift in range(max(-k, less - (edits - k)), min(k, less + (edits - k)) + 1):
+                own = int(less == 0 and shift == 0)
+                key = f"shiftleft(xxhash64(n - {less}, {k}, substring(_r{k}, {start} + {shift + 1} - _s{k}, {size})), 1) | {own}L"
+                keys.append(f"if(n >= {LEAST + less}, {key}, 0L)" if less else key)
+    return F.expr(f"array({', '.join(keys)})")
 
 
-#: The parity of each character's count, characters dealt to 64 bits.
-SIGNATURE = "aggregate(split(line, ''), 0L, (a, c) -> a ^ shiftleft(1L, ascii(c) & 63))"
+#: Parities of the counts of characters and of pairs of neighbours, each dealt to 64 bits.
+SIGNATURE = "aggregate(chars, 0L, (a, c) -> a ^ shiftleft(1L, ascii(c) & 63))"
+PAIR_SIGNATURE = "aggregate(chars, struct(0L AS s, 0 AS before), (a, c) -> struct(a.s ^ shiftleft(1L, (31 * a.before + ascii(c)) & 63) AS s, ascii(c) AS before), a -> a.s)"
 
 
 def banded_distance(longer: str, shorter: str, edits: int = EDITS) -> str:
@@ -112,59 +129,91 @@ def banded_distance(longer: str, shorter: str, edits: int = EDITS) -> str:
         s -> s.d)"""
 
 
-def distinct_lines(docs: DataFrame) -> DataFrame:
-    """Each line with a word once: line, n (characters)."""
-    lines = docs.select(F.explode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line")).filter(_has_word())
-    return lines.groupBy("line").agg(F.count("*").alias("copies")).withColumn("n", F.length("line")).drop("copies")
-
-
-def _met(index: DataFrame, probe: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs under one key whose signatures allow for few enough edits."""
-    left, right = index.select(*on, F.col("h").alias("a"), F.col("sig").alias("sa")), probe.select(*on, F.col("h").alias("b"), F.col("sig").alias("sb"))
-    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 2 * EDITS)
-    return left.join(right, on).filter(near).select("a", "b")
-
-
-def _cut(rows: DataFrame) -> DataFrame:
-    """The rows under finer keys: PARTS pieces of the signature, of which linked lines share one."""
-    size = -(-_WORD // PARTS)
-    pieces = [F.struct(F.lit(k).alias("part"), F.shiftrightunsigned("sig", k * size).bitwiseAND(F.lit((1 << size) - 1)).alias("piece")) for k in range(PARTS)]
-    return rows.select("key", "h", "sig", F.explode(F.array(*pieces)).alias("x")).select("key", "h", "sig", "x.*")
-
-
-def near_pairs(lines: DataFrame) -> DataFrame:
-    """a, b: hashes of distinct lines within EDITS edits, both of LEAST characters or more (a the shorter)."""
-    texts = lines.filter(F.col("n") >= LEAST)
-    keyed = texts.select(F.xxhash64("line").alias("h"), F.expr(SIGNATURE).alias("sig"), index_keys().alias("own"), probe_keys().alias("seek"))
-    keyed = stash(keyed, "lines-keys")
-    index = keyed.select(F.explode("own").alias("key"), "h", "sig")
-    probe = keyed.select(F.explode("seek").alias("key"), "h", "sig")
-    large = stash(index.groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") > BUCKET).select("key"), "lines-large")
-    if large.isEmpty():
-        met = _met(index, probe, ["key"])
-    else:
-        plain = _met(index.join(large, "key", "left_anti"), probe.join(large, "key", "left_anti"), ["key"])
-        finer = _met(_cut(index.join(large, "key", "left_semi")), _cut(probe.join(large, "key", "left_semi")), ["key", "part", "piece"])
-        met = plain.union(finer)
-    met = stash(met.distinct(), "lines-met")
-    wanted = met.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    known = stash(texts.select("line", F.xxhash64("line").alias("h")).join(wanted, "h", "left_semi"), "lines-known")
-    left, right = known.select(F.col("h").alias("a"), F.split("line", "").alias("short")), known.select(F.col("h").alias("b"), F.split("line", "").alias("long"))
-    pairs = met.join(left, "a").join(right, "b").filter(F.size("long") - F.size("short") <= EDITS).filter(F.size("long") >= F.size("short"))
-    return pairs.filter(F.expr(f"{banded_distance('long', 'short')} <= {EDITS}")).select("a", "b")
+def line_table(rows: DataFrame) -> DataFrame:
+    """Every line of every row (rid, doc_id, text) without its text: pos, n, h, h2, worded, keys; written once.
+
+    A null text has one row without pos; keys are null for lines that can be near no other.
+    """
+    # the length comes out of the generator, else every use of it would count characters again
+    split = F.expr("transform(split(text, '\\n', -1), (x, i) -> struct(i AS pos, x AS line, length(x) AS n))")
+    lines = rows.select("rid", "doc_id", F.inline_outer(split)).select("*", *measures())
+    lines = lines.select("*", F.coalesce(_has_word(), F.lit(False)).alias("worded"), *regions())
+    keys = F.when((F.col("n") >= LEAST) & F.col("worded"), line_keys()).alias("keys")
+    return stash(lines.select("rid", "doc_id", "pos", "n", *_ids(), "worded", keys), "lines-rows")
+
+
+def _keyed(lines: DataFrame, *carried: str) -> DataFrame:
+    """The carried columns, key and indexed, for each key of the lines that have any; equal lines repeat."""
+    each = lines.filter("keys IS NOT NULL").select(*carried, F.explode("keys").alias("_key")).filter("_key <> 0")
+    return each.withColumns({"key": F.shiftright("_key", 1), "indexed": F.col("_key").bitwiseAND(F.lit(1))}).drop("_key")
+
+
+def shared_keys(lines: DataFrame) -> DataFrame:
+    """Keys under which different lines meet, one of them by a segment of its own.
+
+    Key and line hashes alone are shuffled, summed on the map side: a line repeated
+    any number of times, or a key's many lines, are one row a task.
+    """
+    met = _keyed(lines, "h").groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.max("indexed").alias("indexed"))
+    return met.filter("a <> b AND indexed = 1").select("key")
+
+
+def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """h, h2, line and its signatures for the ``wanted`` lines (h, h2)."""
+    if wanted.count() <= BROADCAST_KEYS:
+        wanted = F.broadcast(wanted)
+    lines = rows.select(F.explode(F.split("text", "\n", -1)).alias("line")).select("line", *_ids()).join(wanted, ["h", "h2"], "left_semi")
+    once = lines.groupBy("h", "h2", "line").agg(F.count("*").alias("_n")).select("h", "h2", "line", F.split("line", "").alias("chars"))
+    return once.select("h", "h2", "line", F.expr(SIGNATURE).alias("sig"), F.expr(PAIR_SIGNATURE).alias("pairs"))
+
+
+def _cells(members: DataFrame) -> DataFrame:
+    """Buckets that can be met whole, keyed by (key, part, piece, cell).
+
+    A key with more than BUCKET lines is cut by pieces of the signature, of which lines
+    in reach share one; a piece still too large is dealt into chunks, each of which meets
+    each other one in a cell of two.
+    """
+    counts = members.groupBy("key").agg(F.count("*").alias("size"))
+    sized = members.join(counts, "key")
+    zero = F.lit(0).cast("long")
+    small = sized.filter(F.col("size") <= BUCKET).select("*", zero.alias("part"), zero.alias("piece"))
+    width = -(-_WORD // PARTS)
+    pieces = F.array(*[F.struct(F.lit(k).cast("long").alias("part"), F.shiftrightunsigned("sig", k * width).bitwiseAND(F.lit((1 << width) - 1)).alias("piece")) for k in range(PARTS)])
+    large = sized.filter(F.col("size") > BUCKET).select("*", F.inline(pieces))
+    parted = small.union(large).drop("size")
+    again = parted.groupBy("key", "part", "piece").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("chunks"))
+    dealt = parted.join(again, ["key", "part", "piece"]).withColumn("chunk", F.pmod("h2", "chunks").cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.least(k, F.col("chunk")) * F.col("chunks") + F.greatest(k, F.col("chunk")))
+    return dealt.withColumn("cell", F.explode(cells)).drop("chunks", "chunk")
+
+
+def near_lines(rows: DataFrame, lines: DataFrame, first: DataFrame) -> DataFrame:
+    """h, h2 of the lines that have an earlier one within EDITS; ``first`` has each line's first place.
+
+    Lines are met inside their bucket, and a line's verdict is all that leaves it.
+    """
+    alive = stash(shared_keys(lines), "lines-keys")
+    if alive.count() <= BROADCAST_KEYS:
+        alive = F.broadcast(alive)
+    members = stash(_keyed(lines, "h", "h2", "n").join(alive, "key", "left_semi").select("key", "h", "h2", "n").distinct(), "lines-members")
+    texts = _texts(rows, stash(members.select("h", "h2").distinct(), "lines-wanted"))
+    members = members.join(texts.join(first.select("h", "h2", "first"), ["h", "h2"]), ["h", "h2"])
+    one = F.struct("first", "n", "sig", "pairs", "h", "h2", F.split("line", "").alias("chars"))
+    met = _cells(members).groupBy("key", "part", "piece", "cell").agg(F.array_sort(F.collect_set(one)).alias("bucket")).filter(F.size("bucket") > 1)
+    reach = f"q.first < p.first AND abs(q.n - p.n) <= {EDITS} AND bit_count(q.sig ^ p.sig) <= {2 * EDITS} AND bit_count(q.pairs ^ p.pairs) <= {4 * EDITS}"
+    close = f"if(q.n >= p.n, {banded_distance('q.chars', 'p.chars')}, {banded_distance('p.chars', 'q.chars')}) <= {EDITS}"
+    near = F.expr(f"transform(filter(bucket, p -> exists(bucket, q -> {reach} AND {close})), p -> struct(p.h AS h, p.h2 AS h2))")
+    return met.select(F.inline(near)).distinct()
 
 
 def judged_lines(rows: DataFrame) -> DataFrame:
     """For every line of every row (rid, doc_id, text): pos, whether it has a word, whether it goes; a null text has one row without pos."""
-    found = rows.select("rid", "doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = stash(found.select("rid", "doc_id", "pos", *_ids(), F.coalesce(_has_word(), F.lit(False)).alias("worded")), "lines-rows")
+    lines = line_table(rows)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "pos")
     first = stash(lines.filter("worded").groupBy("h", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "lines-first")
-    pairs = near_pairs(distinct_lines(rows))
-    links = stash(pairs.union(pairs.select("b", "a")).toDF("h", "other").distinct(), "lines-links")
-    others = first.select(F.col("h").alias("other"), F.col("first").alias("theirs"))
-    before = links.join(others, "other").groupBy("h").agg(F.min("theirs").alias("theirs"), F.count("*").alias("links"))
-    known = first.join(before, "h", "left").filter("copies > 1 OR theirs < first").select("h", "h2", "first", F.coalesce(F.col("theirs") < F.col("first"), F.lit(False)).alias("near"))
+    close = near_lines(rows, lines, first).withColumn("near", F.lit(True))
+    known = first.join(close, ["h", "h2"], "left").filter("copies > 1 OR near").select("h", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     again = F.coalesce(F.col("near") | (F.col("first.rid") != F.col("rid")) | (F.col("first.pos") != F.col("pos")), F.lit(False))
     return lines.join(known, ["h", "h2"], "left").select("rid", "doc_id", "pos", "worded", (again & F.col("worded")).alias("goes"), (F.coalesce("near", F.lit(False)) & F.col("worded")).alias("near"))
 

@@ -84,3 +84,23 @@ def test_awkward_rows(spark, awkward, nothing):
     assert sum(r["n_removed"] for r in got) == sum(len(g) for *_, g in brute(rows))
     assert line_dedup.removed_lines(line_dedup._numbered(nothing)).collect() == []
     assert line_dedup.drop_lines(nothing).collect() == []
+
+
+def test_shuffled_keys_give_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, t in cases(5)], "doc_id long, text string").coalesce(1)
+    run = lambda: sorted(map(repr, line_dedup.removed_lines(line_dedup._numbered(docs)).collect()))
+    want = run()
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", -1)
+    assert run() == want
+
+
+@pytest.mark.parametrize("n", [3, 4, 5, 20, 61])
+def test_segments_cover_a_line(spark, n):
+    measured = spark.range(1).selectExpr(f"{n} AS n").select("n", *line_dedup.measures())
+    for less in range(3):
+        cuts = measured.selectExpr(*[f"{x} AS c{k}{j}" for k, pair in enumerate(line_dedup.segments(less)) for j, x in enumerate(pair)]).first()
+        at, length = 0, n - less
+        for start, size in zip(cuts[::2], cuts[1::2]):
+            assert start == at and size in (length // 3, length // 3 + 1)
+            at += size
+        assert at == length
