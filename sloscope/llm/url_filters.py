@@ -116,4 +116,55 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_url_filters": op6_url_filters}
-ORACLES: dict[str, str] = {}
+_RULES_SQL = ", ".join(f"('{action}', '{host}', '{path}')" for action, host, path in RULES)
+
+
+def _host_sql(url: str) -> str:
+    return f"translate(regexp_extract({url}, '://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}')"
+
+
+def _path_sql(url: str) -> str:
+    return f"regexp_extract({url}, '://[^/?#]*([^?#]*)', 1)"
+
+
+def _key_sql(url: str) -> str:
+    host = rf"regexp_replace(regexp_replace({_host_sql(url)}, '^(www|m|mobile|amp)\.([^.]+\.)', '\2'), ':(80|443)$', '')"
+    path = rf"regexp_replace({_path_sql(url)}, '/(index\.html?)?$', '')"
+    kept = rf"list_sort(list_filter(string_split(regexp_extract({url}, '://[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '(?i)^{TRACKING}(=|$)')))"
+    query = f"CASE WHEN len({kept}) > 0 THEN '?' || array_to_string({kept}, '&') ELSE '' END"
+    return f"CASE WHEN contains({url}, '://') AND {host} <> '' THEN {host} || {path} || {query} END"
+
+
+def _links_sql(which: str, attribute: str) -> str:
+    return f"""list_transform(list_filter(tags, lambda t: regexp_matches(t, '(?i)\\b{which}')), lambda t: replace(regexp_extract(t, '(?i)\\b{attribute}', 1), '&amp;', '&'))"""
+
+
+_VALUE_SQL = r"\s*=\s*[\x22\x27]?\s*([^\x22\x27>\s]+)"
+
+ORACLES = {
+    "op6_url_filters": rf"""
+        WITH RECURSIVE
+        r(action, rhost, rpath) AS (VALUES {_RULES_SQL}),
+        p AS (SELECT row_number() OVER () AS id, page_id, coalesce(url, '') AS url,
+          regexp_extract_all(coalesce(html, ''), '(?i)<(?:link|meta)\b[^>]*>') AS tags FROM pages),
+        raw AS (SELECT id, url, unnest(list_concat(list_concat(
+          {_links_sql("rel" + r"\s*=\s*[\x22\x27]?canonical\b", "href" + _VALUE_SQL)}, {_links_sql("property" + r"\s*=\s*[\x22\x27]?og:url\b", "content" + _VALUE_SQL)}),
+          {_links_sql("http-equiv" + r"\s*=\s*[\x22\x27]?refresh\b", r"url\s*=\s*[\x22\x27]?([^\x22\x27>\s]+)")})) AS t FROM p),
+        target AS (SELECT id, {_key_sql("url")} AS k, CASE WHEN contains(t, '://') THEN t
+          WHEN starts_with(t, '//') THEN regexp_extract(url, '^([^:/?#]*)://', 1) || ':' || t
+          WHEN starts_with(t, '/') THEN regexp_extract(url, '^([^:/?#]*://[^/?#]*)', 1) || t
+          ELSE regexp_extract(url, '^([^:/?#]*://[^/?#]*)', 1) || coalesce(nullif(regexp_replace({_path_sql("url")}, '[^/]*$', ''), ''), '/') || t END AS u FROM raw WHERE t <> ''),
+        urls AS (SELECT id, page_id, url AS u, {_key_sql("url")} AS k, true AS page FROM p
+          UNION ALL SELECT NULL, NULL, u, {_key_sql("u")}, false FROM target WHERE k IS NOT NULL),
+        judged AS (SELECT urls.*, {_host_sql("u")} AS host, {_path_sql("u")} AS path FROM urls),
+        best AS (SELECT judged.*, (SELECT struct_pack(action := action, rule := rhost || rpath) FROM r
+          WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) ORDER BY length(rhost || rpath) DESC, action LIMIT 1) AS by_rule FROM judged),
+        e AS (SELECT DISTINCT k AS a, {_key_sql("u")} AS b FROM target WHERE k IS NOT NULL),
+        both_ AS (SELECT a, b FROM e WHERE b IS NOT NULL UNION SELECT b, a FROM e WHERE b IS NOT NULL),
+        reach(action, k) AS (SELECT DISTINCT by_rule.action, k FROM best WHERE by_rule IS NOT NULL AND k IS NOT NULL
+          UNION SELECT reach.action, b FROM reach JOIN both_ ON reach.k = both_.a)
+        SELECT page_id, host, path, by_rule.rule AS rule,
+          CASE WHEN by_rule IS NOT NULL THEN by_rule.action WHEN k IN (SELECT k FROM reach WHERE action = 'block') AND k NOT IN (SELECT k FROM reach WHERE action = 'allow') THEN 'block' ELSE 'allow' END AS verdict,
+          CASE WHEN by_rule IS NOT NULL THEN 'rule' WHEN k IN (SELECT k FROM reach WHERE action = 'block') AND k NOT IN (SELECT k FROM reach WHERE action = 'allow') THEN 'alias' ELSE 'default' END AS source
+        FROM best WHERE page"""
+}

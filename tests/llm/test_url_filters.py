@@ -89,3 +89,20 @@ def test_canonical_forms_agree(spark, a, b):
     df = spark.createDataFrame([(a, b)], "a string, b string")
     row = df.select(url_filters.canonical_key(df.a), url_filters.canonical_key(df.b)).first()
     assert row[0] == row[1] and row[0]
+
+
+def test_sql_agrees_on_links_and_rules(spark, corpus):
+    import duckdb
+
+    rows = [page(k, u) for k, u in enumerate(URLS)]
+    rows += [page(20, "https://one.com/x", refresh("http://spam.net/a?utm_source=k")), page(21, "https://two.com/y", canonical("https://www.one.com/x/")), page(22, "http://m.two.com/y?ref=z#top")]
+    rows += [page(23, "http://four.com/", canonical("http://spam.net/b")), page(24, "http://spam.net/b", refresh("/c")), page(25, "http://example.org/fr/ok", canonical("http://spam.net/c"))]
+    rows += [page(26, "http://five.com/p/q", canonical("r")), page(27, "http://five.com/p/r", canonical("//z.net/")), (28, "http://five.com/", None), (28, "http://five.com/", None)]
+    folder = corpus(pages=spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    got = url_filters.op6_url_filters(spark, folder)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+    want = con.sql(url_filters.ORACLES["op6_url_filters"])
+    assert got.columns == want.columns
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
+    assert got.filter("source = 'alias'").count() >= 5
