@@ -117,16 +117,17 @@ def timeline(events: DataFrame, slos: DataFrame, tiers: tuple = DEFAULT_TIERS, s
 
     The spine of minutes makes quiet minutes visible, so that a short window is seen to clear.
     """
-    rows = chosen_buckets(events, slos).select("slo", "minute", "total", "bad")
+    rows = chosen_buckets(events, slos).groupBy("slo", "minute").agg(F.sum("total").alias("total"), F.sum("bad").alias("bad"))
     ends = rows.groupBy("slo").agg(F.min("minute").alias("a"), F.max("minute").alias("b"))
-    spine = ends.select("slo", F.explode(F.sequence(F.expr(f"a + pmod(-a, {step})"), F.expr(f"greatest(b + pmod(-b, {step}), a + pmod(-a, {step}))"), F.lit(step).cast("long"))).alias("minute"))
-    both = rows.withColumn("spine", F.lit(False)).union(spine.select("slo", "minute", F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(True)))
-    out = both
-    for m in _tier_windows(tiers):
-        frame = Window.partitionBy("slo").orderBy("minute").rangeBetween(-m, 0)
-        out = out.withColumns({f"total_{m}": F.sum("total").over(frame), f"bad_{m}": F.sum("bad").over(frame)})
+    spine = ends.select("slo", F.explode(F.sequence(F.col("a"), F.expr(f"b + pmod(-b, {step})"))).alias("minute"))
+    dense = spine.join(rows, ["slo", "minute"], "left").na.fill(0, ["total", "bad"])
+    # every minute is there, so a window's sum is the difference of two running sums, whatever its length
+    order = Window.partitionBy("slo").orderBy("minute")
+    running = dense.select("slo", "minute", *[F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in ("total", "bad")])
+    sums = [(F.col(c) - F.lag(c, m + 1, 0).over(order)).alias(f"{c}_{m}") for m in _tier_windows(tiers) for c in ("total", "bad")]
+    out = running.select("slo", "minute", *sums).filter(F.col("minute") % step == 0)
     named = slos.select(F.col("name").alias("slo"), "objective")
-    out = out.filter("spine").join(F.broadcast(named), "slo")
+    out = out.join(F.broadcast(named), "slo")
     each = [
         F.struct(
             F.lit(number).alias("tier_no"), F.lit(label).alias("tier_label"), F.lit(float(rate)).alias("threshold"),

@@ -52,9 +52,14 @@ def valid() -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+def _parsed(value: str, kind: T.DataType) -> Column:
+    """The parsed message as a generator's output: used many times over, it is still parsed once."""
+    return F.explode_outer(F.array(F.from_json(value, kind)))
+
+
 def parse_events(messages: DataFrame, value: str = "value", seq: str = "arrival_seq") -> DataFrame:
     """One JSON event in each message; messages that are none, or too long, are left out. Works on streams."""
-    parsed = messages.filter(F.octet_length(value) <= MOST_BYTES).select(F.col(seq).alias("arrival_seq"), F.from_json(value, EVENT_SCHEMA).alias("_event"))
+    parsed = messages.filter(F.octet_length(value) <= MOST_BYTES).select(F.col(seq).alias("arrival_seq"), _parsed(value, EVENT_SCHEMA).alias("_event"))
     return _tidy(parsed.filter("_event IS NOT NULL"), "_event", "arrival_seq").filter(valid())
 
 
@@ -63,7 +68,7 @@ def parse_batches(messages: DataFrame, value: str = "value", seq: str = "arrival
 
     Events arrive in the order of ``seq``, then of their place in the array.
     """
-    parsed = messages.filter(F.octet_length(value) <= MOST_BYTES).select(F.col(seq).alias("batch_seq"), F.from_json(value, T.ArrayType(EVENT_SCHEMA)).alias("_events"))
+    parsed = messages.filter(F.octet_length(value) <= MOST_BYTES).select(F.col(seq).alias("batch_seq"), _parsed(value, T.ArrayType(EVENT_SCHEMA)).alias("_events"))
     parsed = parsed.filter(F.size("_events").between(0, MOST_EVENTS))
     whole = parsed.filter(F.forall("_events", lambda e: F.coalesce(_complete(e), F.lit(False))))
     rows = whole.select("batch_seq", F.posexplode("_events").alias("place", "_event"))
@@ -80,7 +85,7 @@ def _complete(event: Column) -> Column:
 
 def batch_reply(messages: DataFrame, value: str = "value") -> DataFrame:
     """For each message the status an ingest endpoint would give (202, 400 or 413) and the events it took."""
-    parsed = messages.select("*", F.from_json(value, T.ArrayType(EVENT_SCHEMA)).alias("_events"))
+    parsed = messages.select("*", _parsed(value, T.ArrayType(EVENT_SCHEMA)).alias("_events"))
     good = F.coalesce(F.forall("_events", lambda e: F.coalesce(_complete(e), F.lit(False))), F.lit(False))
     code = F.when((F.octet_length(value) > MOST_BYTES) | (F.size("_events") > MOST_EVENTS), 413).when(good, 202).otherwise(400)
     out = parsed.withColumn("http_status", code)
