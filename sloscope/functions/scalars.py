@@ -113,7 +113,9 @@ def canonical_labels(model: str = "model", metadata: str = "metadata") -> Column
     """Sorted key-value structs of the model and the metadata; a metadata key ``model`` wins."""
     given = F.coalesce(F.col(metadata), F.create_map().cast("map<string,string>"))
     own = F.map_filter(F.create_map(F.lit("model"), F.col(model)), lambda k, _: ~F.map_contains_key(given, k))
-    return F.array_sort(F.map_entries(F.map_concat(own, given)))
+    bare = F.array(F.struct(F.lit("model").alias("key"), F.col(model).alias("value")))
+    # most events have no metadata; their key takes no map work
+    return F.when(F.size(given) == 0, bare).otherwise(F.array_sort(F.map_entries(F.map_concat(own, given))))
 
 
 def series_key(model: str = "model", metadata: str = "metadata") -> Column:
