@@ -15,6 +15,7 @@ from sloscope.functions import scalars as S
 from sloscope.operators import anomaly, buckets, incident, sketches, slo, windows
 from sloscope.plans import dashboard
 from sloscope.scratch import shared_folder
+from sloscope.session import reach_workers
 from sloscope.sources import config, events, journal, simulate
 from sloscope.streaming import pipeline
 
@@ -47,6 +48,7 @@ def query(name: str, sql: str | None = None, recursive: bool = False):
 
 
 def load(spark: SparkSession, sf_dir: str, region: bool = False) -> DataFrame:
+    reach_workers(spark)
     return events.from_event_table(spark.read.parquet(f"{sf_dir}/events.parquet"), region)
 
 
@@ -532,6 +534,7 @@ def _(spark, d):
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
+    reach_workers(spark)
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     return events.from_event_table(spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -35,3 +36,10 @@ def local_session(app: str = "sloscope-local", cores: int | None = None, **extra
     built = session(app, **(local | extra))
     built.sparkContext.setLogLevel("ERROR")
     return built
+
+
+def reach_workers(spark: SparkSession) -> None:
+    """Python workers import this package from where the driver has it, if it isn't installed for them."""
+    home, known = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    if home not in known.get("PYTHONPATH", "").split(":"):
+        known["PYTHONPATH"] = f"{known['PYTHONPATH']}:{home}" if known.get("PYTHONPATH") else home

@@ -11,16 +11,19 @@ from __future__ import annotations
 import json
 import os
 import struct
+import sys
 import zlib
 from collections.abc import Iterator
 from glob import glob
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 #: Fixed values of the format: little-endian, checksum over the length's bytes and the payload.
 MAGIC, VERSION, MOST = b"SNTL", 1, 1 << 20
-HEADER, FRAME = struct.Struct("<4sI"), struct.Struct("<II")
+HEADER, FRAME = "<4sI", "<II"
+HEADER_SIZE, FRAME_SIZE = struct.calcsize(HEADER), struct.calcsize(FRAME)
 SCHEMA = "path string, frame long, value string"
 
 
@@ -49,12 +52,12 @@ def read_frames(path: str, on_corrupt: str = "fail") -> Iterator[tuple[int, byte
             raise JournalCorruption(path, offset, detail)
 
     with open(path, "rb") as f:
-        head = f.read(HEADER.size)
-        if len(head) < HEADER.size or HEADER.unpack(head) != (MAGIC, VERSION):
+        head = f.read(HEADER_SIZE)
+        if len(head) < HEADER_SIZE or struct.unpack(HEADER, head) != (MAGIC, VERSION):
             return bad(0, "not a journal of this version")
-        offset = HEADER.size
-        while len(head := f.read(FRAME.size)) == FRAME.size:
-            size, crc = FRAME.unpack(head)
+        offset = HEADER_SIZE
+        while len(head := f.read(FRAME_SIZE)) == FRAME_SIZE:
+            size, crc = struct.unpack(FRAME, head)
             if size > MOST:
                 return bad(offset, f"a frame of {size} bytes")
             payload = f.read(size)
@@ -63,7 +66,7 @@ def read_frames(path: str, on_corrupt: str = "fail") -> Iterator[tuple[int, byte
             if zlib.crc32(head[:4] + payload) != crc:
                 return bad(offset, "checksum mismatch")
             yield offset, payload
-            offset += FRAME.size + size
+            offset += FRAME_SIZE + size
 
 
 class JournalFile:
@@ -71,16 +74,16 @@ class JournalFile:
 
     def __init__(self, path: str):
         self.path = path
-        if os.path.exists(path) and os.path.getsize(path) >= HEADER.size:
-            end = HEADER.size
+        if os.path.exists(path) and os.path.getsize(path) >= HEADER_SIZE:
+            end = HEADER_SIZE
             for offset, payload in read_frames(path):
-                end = offset + FRAME.size + len(payload)
+                end = offset + FRAME_SIZE + len(payload)
             self.file = open(path, "r+b")
             self.file.truncate(end)
             self.file.seek(end)
         else:
             self.file = open(path, "wb")
-            self.file.write(HEADER.pack(MAGIC, VERSION))
+            self.file.write(struct.pack(HEADER, MAGIC, VERSION))
 
     def append(self, event: str | dict) -> None:
         text = event if isinstance(event, str) else json.dumps(event, separators=(",", ":"))
@@ -186,6 +189,8 @@ class JournalSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the source known to a session; its code travels with it, so workers need no installation."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(JournalSource)
 
 
