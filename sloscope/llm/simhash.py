@@ -24,7 +24,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -232,23 +232,33 @@ def simhash_components(docs: DataFrame, width: int = 3) -> DataFrame:
     return prints.join(found, "_fp").select("doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_heads(docs: DataFrame, width: int) -> DataFrame:
-    """One row of each component stays (smallest doc_id, null last; then by text hash), with all its columns.
+def row_key() -> list[Column]:
+    """A row's id (null is the least long) and text hash."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_did"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_th")]
 
-    Rows are known by id and text hash, so no copy of the texts is written. Rows
-    alike in both are one row repeated, of which one stays, too.
-    """
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_did"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_th")]
+
+def keep_heads(docs: DataFrame, width: int) -> DataFrame:
+    """One row of each component stays (smallest doc_id, null last; then by text hash), with all its columns."""
+    key = row_key()
     texts = docs.select(*key, F.col("doc_id").isNull().alias("_no_id"), F.col("text").cast("string").alias("text"))
     prints = stash(with_fingerprints(texts, width).select("_did", "_th", "_no_id", "_fp"), "simhash-prints")
     ranks = prints.select("_fp", F.struct("_no_id", "_did", "_th").alias("head"))
     found = fingerprint_components(ranks, "head").filter("size > 1").select(F.col("fp").alias("_fp"), F.struct("head._did", "head._th").alias("stays"))
+    return keep_one(docs, prints, found)
+
+
+def keep_one(docs: DataFrame, prints: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` without the rows (known by _did, _th in ``prints``) whose _fp is in ``found``, where another row stays.
+
+    Rows are known by id and text hash, so no copy of the texts is written. Rows
+    alike in both are one row repeated, of which one stays, too.
+    """
     members = prints.join(found, "_fp").groupBy("_did", "_th", "stays").agg(F.count("*").alias("n"))
     heads = F.struct("_did", "_th") == F.col("stays")
     gone = stash(members.filter(~heads | (F.col("n") > 1)).select("_did", "_th", heads.alias("again")), "simhash-gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    marked = docs.select("*", *key)
+    marked = docs.select("*", *row_key())
     names = [F.col(f"`{c}`") for c in docs.columns]
     alone = marked.join(gone, ["_did", "_th"], "left_anti").select(*names)
     again = marked.join(gone.filter("again"), ["_did", "_th"], "left_semi").groupBy("_did", "_th")
