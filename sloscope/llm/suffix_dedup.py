@@ -21,6 +21,7 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -103,7 +104,9 @@ def anchors(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, ...]:
 _ANCHORS = "did long, th long, gram long, context long, low long, back int, more int"
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batches: Iterator[pa.RecordBatch], piece: int | None = None) -> Iterator[pa.RecordBatch]:
+    piece = piece or PIECE
+
     def rows(held: list) -> pa.RecordBatch:
         ends = np.cumsum([len(x[3]) for x in held])
         starts = ends - [len(x[3]) for x in held]
@@ -118,9 +121,9 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = text.as_buffer().to_pybytes() if hasattr(text, "as_buffer") else text.as_py()
             if len(data) < LENGTH:
                 continue
-            for base in range(0, max(1, len(data) - LENGTH + 1), PIECE):
-                part = data[base : base + PIECE + LENGTH - 1]
-                if held and size + len(part) > PIECE + LENGTH:
+            for base in range(0, max(1, len(data) - LENGTH + 1), piece):
+                part = data[base : base + piece + LENGTH - 1]
+                if held and size + len(part) > piece + LENGTH:
                     yield rows(held)
                     held, size = [], 0
                 held.append((did, th, base, part))
@@ -135,18 +138,18 @@ def _keyed(docs: DataFrame, *carried: str | Column) -> DataFrame:
     return docs.select(*carried, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64(text).alias("th"), text.cast("binary").alias("bytes"))
 
 
-_CONTEXTS = "gram long, did long, th long, at long, back int, more int, lone boolean, bytes binary"
+_CONTEXTS = "gram long, did long, th long, low long, at long, back int, more int, lone boolean, bytes binary"
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["gram", "did", "th", "at", "back", "more", "lone", "bytes"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+    names = ["gram", "did", "th", "low", "at", "back", "more", "lone", "bytes"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
     for batch in batches:
         out: list[list] = [[] for _ in names]
         for did, th, data, needs in zip(*(batch.column(c).to_pylist() for c in ("did", "th", "bytes", "needs"))):
             for x in needs:
                 low, more = x["low"], x["more"]
-                for column, value in zip(out, (x["gram"], did, th, low + x["back"], x["back"], more, x["lone"], data[low : low + more + LENGTH])):
+                for column, value in zip(out, (x["gram"], did, th, low, low + x["back"], x["back"], more, x["lone"], data[low : low + more + LENGTH])):
                     column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
@@ -240,7 +243,7 @@ def _large_spans(contexts: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """did, th, spans (array of start, end in bytes; they may overlap) for rows of ``_keyed`` with any repeat."""
-    found = stash(docs.mapInArrow(_anchor_rows, _ANCHORS), "suffix-anchors")
+    found = stash(docs.mapInArrow(partial(_anchor_rows, piece=PIECE), _ANCHORS), "suffix-anchors")
     met = found.groupBy("gram").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("mixed")).filter("n > 1")
     # written, so that the join is between plain shuffles and a hot anchor's rows can be split
     met = stash(met.select("gram", "mixed"), "suffix-met")
@@ -253,7 +256,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     border = contexts.filter("mixed").select("gram", "one.*", (F.col("n") == 1).alias("lone"))
     needs = border.groupBy("did", "th").agg(F.collect_list(F.struct("gram", "low", "back", "more", "lone")).alias("needs"))
-    sliced = stash(docs.join(needs, ["did", "th"]).mapInArrow(_slices, _CONTEXTS).dropDuplicates(["gram", "did", "th", "at"]), "suffix-slices")
+    sliced = stash(docs.join(needs, ["did", "th"]).mapInArrow(_slices, _CONTEXTS).dropDuplicates(["gram", "did", "th", "low", "at"]), "suffix-slices")
     large = stash(sliced.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("gram"), "suffix-large")
     small = sliced.join(large, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram")
     spans = whole.union(small.mapInArrow(_border_spans, _SPANS)).union(_large_spans(sliced.join(large, "gram", "left_semi")))

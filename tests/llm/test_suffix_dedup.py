@@ -102,3 +102,20 @@ def test_awkward_rows_and_no_rows(spark, awkward, nothing):
     got = suffix_dedup.suffix_dedup(awkward).collect()
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in got), key=str) == brute(rows)
     assert suffix_dedup.suffix_dedup(nothing).collect() == []
+
+
+@pytest.mark.parametrize("group", [20_000, 1])
+def test_repeats_over_piece_borders(spark, monkeypatch, group):
+    """Pieces are small in the workers, too: windows on both sides of a piece's end count."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1000)
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    rows = []
+    for k in range(40):
+        long = noise(4000)
+        start = 1000 * rng.randint(1, 2) - rng.randint(0, 700)
+        rows += [(2 * k, long), (2 * k + 1, noise(50) + long[start : start + rng.randint(400, 800)] + noise(50))]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    done = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in got]
+    assert sorted(done, key=str) == brute(rows)
