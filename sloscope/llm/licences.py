@@ -42,9 +42,12 @@ FAMILIES = (
     ("mit", "expat", r"expat licen[cs]e", ""),
     ("x11", "x11", r"x11 licen[cs]e", ""),
     ("isc", "isc", r"isc licen[cs]e", ""),
-    ("bsd-2-clause", "bsd", r"(?:simplified bsd|freebsd|(?:bsd )?(?:2|two) clause(?: bsd)?) licen[cs]e", ""),
-    ("bsd-3-clause", "bsd", r"(?:new bsd|revised bsd|modified bsd|(?:bsd )?(?:3|three) clause(?: bsd)?) licen[cs]e", ""),
-    ("bsd-4-clause", "bsd", r"(?:original bsd|(?:bsd )?(?:4|four) clause(?: bsd)?) licen[cs]e", ""),
+    ("bsd-2-clause", "bsd", r"(?:simplified bsd|freebsd) licen[cs]e", ""),
+    ("bsd-2-clause", "clause", r"(?:bsd )?(?:2|two) clause(?: bsd)? licen[cs]e", ""),
+    ("bsd-3-clause", "bsd", r"(?:new bsd|revised bsd|modified bsd) licen[cs]e", ""),
+    ("bsd-3-clause", "clause", r"(?:bsd )?(?:3|three) clause(?: bsd)? licen[cs]e", ""),
+    ("bsd-4-clause", "bsd", r"original bsd licen[cs]e", ""),
+    ("bsd-4-clause", "clause", r"(?:bsd )?(?:4|four) clause(?: bsd)? licen[cs]e", ""),
     ("0bsd", "0bsd", r"0bsd(?: licen[cs]e)?", ""),
     ("bsd", "bsd", r"bsd(?: style)? licen[cs]e", ""),
     ("mpl", "mozilla", r"mozilla public licen[cs]e", "1.0 1.1 2.0"),

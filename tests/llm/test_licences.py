@@ -73,3 +73,8 @@ def test_op7(spark, corpus, nothing):
         if k in LABELS:
             assert r["labels"] == LABELS[k]
     assert licences.scan_licenses(nothing).collect() == []
+
+
+@pytest.mark.parametrize("text,label", [("under the two clause license", "bsd-2-clause"), ("a 3 clause licence", "bsd-3-clause"), ("Four-Clause License", "bsd-4-clause"), ("the 2-clause BSD license", "bsd-2-clause"), ("Simplified BSD License", "bsd-2-clause")])
+def test_clause_licenses_need_no_bsd(text, label):
+    assert label in [x[0] for x in licences.scan(text)[2]]
