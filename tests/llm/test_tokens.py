@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import public_tokenizers as P
+import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -17,7 +18,6 @@ from sloscope.llm import bpe, packing
 LINES = [line.split() for line in open(P.path(bpe.RANKS), "rb")]
 TIK = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in LINES}, special_tokens={})
 HF = Tokenizer.from_file(P.path(packing.TOKENIZER))
-HF.encode_special_tokens = True
 
 
 def unpack(b):
@@ -48,9 +48,25 @@ def test_every_kind_of_character():
     encoder, pieces = bpe.codec(bpe.RANKS)
     texts = [f"a{chr(c)}b {chr(c)} {chr(c)}{chr(c)}1 <|endoftext|>" for c in [*range(0x3100), *range(0x1F300, 0x1F700)] if not 0xD800 <= c <= 0xDFFF]
     for text, ids, hf in zip(texts, pieces.encode(texts), HF.encode_batch(texts, add_special_tokens=False)):
-        assert hf.ids == TIK.encode_ordinary(text) == unpack(ids) == unpack(packing.token_ids(text))
+        assert TIK.encode_ordinary(text) == unpack(ids)
+        assert hf.ids == unpack(packing.token_ids(text))
 
 
+END = "<|endoftext|>"
+
+
+@pytest.mark.parametrize("text", [END, f"{END}a b", f"a b{END}", f"a {END} b", f"a{END}b", END * 3, f"a  {END}  {END}\n\nb", f"{END[:-1]} {END}{END[1:]}", f"<|{END}|>", "x" + END + "é" * 9 + END])
+def test_added_tokens_in_a_text_are_one_id(text):
+    want = HF.encode(text, add_special_tokens=False).ids
+    assert unpack(packing.token_ids(text)) == want and 50256 in want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.just(END), st.sampled_from(["<|", "|>", "endoftext", " ", "\n", "a", "'s", "12"]), st.text(max_size=4)), max_size=12))
+def test_added_tokens_among_other_text(parts):
+    text = "".join(parts)
+    assert unpack(packing.token_ids(text)) == HF.encode(text, add_special_tokens=False).ids
+
 def test_encode_documents(awkward, nothing):
     got = bpe.encode_documents(awkward).collect()
     want = [(r["doc_id"], TIK.encode_ordinary(r["text"] or ""), (r["text"] or "").encode()) for r in awkward.collect()]
