@@ -78,6 +78,21 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+#: Columns of ``row_key``.
+KEY = ("_did", "_th", "_tg")
+
+
+def row_key() -> list[Column]:
+    """A row's id (null is the least long) and 128 bits of its text's hash: rows alike in all are one row repeated."""
+    text = text_or_empty()
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_did"), F.xxhash64(text).alias("_th"), F.xxhash64(F.lit("row"), text).alias("_tg")]
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct ``_row``, so that none can clash with an operator's own."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+
+
 def blocks_for(rows: int, per_block: int, least: int = 1) -> int:
     """How many blocks hold ``rows`` at about ``per_block`` each; grows with the input."""
     return max(least, -(-rows // per_block))

@@ -3,16 +3,20 @@
 Fingerprints of 64 bits link at three or fewer differing bits. Cut into two
 segments of 32 bits, one segment of a linked pair differs by at most one bit, so
 each segment is indexed exactly and with each single bit wildcarded; equal keys
-meet and are verified on all 64 bits. A key with many distinct fingerprints is
-cut again on its free bits (four parts, of which a linked pair shares one) until
-it is small, so no bucket grows with the data and no link is lost. Buckets yield
-a spanning forest of their links, not all pairs; components are found over
-distinct fingerprints and copies only join the result.
+meet and are verified on all 64 bits. Exact keys come first and give most links of
+a dense group; the 64 one-wildcard keys then only meet what is still in different
+components. A key with many distinct fingerprints of different components is cut
+again on its free bits (four parts, of which a linked pair shares one) until it is
+small, and before and after each cut keys with a single component left end. Large
+keys are known by counts, so their members are never gathered; no bucket grows with
+the data and no link is lost. Buckets yield a spanning forest of their links, not all
+pairs; components are found over distinct fingerprints and copies only join the result.
 
 Defined cases: a null text has no words; no words give fingerprint zero, linked
 like any other; fewer words than a shingle make one shingle of the whole sequence.
 A null doc_id gets a component like any row, but is its id only if all are null.
-Repeated rows and ids stay rows of their own. An empty table gives an empty result.
+Repeated rows and ids stay rows of their own; a very long text is one row like any
+other and is hashed in parts of 65,536 shingles. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,16 +28,20 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sloscope.llm.common import stash, table
+from sloscope.llm.common import KEY, row_key, stash, table, whole_row
 from sloscope.llm.components import connected_components
 
 BITS, NEAR = 64, 3
 #: Distinct fingerprints compared directly in one bucket; larger buckets are cut again.
-BUCKET = 1024
+BUCKET = 4096
+#: Segment values (8 bytes each) of large buckets that tasks may be told; were there more, tasks would find large buckets in their sorted rows.
+HOT_VALUES = 1_000_000
+#: Fingerprint pairs compared at once, which bounds a worker's memory.
+PAIRS = 1 << 19
 #: At so few free bits a bucket is small by construction and is compared whole.
 FREE_BITS = 14
 SEED = 42
@@ -75,21 +83,38 @@ def with_fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.mapInArrow(partial(_fingerprints, width=width), schema)
 
 
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint under its 2 exact and 64 one-wildcard segment keys: kind in the high half."""
+def _variants(batches: Iterator[pa.RecordBatch], wild: bool, large: np.ndarray, hot: bool) -> Iterator[pa.RecordBatch]:
+    """Fingerprints (fp, root) under their 2 exact or 64 one-wildcard segment keys: kind in the high half; mask has the bits that a key fixes.
+
+    ``large``: the exact keys, ascending, of buckets to be cut at once. Their rows and those
+    of wildcard keys over them are left out, or with ``hot`` are the only ones.
+    """
+
+    def listed(keys: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(large, keys), len(large) - 1)
+        return large[at] == keys if len(large) else np.zeros(len(keys), bool)
+
     for batch in batches:
-        fp = batch.column("fp").to_numpy().view(np.uint64)
-        for at in range(0, len(fp), 4096):
-            part, keys = fp[at : at + 4096], []
+        fp, root = (batch.column(c).to_numpy().view(np.uint64) for c in ("fp", "root"))
+        for at in range(0, len(fp), 65536):
+            part, roots = fp[at : at + 65536], root[at : at + 65536]
             for s in range(2):
-                value = (part >> np.uint64(32 * s)) & np.uint64(_HALF)
-                keys.append(value | np.uint64(s << 32))
-                keys += [value & ~np.uint64(1 << i) | np.uint64((2 + 32 * s + i) << 32) for i in range(32)]
-            yield _bucket_rows(np.concatenate(keys), np.tile(part, len(keys)))
+                own = (part >> np.uint64(32 * s)) & np.uint64(_HALF) | np.uint64(s << 32)
+                for i in range(32) if wild else (None,):
+                    bit = np.uint64(0 if i is None else 1 << i)
+                    chosen = (listed(own) | listed(own ^ bit)) == hot
+                    kind = s if i is None else 2 + 32 * s + i
+                    key = own & np.uint64(_HALF) & ~bit | np.uint64(kind << 32)
+                    if chosen.any():
+                        yield _bucket_rows(key[chosen], part[chosen], roots[chosen], _fixed_bits(kind))
+
+
+_BUCKETS = "key long, fp long, root long, mask long"
 
 
-def _bucket_rows(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp.view(np.int64))], names=["key", "fp"])
+def _bucket_rows(key: np.ndarray, fp: np.ndarray, root: np.ndarray, mask: int) -> pa.RecordBatch:
+    columns = (key, fp, root, np.full(len(key), mask, np.uint64))
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], names=["key", "fp", "root", "mask"])
 
 
 def _fixed_bits(kind: int) -> int:
@@ -108,7 +133,7 @@ def _parts(mask: int) -> list[int]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members of large buckets under four finer keys each."""
     for batch in batches:
-        key, fp, mask = (batch.column(c).to_numpy().view(np.uint64) for c in ("key", "fp", "mask"))
+        key, fp, root, mask = (batch.column(c).to_numpy().view(np.uint64) for c in ("key", "fp", "root", "mask"))
         for m in np.unique(mask):
             own = mask == m
             for part in _parts(int(m)):
@@ -116,102 +141,136 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     finer = (key[own] ^ np.uint64(part)) * np.uint64(0x9E3779B97F4A7C15) + (fp[own] & np.uint64(part))
                     finer = (finer ^ (finer >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
                     finer ^= finer >> np.uint64(32)
-                n = len(finer)
-                yield pa.RecordBatch.from_arrays([pa.array(finer.view(np.int64)), pa.array(fp[own].view(np.int64)), pa.array(np.full(n, int(m) | part, np.uint64).view(np.int64))], names=["key", "fp", "mask"])
-
-
-def _forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the links among distinct fingerprints."""
-    root = np.arange(len(fp))
-    for _ in range(len(fp)):
-        before = root.copy()
-        for at in range(0, len(fp), 512):
-            near = np.bitwise_count(fp[at : at + 512, None] ^ fp[None, :]) <= NEAR
-            root[at : at + 512] = np.where(near, root[None, :], len(fp)).min(axis=1)
-        root = np.minimum(root, root[root])
-        if (root == before).all():
+                yield _bucket_rows(finer, fp[own], root[own], int(m) | part)
+
+
+def _forest(fp: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join the components (``root``) of distinct fingerprints linked to each other."""
+    n = len(fp)
+    first = np.unique(root, return_inverse=True)[1]
+    least = np.full(n, n)
+    np.minimum.at(least, first, np.arange(n))
+    known = least[first]
+    label, step = known.copy(), max(1, PAIRS // n)
+    while True:
+        before = label.copy()
+        for at in range(0, n, step):
+            near = np.bitwise_count(fp[at : at + step, None] ^ fp[None, :]) <= NEAR
+            label[at : at + step] = np.where(near, label[None, :], n).min(axis=1)
+        np.minimum.at(least, first, label)  # a component moves as one
+        label = least[first]
+        label = np.minimum(label, label[label])
+        if (label == before).all():
             break
-    far = root != np.arange(len(fp))
-    return fp[far], fp[root[far]]
+    far = np.flatnonzero((label != known) & (known == np.arange(n)))
+    return fp[far], fp[label[far]]
 
 
-_LINKS = "hot boolean, key long, fp long, mask long"
+_LINKS = "hot boolean, key long, fp long, root long, mask long"
 
 
-def _links(batches: Iterator[pa.RecordBatch], finer: bool) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: edges (fp, and its partner in mask), or members of a bucket too large as they are."""
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key: edges (fp, and its partner in root), or members of a bucket too large as they are."""
+    names = ("key", "fp", "root", "mask")
 
-    def rows(hot: bool, key: np.ndarray, fp: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), hot)), *(pa.array(x.view(np.int64)) for x in (key, fp, other))], names=["hot", "key", "fp", "mask"])
+    def rows(hot: bool, *columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), hot)), *(pa.array(x.view(np.int64)) for x in columns)], names=["hot", *names])
 
-    def large(run: np.ndarray, fixed: int) -> bool:
-        return len(run) > BUCKET and BITS - fixed.bit_count() > FREE_BITS
+    def cuttable(mask: np.ndarray) -> bool:
+        return BITS - int(mask[0]).bit_count() > FREE_BITS
 
-    def settle(key: np.ndarray, fp: np.ndarray, mask: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    def settle(key: np.ndarray, fp: np.ndarray, root: np.ndarray, mask: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Whole buckets."""
         cuts = np.flatnonzero(np.diff(key)) + 1
         starts, sizes = np.concatenate(([0], cuts)), np.diff(np.concatenate(([0], cuts, [len(key)])))
         two = starts[sizes == 2]
-        near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= NEAR
+        near = (np.bitwise_count(fp[two] ^ fp[two + 1]) <= NEAR) & (root[two] != root[two + 1])
         if near.any():
-            yield rows(False, key[two[near]], fp[two[near]], fp[two[near] + 1])
+            two = two[near]
+            yield rows(False, key[two], fp[two], fp[two + 1], mask[two])
         for a, n in zip(starts[sizes > 2], sizes[sizes > 2]):
-            run, kind = np.unique(fp[a : a + n]), int(key[a]) >> 32
-            fixed = int(mask[a]) if mask is not None else _fixed_bits(kind)
-            if mask is None and kind >= 2 and (run >> np.uint64(kind - 2) & np.uint64(1)).std() == 0:
-                continue  # all agree on the wildcard: the exact bucket has them
-            if large(run, fixed):
-                yield rows(True, np.full(len(run), key[a]), run, np.full(len(run), fixed, np.uint64))
+            run, at = np.unique(fp[a : a + n], return_index=True)
+            own = root[a : a + n][at]
+            if (own == own[0]).all():
+                continue
+            if len(run) > BUCKET and cuttable(mask[a : a + 1]):
+                yield rows(True, np.full(len(run), key[a]), run, own, np.full(len(run), mask[a]))
             else:
-                a_end, b_end = _forest(run)
+                a_end, b_end = _forest(run, own)
                 if len(a_end):
-                    yield rows(False, np.full(len(a_end), key[a]), a_end, b_end)
+                    yield rows(False, np.full(len(a_end), key[a]), a_end, b_end, np.full(len(a_end), mask[a]))
 
-    empty = np.zeros(0, np.uint64)
-    held = (empty, empty, empty if finer else None)
+    held = [np.zeros(0, np.uint64)] * 4
     over: int | None = None  # the key of a bucket that already went out as too large
     for batch in batches:
-        now = [batch.column(c).to_numpy().view(np.uint64) for c in (("key", "fp", "mask") if finer else ("key", "fp"))]
+        now = [batch.column(c).to_numpy().view(np.uint64) for c in names]
         if not len(now[0]):
             continue
-        key, fp, mask = np.concatenate((held[0], now[0])), np.concatenate((held[1], now[1])), np.concatenate((held[2], now[2])) if finer else None
-        last = int(np.searchsorted(key.view(np.int64), key.view(np.int64)[-1]))
+        held = [np.concatenate(x) for x in zip(held, now)]
+        signed = held[0].view(np.int64)
         if over is not None:
-            end = int(np.searchsorted(key.view(np.int64), np.uint64(over).view(np.int64), side="right"))
+            end = int(np.searchsorted(signed, np.uint64(over).view(np.int64), side="right"))
             if end:
-                fixed = int(mask[0]) if finer else _fixed_bits(over >> 32)
-                yield rows(True, key[:end], fp[:end], np.full(end, fixed, np.uint64))
-            key, fp, mask = key[end:], fp[end:], mask[end:] if finer else None
-            last = max(0, last - end)
-            if not len(key):
-                held = (empty, empty, empty if finer else None)
+                yield rows(True, *(x[:end] for x in held))
+            held = [x[end:] for x in held]
+            if not len(held[0]):
                 continue
-            over = None
+            over, signed = None, held[0].view(np.int64)
+        last = int(np.searchsorted(signed, signed[-1]))
         if last:
-            yield from settle(key[:last], fp[:last], mask[:last] if finer else None)
-        key, fp, mask = key[last:], fp[last:], mask[last:] if finer else None
-        fixed = int(mask[0]) if finer else _fixed_bits(int(key[0]) >> 32)
-        if len(key) > 8 * BUCKET and BITS - fixed.bit_count() > FREE_BITS:
-            yield rows(True, key, fp, np.full(len(key), fixed, np.uint64))
-            over = int(key[0])
-            key, fp, mask = empty, empty, empty if finer else None
-        held = (key, fp, mask)
+            yield from settle(*(x[:last] for x in held))
+            held = [x[last:] for x in held]
+        if len(held[0]) > 4 * BUCKET and cuttable(held[3]):
+            yield rows(True, *held)
+            over = int(held[0][0])
+            held = [np.zeros(0, np.uint64)] * 4
     if len(held[0]):
         yield from settle(*held)
 
 
-def fingerprint_links(distinct: DataFrame) -> DataFrame:
-    """Edges a, b whose components are those of all links between the distinct ``fp``."""
-    level, found = distinct.select("fp").mapInArrow(_variants, "key long, fp long"), None
-    finer = False
+def _met(level: DataFrame, hot: DataFrame, found: DataFrame | None) -> DataFrame:
+    """The edges ``found`` so far and those of the keys of ``level`` and ``hot``; the latter's are cut, until none is left."""
     while True:
-        out = stash(level.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_links, finer=finer), _LINKS), "simhash-links")
-        edges = out.filter("not hot").select(F.col("fp").alias("a"), F.col("mask").alias("b"))
+        out = stash(level.repartition("key").sortWithinPartitions("key").mapInArrow(_links, _LINKS), "simhash-links")
+        edges = out.filter("not hot").select(F.col("fp").alias("a"), F.col("root").alias("b"))
         found = edges if found is None else found.union(edges)
-        hot = out.filter("hot").select("key", "fp", "mask")
+        hot = hot.union(out.filter("hot").drop("hot"))
         if hot.isEmpty():
             return found
-        level, finer = hot.mapInArrow(_cut, "key long, fp long, mask long"), True
+        hot = _rooted(hot.drop("root"), found)
+        apart = F.min("root") != F.max("root")
+        uneven = stash(hot.groupBy("key").agg(apart.alias("apart")).filter("apart").select("key"), "simhash-apart")
+        finer = stash(hot.join(uneven, "key").select("key", "fp", "root", "mask").mapInArrow(_cut, _BUCKETS), "simhash-finer")
+        fixed = F.bit_count(F.max("mask"))
+        sizes = finer.groupBy("key").agg(apart.alias("apart"), ((F.count("*") > BUCKET) & (fixed < BITS - FREE_BITS)).alias("big"))
+        finer = stash(finer.join(stash(sizes.filter("apart").select("key", "big"), "simhash-sizes"), "key"), "simhash-cut")
+        level, hot = (finer.filter(c).select("key", "fp", "root", "mask") for c in ("not big", "big"))
+
+
+def _rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` with the component of their ``fp`` by the edges known so far."""
+    roots = stash(connected_components(edges), "simhash-roots").toDF("fp", "root")
+    return stash(rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-rooted")
+
+
+def _large_values(distinct: DataFrame) -> np.ndarray:
+    """Exact keys with more than BUCKET fingerprints, ascending; none where a task could not be told them all."""
+    halves = F.array(*(F.shiftrightunsigned("fp", 32 * s).bitwiseAND(F.lit(_HALF)) + F.lit(s << 32) for s in range(2)))
+    large = stash(distinct.select(F.explode(halves).alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET).select("key"), "simhash-large")
+    found = large.toArrow()["key"].to_numpy() if large.count() <= HOT_VALUES else np.zeros(0, np.int64)
+    return np.sort(found.view(np.uint64))
+
+
+def fingerprint_links(distinct: DataFrame) -> DataFrame:
+    """Edges a, b whose components are those of all links between the distinct ``fp``."""
+    large = _large_values(distinct)
+
+    def family(rows: DataFrame, found: DataFrame | None, wild: bool) -> DataFrame:
+        level, hot = (rows.mapInArrow(partial(_variants, wild=wild, large=large, hot=h), _BUCKETS) for h in (False, True))
+        return _met(level, hot if len(large) else hot.limit(0), found)
+
+    exact = family(distinct.select("fp", F.col("fp").alias("root")), None, False)
+    return family(_rooted(distinct.select("fp"), exact), exact, True)
 
 
 def fingerprint_components(prints: DataFrame, *carried: str) -> DataFrame:
@@ -232,37 +291,30 @@ def simhash_components(docs: DataFrame, width: int = 3) -> DataFrame:
     return prints.join(found, "_fp").select("doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def row_key() -> list[Column]:
-    """A row's id (null is the least long) and text hash."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_did"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_th")]
-
-
 def keep_heads(docs: DataFrame, width: int) -> DataFrame:
     """One row of each component stays (smallest doc_id, null last; then by text hash), with all its columns."""
-    key = row_key()
-    texts = docs.select(*key, F.col("doc_id").isNull().alias("_no_id"), F.col("text").cast("string").alias("text"))
-    prints = stash(with_fingerprints(texts, width).select("_did", "_th", "_no_id", "_fp"), "simhash-prints")
-    ranks = prints.select("_fp", F.struct("_no_id", "_did", "_th").alias("head"))
-    found = fingerprint_components(ranks, "head").filter("size > 1").select(F.col("fp").alias("_fp"), F.struct("head._did", "head._th").alias("stays"))
+    texts = docs.select(*row_key(), F.col("doc_id").isNull().alias("_no_id"), F.col("text").cast("string").alias("text"))
+    prints = stash(with_fingerprints(texts, width).select(*KEY, "_no_id", "_fp"), "simhash-prints")
+    ranks = prints.select("_fp", F.struct("_no_id", *KEY).alias("head"))
+    found = fingerprint_components(ranks, "head").filter("size > 1").select(F.col("fp").alias("_fp"), F.struct(*(f"head.{c}" for c in KEY)).alias("stays"))
     return keep_one(docs, prints, found)
 
 
 def keep_one(docs: DataFrame, prints: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` without the rows (known by _did, _th in ``prints``) whose _fp is in ``found``, where another row stays.
+    """``docs`` without the rows (known by KEY in ``prints``) whose _fp is in ``found``, where another row stays.
 
-    Rows are known by id and text hash, so no copy of the texts is written. Rows
+    Rows are known by id and text hashes, so no copy of the texts is written. Rows
     alike in both are one row repeated, of which one stays, too.
     """
-    members = prints.join(found, "_fp").groupBy("_did", "_th", "stays").agg(F.count("*").alias("n"))
-    heads = F.struct("_did", "_th") == F.col("stays")
-    gone = stash(members.filter(~heads | (F.col("n") > 1)).select("_did", "_th", heads.alias("again")), "simhash-gone")
+    members = prints.join(found, "_fp").groupBy(*KEY, "stays").agg(F.count("*").alias("n"))
+    heads = F.struct(*KEY) == F.col("stays")
+    gone = stash(members.filter(~heads | (F.col("n") > 1)).select(*KEY, heads.alias("again")), "simhash-gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    marked = docs.select("*", *row_key())
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    alone = marked.join(gone, ["_did", "_th"], "left_anti").select(*names)
-    again = marked.join(gone.filter("again"), ["_did", "_th"], "left_semi").groupBy("_did", "_th")
-    return alone.union(again.agg(F.first(F.struct(*names)).alias("row")).select("row.*"))
+    marked = docs.select(whole_row(docs), *row_key())
+    alone = marked.join(gone, list(KEY), "left_anti").select("_row")
+    again = marked.join(gone.filter("again"), list(KEY), "left_semi").groupBy(*KEY)
+    return alone.union(again.agg(F.first("_row").alias("_row")).select("_row")).select("_row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

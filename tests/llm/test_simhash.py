@@ -78,25 +78,39 @@ def test_all_links_are_found(spark):
     check(spark, prints)
 
 
-def test_large_buckets_are_cut(spark, monkeypatch):
-    """A dense cluster, with buckets so small that every level of cutting is used (in this process, too)."""
-    rng = random.Random(6)
+def dense(rng):
     center = rng.getrandbits(64)
-    prints = sorted({near(rng, center, rng.randint(0, 6)) for _ in range(500)} | {rng.getrandbits(64) for _ in range(50)})
+    return sorted({near(rng, center, rng.randint(0, 6)) for _ in range(500)} | {rng.getrandbits(64) for _ in range(50)})
+
+
+def test_large_buckets_are_cut(spark, monkeypatch):
+    """A dense cluster; with small buckets in this process, so that large ones are routed by counts and cut again."""
+    prints = dense(random.Random(6))
+    check(spark, prints)
+    monkeypatch.setattr(simhash, "BUCKET", 50)
     check(spark, prints)
+    monkeypatch.setattr(simhash, "HOT_VALUES", -1)
+    check(spark, prints)
+
+
+def test_large_buckets_of_unlisted_keys_go_on(monkeypatch):
+    """Tasks that meet a large bucket in their sorted rows pass it on whole, over any batch borders."""
     monkeypatch.setattr(simhash, "BUCKET", 4)
-    batch = pa.RecordBatch.from_arrays([pa.array(np.array(prints, np.uint64).view(np.int64))], names=["fp"])
-    level, finer, edges = list(simhash._variants([batch])), False, []
+    prints = dense(random.Random(6))
+    none, edges = np.zeros(0, np.uint64), []
+    fp = pa.array(np.array(prints, np.uint64).view(np.int64))
+    batch = pa.RecordBatch.from_arrays([fp, fp], names=["fp", "root"])
+    level = [b for wild in (False, True) for b in simhash._variants([batch], wild, none, False)]
     for _ in range(6):
         rows = pa.Table.from_batches(level).sort_by("key")
-        out = pa.Table.from_batches(simhash._links(rows.to_batches(max_chunksize=37), finer)).to_pandas()
-        edges += out[~out.hot][["fp", "mask"]].itertuples(index=False)
-        hot = out[out.hot][["key", "fp", "mask"]]
-        if hot.empty:
+        out = pa.Table.from_batches(simhash._links(rows.to_batches(max_chunksize=37)))
+        table = out.to_pandas()
+        edges += table[~table.hot][["fp", "root"]].itertuples(index=False)
+        hot = out.filter(out["hot"]).drop_columns(["hot"])
+        if not len(hot):
             break
-        assert not finer or len(hot)
-        level, finer = list(simhash._cut([pa.RecordBatch.from_pandas(hot, preserve_index=False)])), True
-    assert hot.empty and finer
+        level = list(simhash._cut(hot.to_batches()))
+    assert not len(hot)
     root = {p: p for p in prints}
 
     def find(p):
@@ -111,6 +125,14 @@ def test_large_buckets_are_cut(spark, monkeypatch):
     assert len({find(p) for p in prints}) == len(set(want))
 
 
+def test_forest_joins_known_components_only():
+    fp = np.array([0, 1, 0b1111, 0xFF00, 0xFF01, 0xFFFF << 40], np.uint64)
+    roots = np.array([7, 7, 7, 9, 9, 3], np.uint64)
+    assert [len(x) for x in simhash._forest(fp, roots)] == [0, 0]
+    a, b = simhash._forest(fp, np.array([7, 8, 8, 9, 9, 3], np.uint64))
+    assert {*a.tolist(), *b.tolist()} <= {0, 1, 0b1111} and len(a) == 1
+
+
 def test_empty_table_and_stage(nothing, awkward):
     assert simhash.simhash_components(nothing).collect() == []
     assert simhash.keep_heads(nothing, 5).collect() == []
