@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sloscope.llm import fuse
-from sloscope.llm.common import SPACE, blocks_for, stash, table, text_or_empty
+from sloscope.llm.common import SPACE, blocks_for, stash, table, text_or_empty, whole_row
 
 #: Digests in one filter; a filter of this many keys takes about 5 KB.
 KEYS_PER_FILTER = 4096
 #: Digests (8 bytes each) that may be broadcast; beyond it a salted shuffle join is used.
 BROADCAST_DIGESTS = 500_000
-SALTS = 16
+#: Salts at least, and rows of one hot digest's share of a salt: their number grows with the input.
+SALTS, ROWS_PER_SALT = 16, 2_000_000
 
 
 @dataclass(frozen=True)
@@ -78,15 +79,16 @@ def screen(incoming: DataFrame, snapshot: Snapshot) -> DataFrame:
     return pairs.applyInPandas(_screen, "h long, bucket int")
 
 
-def _byte_groups(docs: DataFrame, digests: DataFrame) -> DataFrame:
+def _byte_groups(docs: DataFrame, digests: DataFrame, total: int) -> DataFrame:
     """Exact classes among the rows whose digest is in ``digests``: h, sha, size by comparing bytes."""
     digests = stash(digests, "exact-suspects")
     rows = docs.select(normal_text().alias("norm")).withColumn("h", F.xxhash64("norm"))
     if digests.count() <= BROADCAST_DIGESTS:
         rows = rows.join(F.broadcast(digests), "h", "left_semi")
     else:
-        spread = digests.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("salt", (F.rand(7) * SALTS).cast("int")).join(spread, ["h", "salt"], "left_semi").drop("salt")
+        salts = blocks_for(total, ROWS_PER_SALT, SALTS)
+        spread = digests.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        rows = rows.withColumn("salt", (F.rand(7) * salts).cast("int")).join(spread, ["h", "salt"], "left_semi").drop("salt")
     return rows.groupBy("h", "norm").agg(F.count("*").alias("size")).select("h", F.sha2("norm", 256).alias("sha"), "size")
 
 
@@ -107,7 +109,7 @@ def exact_dedup(docs: DataFrame, split_at: int | None = None) -> DataFrame:
     positive = screen(fresh, snapshot)
     met = stash(fresh.join(positive.select("h").distinct(), "h", "left_semi").join(snapshot.rows.select("h", "sha"), ["h", "sha"]).select("h", "sha"), "exact-met")
     suspects = met.select("h").union(snapshot.rows.filter("n > 1").select("h")).union(fresh.filter("n > 1").select("h")).distinct()
-    sizes = _byte_groups(docs, suspects)
+    sizes = _byte_groups(docs, suspects, count)
     heads = snapshot.rows.select("h", "sha", "keep").union(fresh.select("h", "sha", "keep")).groupBy("h", "sha").agg(F.min("keep").alias("keep"))
     # written, so that the join below is between plain shuffles and a hot group can be split
     groups = stash(sizes.filter("size > 1").join(heads, ["h", "sha"]), "exact-groups")
@@ -125,14 +127,13 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they came."""
     found = exact_dedup(docs.select("doc_id", "text"))
     doubled = stash(found.filter("group_size > 1").select(F.col("text_sha256").alias("_sha")).distinct(), "exact-doubled")
-    marked = docs.withColumn("_sha", F.sha2(normal_text(), 256))
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b")).alias("_order")
+    marked = docs.select(whole_row(docs), order, F.sha2(normal_text(), 256).alias("_sha"))
     if doubled.count() <= BROADCAST_DIGESTS // 8:
         doubled = F.broadcast(doubled)
-    alone = marked.join(doubled, "_sha", "left_anti").drop("_sha")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"))
-    heads = marked.join(doubled, "_sha", "left_semi").groupBy("_sha").agg(F.min_by(whole, order).alias("row")).select("row.*")
-    return alone.unionByName(heads)
+    alone = marked.join(doubled, "_sha", "left_anti").select("_row")
+    heads = marked.join(doubled, "_sha", "left_semi").groupBy("_sha").agg(F.min_by("_row", "_order").alias("_row")).select("_row")
+    return alone.union(heads).select("_row.*")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sloscope.llm.common import table
+from sloscope.llm.common import table, whole_row
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 2000
@@ -167,15 +167,16 @@ _KINDS = [*[pa.int64()] * len(COUNTS), pa.bool_(), pa.float64(), pa.bool_()]
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [judge(t.as_py(), model) for t in batch.column("text")]
+        rows = [judge(t.as_py(), model) for t in batch.column("row").field("text")]
         found = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(_KINDS), _KINDS)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*batch.schema.names, *(f"_q_{c}" for c, _ in _SCORED)])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*batch.schema.names, *(c for c, _ in _SCORED)])
 
 
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with counts, probability and verdict in columns prefixed ``_q_``."""
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"_q_{c}", k) for c, k in _SCORED)])
-    return docs.mapInArrow(partial(_score, model=model), schema)
+    """Each row of ``docs`` as the struct ``row``, then its counts, probability and verdict."""
+    rows = docs.select(whole_row(docs.withColumn("text", F.col("text").cast("string"))).alias("row"))
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(c, k) for c, k in _SCORED)])
+    return rows.mapInArrow(partial(_score, model=model), schema)
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,13 +206,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they came."""
     scored = score_documents(docs, train(docs, labels))
-    return scored.filter("_q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scored.filter("kept").select("row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", *(F.col(f"_q_{c}").alias(c) for c in (*COUNTS, "base_failed", "kept", "probability")))
+    return scored.select("row.doc_id", *COUNTS, "base_failed", "kept", "probability")
 
 
 QUERIES = {"op4_quality_rules": op4_quality_rules}
