@@ -8,10 +8,21 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder's path below ``spark.checkpoint.dir``; below a local one only where none is set."""
+def base_folder(spark: SparkSession) -> str:
+    """The application's folder below ``spark.checkpoint.dir``.
+
+    Where that is unset, one process that is driver and executor at once (tests) gets a
+    folder of its own; on a cluster no local folder would do, so it is an error there.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='sloscope-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/sloscope-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/sloscope-{spark.sparkContext.applicationId}"
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder's path below the application's."""
+    return f"{base_folder(spark)}/{label}-{uuid.uuid4().hex}"
