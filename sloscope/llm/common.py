@@ -9,26 +9,20 @@ row order, and writes what it must reread as Parquet below
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sloscope.scratch import base_folder
+
 #: ASCII white space as the operators define it, for Java's regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """Folder shared by driver and executors; a local one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='sloscope-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/sloscope-{spark.sparkContext.applicationId}"
-
-
 _registered: set[str] = set()
 
 
@@ -47,16 +41,34 @@ def _drop_at_exit(spark: SparkSession, folder: str) -> None:
     atexit.register(drop)
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared scratch folder and return the reread table."""
+#: Folders that passing tables go to; the innermost one last.
+_passing: list[str] = []
+
+
+def stash(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared scratch folder and return the reread table; with ``keep`` it outlives a ``passing`` block."""
     spark = df.sparkSession
-    folder = scratch_dir(spark)
+    folder = base_folder(spark)
     _drop_at_exit(spark, folder)
-    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    held = _passing[:-1] if keep else _passing
+    path = f"{held[-1] if held else folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables stashed inside are deleted at the end, but for those kept."""
+    folder = f"{base_folder(spark)}/passing-{uuid.uuid4().hex}"
+    _passing.append(folder)
+    try:
+        yield
+    finally:
+        _passing.remove(folder)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Whole texts are long: batches of so many bytes, not of 10,000 rows, bound a Python worker's memory.
 BATCH_BYTES = "8m"
 

@@ -1,17 +1,20 @@
 """Deep-shallow ordering of strings with their common-prefix lengths (after Manzini & Ferragina, 2004).
 
-Multikey quicksort, eight bytes to a key and all buckets of a depth at once,
-orders the strings to a shallow depth; buckets that still share that prefix are
-ordered by blind tries, which look at branching positions only and compare a
-string in full with a single leaf.
+Multikey quicksort (Bentley & Sedgewick, 1997) with eight bytes to a character splits
+the strings into those below, equal to and above a pivot, and goes on eight bytes deeper
+with the equal ones, to a shallow depth. Strings that still share that prefix, and few
+strings at any depth, are ordered by blind tries, which look at branching positions
+only and compare a string in full with a single leaf.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Bytes ordered by multikey quicksort, in words of eight.
-SHALLOW = 32
+#: Bytes ordered by multikey quicksort, in words of eight; so few strings go to a blind trie at once.
+SHALLOW, WORD, FEW = 64, 8, 12
+#: The depth of strings that are equal to their end.
+ENDED = -1
 
 
 def common_prefix(a: bytes, b: bytes, start: int = 0) -> int:
@@ -96,54 +99,50 @@ class BlindTrie:
         return order, shared[1:]
 
 
-def deep_shallow(strings: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (group, string), and each one's common prefix with the one before (-1 where the group changes)."""
-    n = len(strings)
-    order = np.argsort(group, kind="stable")
-    lcp = np.full(n, -1, np.int64)
-    bucket = np.cumsum(np.concatenate(([0], np.diff(group[order]) != 0))) if n else np.zeros(0, np.int64)
-    active = np.arange(n)
-    for depth in range(0, SHALLOW, 8):
-        sizes = np.bincount(bucket[active], minlength=n) if len(active) else np.zeros(0, int)
-        active = active[sizes[bucket[active]] > 1]
-        if not len(active):
-            break
-        own = order[active]
-        raw = b"".join(strings[k][depth : depth + 8].ljust(8, b"\0") for k in own)
-        word = np.frombuffer(raw, ">u8").astype(np.uint64)
-        rest = np.fromiter((len(strings[k]) - depth for k in own), np.int64, len(own)).clip(0, 8)
-        b = bucket[active]
-        by = np.lexsort((rest, word, b))
-        order[active] = own[by]
-        word, rest, b = word[by], rest[by], b[by]
-        same = np.concatenate(([False], (b[1:] == b[:-1])))
-        equal = same.copy()
-        equal[1:] &= (word[1:] == word[:-1]) & (rest[1:] == rest[:-1])
-        split = same & ~equal
-        lcp[active[split]] = depth + _word_prefix(word, rest, split)
-        ended = equal & (rest < 8)  # both end here: equal strings
-        lcp[active[ended]] = depth + rest[ended]
-        bucket[active] = active[np.maximum.accumulate(np.where(~equal, np.arange(len(active)), 0))]
-        active = active[~((rest < 8) & (equal | np.concatenate((equal[1:], [False]))))]
-    if len(active):
-        sizes = np.bincount(bucket[active], minlength=n)
-        active = active[sizes[bucket[active]] > 1]
-        cuts = np.flatnonzero(np.diff(bucket[active])) + 1
-        for part in np.split(active, cuts) if len(active) else ():
+def _median(a: bytes, b: bytes, c: bytes) -> bytes:
+    return max(min(a, b), min(max(a, b), c))
+
+
+def multikey_quicksort(strings: list[bytes], own: list[int]) -> tuple[list[int], list[int]]:
+    """The positions ``own`` in the order of their strings, and of each but the first the prefix it shares with the one before."""
+    order: list[int] = []
+    lcp: list[int] = []
+    # a part, the bytes that its strings share, and those they are known to share with the string that comes before them
+    stack = [(own, 0, 0)]
+    while stack:
+        part, depth, known = stack.pop()
+        if depth == ENDED:
+            ranked, shared = part, [len(strings[part[0]])] * (len(part) - 1)
+        elif len(part) <= FEW or depth >= SHALLOW:
             trie = BlindTrie(strings)
-            for k in order[part].tolist():
-                trie.insert(k, SHALLOW)
+            for k in part:
+                trie.insert(k, depth)
             ranked, shared = trie.ordered()
-            order[part] = ranked
-            lcp[part[1:]] = shared
+        else:
+            words = [strings[k][depth : depth + WORD] for k in part]
+            pivot = _median(words[0], words[len(words) // 2], words[-1])
+            less = [k for k, w in zip(part, words) if w < pivot]
+            equal = [k for k, w in zip(part, words) if w == pivot]
+            more = [k for k, w in zip(part, words) if w > pivot]
+            if more:
+                stack.append((more, depth, depth))
+            stack.append((equal, depth + WORD if len(pivot) == WORD else ENDED, depth if less else known))
+            if less:
+                stack.append((less, depth, known))
+            continue
+        if order:
+            lcp.append(common_prefix(strings[order[-1]], strings[ranked[0]], known))
+        order += ranked
+        lcp += shared
     return order, lcp
 
 
-def _word_prefix(word: np.ndarray, rest: np.ndarray, where: np.ndarray) -> np.ndarray:
-    """Equal leading bytes of each marked word and the one before, no longer than either string."""
-    at = np.flatnonzero(where)
-    x = word[at] ^ word[at - 1]
-    high = np.zeros(len(at), np.int64)
-    for k in range(8):
-        high += x >> np.uint64(8 * (7 - k)) == 0
-    return np.minimum(high, np.minimum(rest[at], rest[at - 1]))
+def deep_shallow(strings: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (group, string), and each one's common prefix with the one before (-1 where the group changes)."""
+    order = np.argsort(group, kind="stable")
+    lcp = np.full(len(strings), -1, np.int64)
+    cuts = np.flatnonzero(np.diff(group[order], prepend=group[order[:1]] - 1, append=group[order[-1:]] + 1)) if len(strings) else ()
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if b - a > 1:
+            order[a:b], lcp[a + 1 : b] = multikey_quicksort(strings, order[a:b].tolist())
+    return order, lcp

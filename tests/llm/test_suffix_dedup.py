@@ -29,15 +29,24 @@ def test_deep_shallow_orders_and_measures(parts):
             assert lcp[k] == want
 
 
-def brute(rows):
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([b"", b"ab" * 40, b"abc" * 30, b"q" * 70]), st.one_of(st.sampled_from([b"", b"a", b"ab", b"abcdefgh"]), st.binary(max_size=12))), min_size=13, max_size=120))
+def test_multikey_quicksort_splits_many_strings(parts):
+    strings = [a + b for a, b in parts * 2]
+    order, lcp = deepsort.multikey_quicksort(strings, list(range(len(strings))))
+    assert [strings[k] for k in order] == sorted(strings) and sorted(order) == list(range(len(strings)))
+    assert lcp == [deepsort.common_prefix(strings[a], strings[b]) for a, b in zip(order, order[1:])]
+
+
+def brute(rows, length=400):
     texts = [(t or "").encode() for _, t in rows]
-    seen = Counter(t[k : k + 400] for t in texts for k in range(len(t) - 399))
+    seen = Counter(t[k : k + length] for t in texts for k in range(len(t) - length + 1))
     out = []
     for (i, _), t in zip(rows, texts):
         gone = np.zeros(len(t) + 1, bool)
-        for k in range(len(t) - 399):
-            if seen[t[k : k + 400]] > 1:
-                gone[k : k + 400] = True
+        for k in range(len(t) - length + 1):
+            if seen[t[k : k + length]] > 1:
+                gone[k : k + length] = True
         runs = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
         kept = bytes(b for b, g in zip(t, gone) if not g)
         out.append((i, len(t), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
@@ -62,39 +71,43 @@ def cases(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,group,piece", [(1, 20_000, 200_000), (2, 1, 200_000), (3, 6, 1000)])
+@pytest.mark.parametrize("seed,group,piece", [(1, 20_000, 200_000), (2, 1, 200_000), (3, 6, 700)])
 def test_matches_brute_force(spark, corpus, monkeypatch, seed, group, piece):
-    """With small groups and pieces, too: every path gives the same bytes."""
+    """With groups cut at every level and small pieces, too: the same bytes."""
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
     rows = cases(seed)
-    if piece != suffix_dedup.PIECE:
-        anchor = suffix_dedup.anchors
-        check_pieces(rows, piece, monkeypatch)
-        assert suffix_dedup.anchors is anchor
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    check_pieces(rows, piece)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = suffix_dedup.op3_suffix_dedup(spark, corpus(documents=docs)).collect()
-    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+    assert sorted((tuple(r)[:5] for r in got), key=str) == brute(rows)
+    assert sorted(((r["doc_id"], r["n_repeated"]) for r in got), key=str) == sorted(((i, n) for i, _, n, *_ in brute(rows, 250)), key=str)
+    whole = {i: t or "" for i, t in rows}
+    assert all(r["text"] == whole[r["doc_id"]] for r in got if not r["n_removed"] and r["doc_id"] is not None)
+    assert all(len(r["text"].encode()) <= r["n_bytes"] - r["n_removed"] for r in got)
 
 
-def check_pieces(rows, piece, monkeypatch):
-    """Anchors of documents cut into pieces are those of whole ones: same windows, same offsets."""
+def check_pieces(rows, piece):
+    """Anchors of documents cut into pieces are those of whole ones: same windows, same offsets, contexts of up to 400 bytes."""
     import pyarrow as pa
 
     data = [(t or "").encode() for _, t in rows]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(data)), pa.int64()), pa.array(range(len(data)), pa.int64()), pa.array(data, pa.binary())], names=["did", "th", "bytes"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(data)), pa.int64()), pa.array(range(len(data)), pa.int64()), pa.array(data, pa.binary())], names=[*suffix_dedup.ROW, "bytes"])
 
-    def windows():
+    def windows(piece):
         out = {}
-        for b in suffix_dedup._anchor_rows([batch]):
+        for b in suffix_dedup._anchor_rows([batch], piece, 400, 250):
             for r in b.to_pylist():
-                for k in range(r["more"] + 1):
-                    out[r["did"], r["low"] + k] = (r["low"] + r["back"], r["gram"])
+                back, more, size = r["shape"] & 0xFFFFF, r["shape"] >> 20 & 0xFFFFF, r["shape"] >> 40
+                assert size == min(more + 400, len(data[r["_rh"]]) - r["low"])
+                for k in range(more + 1):
+                    assert (r["_rh"], r["low"] + k) not in out
+                    out[r["_rh"], r["low"] + k] = (r["low"] + back, r["gram"])
         return out
 
-    want = windows()
-    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
-    assert windows() == want
-    assert len(want) == sum(max(0, len(d) - 399) for d in data)
+    want = windows(200_000)
+    assert windows(piece) == want
+    assert len(want) == sum(max(0, len(d) - 249) for d in data)
 
 
 def test_awkward_rows_and_no_rows(spark, awkward, nothing):
