@@ -52,7 +52,7 @@ def docs_of(spark, texts):
 
 
 def spans_of(rows):
-    return {r["k"]: {kind: [tuple(x) for x in r[f"_pii_{kind}"]] for kind in pii.FOUND} for r in rows}
+    return {r["row"]["k"]: {kind: [tuple(x) for x in r[kind]] for kind in pii.FOUND} for r in rows}
 
 
 def test_fixed_forms_match_brute_force(spark):
@@ -71,6 +71,41 @@ def test_patterns_are_learnt_from_seeds(spark):
     assert got[7]["id"] == got[8]["id"] == got[9]["id"] == []
 
 
+def test_words_around_seeds_become_patterns(spark):
+    """Seeds in running text, cards and phones with spaces among them, lead to values without a separator."""
+    texts = [f"please quote account number 4111 1111 1111 {k}111 today" for k in range(4)] + [f"you may call me on +1 (555) 010-99{k:02d} or write" for k in range(4)]
+    texts += ["his account number 4471-2208-x is closed", "do call me on 555-0172-9 please", "the year was 198412 or so", "account numbers 123456 exist"]
+    got = spans_of(pii.found_spans(docs_of(spark, texts)).collect())
+    assert got[8]["id"] == [(19, 30)] and got[9]["id"] == [(14, 24)]
+    assert got[10]["id"] == got[11]["id"] == []
+    assert all(len(got[k]["phone"]) == 1 and got[k]["id"] == [] for k in range(4, 8))
+
+
+def test_ids_clear_of_fixed_spans(spark):
+    row = spark.sql("SELECT array(named_struct('s', 10L, 'e', 20L), named_struct('s', 30L, 'e', 31L), named_struct('s', 40L, 'e', 50L), named_struct('s', 0L, 'e', 2L)) AS ids, array(named_struct('s', 2L, 'e', 9L), named_struct('s', 5L, 'e', 11L), named_struct('s', 31L, 'e', 60L)) AS fixed")
+    assert [tuple(x) for x in row.select(pii._clear("ids", "fixed").alias("x")).first()["x"]] == [(0, 2), (30, 31)]
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    """Twice the matches in a text take about twice the time, not four times."""
+    import time
+
+    took = {}
+    for n in (200, 20_000, 40_000):
+        docs = docs_of(spark, [" ".join(f"a{k}@b.example.org token=x{k:07d}9" for k in range(n))])
+        began = time.perf_counter()
+        (row,) = pii.redact(docs).collect()
+        took[n] = time.perf_counter() - began
+        assert row["text"].count("[EMAIL]") == n
+    assert took[40_000] < 2.6 * took[20_000] + 3
+
+
+def test_running_values(spark):
+    for n in (0, 1, 127, 128, 129, 5000):
+        got = spark.sql(f"SELECT {pii.running(f'transform(filter(sequence(0, {n}), i -> i > 0), i -> bigint(i))', 'a_ + b_')} AS x").first()["x"]
+        assert got == [k * (k + 1) // 2 for k in range(1, n + 1)]
+
+
 def test_scores_pass_over_the_graph(spark):
     """A label whose values also stand behind a trusted label gains confidence from them."""
     secrets = [hashlib.sha1(bytes([k])).hexdigest() for k in range(8)]
