@@ -5,10 +5,14 @@ import re
 import struct
 from collections import defaultdict
 
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sloscope.llm import packing, quality, simhash
+from sloscope.llm import packing
+from tests.llm.test_near_dedup import plain_shingles
+from tests.llm.test_quality import brute as plain_counts
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"{a}{b}" for a in ("river", "stone", "cloud", "meadow", "winter", "light", "über", "née") for b in "abcdefghij"]
@@ -38,8 +42,8 @@ def staged(spark, corpus):
     return corpus(documents=spark.createDataFrame(rows, COLUMNS), labels=spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
 
 
-def ids(df):
-    return sorted(r["doc_id"] for r in df.collect())
+def ids_of(text, tokenizer=Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))):
+    return tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_every_stage_against_brute_force(spark, staged, tmp_path):
@@ -56,28 +60,25 @@ def test_every_stage_against_brute_force(spark, staged, tmp_path):
     rows, _ = corpus_rows()
     texts = {k: t or "" for k, t, *_ in rows}
 
-    assert set(good) == {k for k, t in texts.items() if "$$$" not in t and not quality.judge(t, None)[5]}
+    assert set(good) == {k for k, t in texts.items() if "$$$" not in t and not plain_counts(t)[5]}
     first = {}
     for k in sorted(good):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", texts[k]), k)
     assert set(exact) == set(first.values())
     left = sorted(exact)
-    for width in corpus_pipeline.SHINGLES:
-        prints = {k: simhash.fingerprint(texts[k], width) for k in left}
-        root = {k: k for k in left}
-
-        def find(k, root=root):
-            while root[k] != k:
-                k = root[k]
-            return k
-
-        for a in left:
-            for b in left:
-                if (prints[a] ^ prints[b]).bit_count() <= 3:
-                    x, y = sorted((find(a), find(b)))
-                    root[y] = x
-        left = sorted({find(k) for k in left})
-    assert sorted(near) == left
+    sets, root = {k: plain_shingles(texts[k]) for k in left}, {k: k for k in left}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in left:
+        for b in left:
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert sorted(near) == sorted({find(k) for k in left}) and len(near) < len(left)
     assert set(clean) == set(near)
     for k, r in clean.items():
         want = re.sub(r"a\d@b\.example\.org", "[EMAIL]", texts[k])
@@ -89,7 +90,7 @@ def test_every_stage_against_brute_force(spark, staged, tmp_path):
         by_doc[r["doc_id"]][r["start"]] = bytes(r["ids"])
     assert set(by_doc) == set(clean)
     for k, held in by_doc.items():
-        assert b"".join(held[s] for s in sorted(held)) == packing.token_ids(clean[k]["text"]) + struct.pack("<I", 0)
+        assert b"".join(held[s] for s in sorted(held)) == struct.pack(f"<{len(ids_of(clean[k]['text']))}I", *ids_of(clean[k]["text"])) + struct.pack("<I", 0)
 
 
 def test_run_gives_the_last_stage(spark, staged):
@@ -101,3 +102,32 @@ def test_run_gives_the_last_stage(spark, staged):
 def test_empty_tables(spark, corpus):
     folder = corpus(documents=spark.createDataFrame([], COLUMNS), labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert corpus_pipeline.run(spark, folder).collect() == []
+
+
+CLASHES = ["_sha", "_SHA", "_did", "_th", "_tg", "_no_id", "_fp", "_order", "_row", "row", "ROW", "_q_kept", "kept", "probability", "n_words", "_pii_email", "_pii_did", "email", "id", "new", "seen", "key", "node", "root", "text2", "with.dot", "spans"]
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES[:-1]])
+def test_columns_with_clashing_names_pass_through(spark, staged, stage):
+    """Columns named like those that the operators use inside come out as they went in."""
+    used = [c for k, c in enumerate(CLASHES) if c.lower() not in {x.lower() for x in CLASHES[:k]}]
+    docs = spark.read.parquet(f"{staged}/documents.parquet")
+    extra = docs.selectExpr("*", *(f"concat(doc_id, '-{k}') AS `{c}`" for k, c in enumerate(used)))
+    run = dict(corpus_pipeline.STAGES)[stage]
+    out = run(spark, extra, staged)
+    assert out.columns == extra.columns
+    plain = sorted((r["doc_id"], r["text"]) for r in run(spark, docs, staged).collect())
+    rows = out.collect()
+    assert sorted((r["doc_id"], r["text"]) for r in rows) == plain
+    assert all(r[c] == f"{r['doc_id']}-{k}" for r in rows for k, c in enumerate(used))
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_hard_rows(spark, corpus, awkward, nothing, stage):
+    """Nulls in any column, empty and long texts, repeated rows and no rows."""
+    folder = corpus(labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    run = dict(corpus_pipeline.STAGES)[stage]
+    assert run(spark, nothing, folder).collect() == []
+    rows = run(spark, awkward, folder).collect()
+    want = {"quality_rules": 0, "exact_dedup": 8, "simhash": 6, "pii": 13}.get(stage)
+    assert len(rows) == want if want is not None else {r["doc_id"] for r in rows} == {r["doc_id"] for r in awkward.collect()}
