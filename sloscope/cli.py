@@ -24,7 +24,7 @@ def read_events(spark: SparkSession, path: str, kind: str) -> DataFrame:
     if kind == "journal":
         journal.register(spark)
         frames = spark.read.format("journal").load(path)
-        return events.parse_events(frames.withColumn("arrival_seq", F.struct("path", "frame")))
+        return events.parse_events(frames.withColumnRenamed("seq", "arrival_seq"))
     rows = spark.read.parquet(path)
     return events.from_event_table(rows) if kind == "table" else rows
 

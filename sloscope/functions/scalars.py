@@ -72,7 +72,7 @@ def parse_duration(text: str | None) -> int | None:
 def duration_nanos(c: str) -> Column:
     """The same for a column; null for anything else. Beyond a long (292 years) it is null, too."""
     text = F.btrim(F.col(c), F.lit(" \t\n\r\x0b\x0c"))
-    number = F.expr(f"try_cast(regexp_extract(btrim({_name(c)}, ' \\t\\n\\r'), '^\\\\+?([0-9]+)[smhd]$', 1) AS bigint)")
+    number = F.regexp_extract(text, r"^\+?([0-9]+)[smhd]$", 1).try_cast("bigint")
     unit = F.when(F.endswith(text, F.lit("s")), 1).when(F.endswith(text, F.lit("m")), 60).when(F.endswith(text, F.lit("h")), 3600).when(F.endswith(text, F.lit("d")), 86400)
     return F.try_multiply(number, unit.cast("long") * 1_000_000_000)
 

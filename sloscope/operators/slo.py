@@ -1,8 +1,9 @@
 """Objectives, error budgets and multi-window burn-rate alerts.
 
-All windows of all tiers of all objectives come from one scan: events are summed to
-one row for (objective, series, minute), and conditional sums over those few rows
-give every window at once.
+A first pass over the events' series and minutes finds each objective's series and
+its last minute: one row for each objective. With these broadcast, a second pass sums
+every window of every tier by conditional counts, summed on the map side, so neither a
+hot model's events nor its minutes are ever gathered.
 """
 
 from __future__ import annotations
@@ -32,36 +33,29 @@ def _minutes(window_nanos: str) -> Column:
     return F.floor(F.col(window_nanos) / F.lit(S.MINUTE_NANOS).cast("decimal(20,0)")).cast("long")
 
 
-def budget_buckets(events: DataFrame, slos: DataFrame) -> DataFrame:
-    """slo, series, minute, total and bad: what each objective counts as bad in each minute of each candidate series.
+def chosen_series(events: DataFrame, slos: DataFrame) -> DataFrame:
+    """One row for each objective that has a series: the objective, its series and that one's last minute.
 
-    Bad is anything but success for a success ratio, and a finite latency above the
-    threshold for a latency objective. Objectives are as many as the configuration
-    has, so they are broadcast to the events.
+    The series is the model's own, else, for a success ratio, the first in key order that
+    has the model among its labels. Objectives are as many as the configuration has.
     """
-    rows = with_series(events).select("series", "minute", "status", S.finite("latency_ms").alias("latency_ms"), S.label("series", "model").alias("_model"))
-    wanted = slos.select(F.col("name").alias("slo"), F.col("model").alias("_model"), "sli_kind", "threshold_ms")
-    met = rows.join(F.broadcast(wanted), "_model")
-    bad = F.when(F.col("sli_kind") == "latency_threshold", F.col("latency_ms") > F.col("threshold_ms")).otherwise(~S.is_good())
-    return met.groupBy("slo", "series", "minute", "sli_kind").agg(F.count("*").alias("total"), F.count_if(bad).alias("bad"))
+    last = with_series(events).groupBy("series").agg(F.max("minute").alias("last_minute"))
+    last = last.select("series", "last_minute", S.is_bare().alias("bare"), S.label("series", "model").alias("model"))
+    met = last.join(F.broadcast(slos), "model").filter((F.col("sli_kind") != "latency_threshold") | F.col("bare"))
+    best = F.min_by(F.struct("series", "last_minute"), F.struct(~F.col("bare"), F.col("series")))
+    return met.groupBy("name").agg(best.alias("best")).join(F.broadcast(slos), "name").select(F.col("name").alias("slo"), "best.*", "sli_kind", "threshold_ms", "window_nanos")
 
 
-def chosen_buckets(events: DataFrame, slos: DataFrame) -> DataFrame:
-    """``budget_buckets`` of one series for each objective: the model's own, else, for a success ratio, the first in key order."""
-    rows = budget_buckets(events, slos).filter((F.col("sli_kind") != "latency_threshold") | S.is_bare())
-    order = F.struct((~S.is_bare()).alias("labelled"), "series")
-    return rows.withColumn("_first", F.min(order).over(Window.partitionBy("slo"))).filter(order == F.col("_first")).drop("_first", "sli_kind")
+def chosen_events(events: DataFrame, slos: DataFrame) -> DataFrame:
+    """slo, minute, the columns of ``chosen_series`` and whether each event of an objective's series is bad.
 
-
-def window_sums(rows: DataFrame, windows: dict[str, Column | int], as_of_minute: Minute | None = None) -> DataFrame:
-    """slo, and for each named window ``total_<name>`` and ``bad_<name>``; rows need slo, minute, total, bad."""
-    edge = F.greatest(F.max("minute").over(Window.partitionBy("slo")), _lit(as_of_minute))
-    rows = rows.withColumn("_to", edge)
-    sums = []
-    for name, minutes in windows.items():
-        inside = F.col("minute").between(F.col("_to") - minutes, F.col("_to"))
-        sums += [F.coalesce(F.sum(F.when(inside, F.col(c))), F.lit(0)).cast("long").alias(f"{c}_{name}") for c in ("total", "bad")]
-    return rows.groupBy("slo").agg(*sums)
+    Bad is anything but success for a success ratio, and a finite latency above the
+    threshold for a latency objective.
+    """
+    rows = with_series(events).select("series", "minute", "status", S.finite("latency_ms").alias("latency_ms"))
+    met = rows.join(F.broadcast(chosen_series(events, slos)), "series")
+    bad = F.when(F.col("sli_kind") == "latency_threshold", F.col("latency_ms") > F.col("threshold_ms")).otherwise(~S.is_good())
+    return met.select("slo", "minute", "last_minute", "window_nanos", F.coalesce(bad, F.lit(False)).alias("bad"))
 
 
 def _tier_windows(tiers: tuple) -> list[int]:
@@ -69,42 +63,43 @@ def _tier_windows(tiers: tuple) -> list[int]:
 
 
 def budgets(events: DataFrame, slos: DataFrame, tiers: tuple = DEFAULT_TIERS, as_of_minute: Minute | None = None) -> DataFrame:
-    """One row for each objective with the sums of every window; objectives without a series have zeros."""
-    windows: dict[str, Column | int] = {str(m): m for m in _tier_windows(tiers)}
-    full = slos.select(F.col("name").alias("slo"), _minutes("window_nanos").alias("_full"))
-    rows = chosen_buckets(events, slos).join(F.broadcast(full), "slo")
-    sums = window_sums(rows, windows | {"full": F.col("_full")}, as_of_minute)
+    """One row for each objective with ``total_<minutes>`` and ``bad_<minutes>`` of every window; objectives without a series have zeros."""
+    windows = {str(m): F.lit(m) for m in _tier_windows(tiers)} | {"full": _minutes("window_nanos")}
+    rows = chosen_events(events, slos).withColumn("_to", F.greatest("last_minute", _lit(as_of_minute)))
+    sums = []
+    for name, minutes in windows.items():
+        inside = F.col("minute").between(F.col("_to") - minutes, F.col("_to"))
+        sums += [F.count_if(inside).alias(f"total_{name}"), F.count_if(inside & F.col("bad")).alias(f"bad_{name}")]
     named = slos.select(F.col("name").alias("slo"), "model", "objective")
-    out = named.join(sums, "slo", "left")
+    out = named.join(rows.groupBy("slo").agg(*sums), "slo", "left")
     return out.na.fill(0, [c for c in out.columns if c.startswith(("total_", "bad_"))])
 
 
-def flat_alerts(sums: DataFrame, tiers: tuple = DEFAULT_TIERS) -> DataFrame:
-    """One row for each objective and tier that fires: both windows burn at the tier's rate or more."""
+def alerts_of(tiers: tuple = DEFAULT_TIERS) -> Column:
+    """Of the columns of ``budgets``, an array of the tiers that fire: both windows burn at the tier's rate or more."""
     parts = []
     for number, rate, long_min, short_min, severity, label in tiers:
         burn = {m: S.burn_rate(F.col(f"total_{m}"), F.col(f"bad_{m}"), F.col("objective")) for m in (long_min, short_min)}
-        parts.append(
-            F.struct(
-                F.lit(number).alias("tier_no"), F.lit(label).alias("tier_label"), F.lit(severity).alias("severity"), F.lit(float(rate)).alias("threshold"),
-                burn[long_min].alias("long_burn_rate"), burn[short_min].alias("short_burn_rate"), F.col(f"total_{long_min}").alias("long_total"), F.col(f"total_{short_min}").alias("short_total"),
-            )
+        alert = F.struct(
+            F.lit(number).alias("tier_no"), F.lit(label).alias("tier_label"), F.lit(severity).alias("severity"),
+            burn[long_min].alias("long_burn_rate"), burn[short_min].alias("short_burn_rate"), F.col(f"total_{long_min}").alias("long_total"), F.col(f"total_{short_min}").alias("short_total"),
         )
+        parts.append(F.when((burn[long_min] >= F.lit(float(rate))) & (burn[short_min] >= F.lit(float(rate))), alert))
     if not parts:
-        return sums.select("slo").limit(0)
-    fires = F.filter(F.array(*parts), lambda t: (t["long_burn_rate"] >= t["threshold"]) & (t["short_burn_rate"] >= t["threshold"]))
-    return sums.select("slo", F.inline(fires)).drop("threshold")
+        return F.expr("CAST(array() AS array<struct<tier_no: int, tier_label: string, severity: string, long_burn_rate: double, short_burn_rate: double, long_total: bigint, short_total: bigint>>)")
+    return F.filter(F.array(*parts), lambda t: t.isNotNull())
+
+
+def flat_alerts(sums: DataFrame, tiers: tuple = DEFAULT_TIERS) -> DataFrame:
+    """One row for each objective and tier that fires."""
+    return sums.select("slo", F.inline(alerts_of(tiers)))
 
 
 def evaluate(events: DataFrame, slos: DataFrame, tiers: tuple = DEFAULT_TIERS, as_of_minute: Minute | None = None) -> DataFrame:
     """One row for each objective: burn rates, what is left of the budget, and its alerts in tier order."""
     sums = budgets(events, slos, tiers, as_of_minute)
     one = lambda name, f: f(F.col(f"total_{name}"), F.col(f"bad_{name}"), F.col("objective"))
-    head = sums.select("slo", "objective", one(HOUR, S.burn_rate).alias("burn_rate_1h"), one("full", S.burn_rate).alias("burn_rate_full_window"), one("full", S.budget_remaining).alias("budget_remaining"))
-    fired = flat_alerts(sums, tiers)
-    nested = fired.groupBy("slo").agg(F.array_sort(F.collect_list(F.struct(*fired.columns[1:]))).alias("alerts"))
-    empty = F.array().cast(nested.schema["alerts"].dataType)
-    return head.join(nested, "slo", "left").withColumn("alerts", F.coalesce("alerts", empty))
+    return sums.select("slo", "objective", one(HOUR, S.burn_rate).alias("burn_rate_1h"), one("full", S.burn_rate).alias("burn_rate_full_window"), one("full", S.budget_remaining).alias("budget_remaining"), alerts_of(tiers).alias("alerts"))
 
 
 def fired_count(evaluations: DataFrame) -> DataFrame:
@@ -117,7 +112,7 @@ def timeline(events: DataFrame, slos: DataFrame, tiers: tuple = DEFAULT_TIERS, s
 
     The spine of minutes makes quiet minutes visible, so that a short window is seen to clear.
     """
-    rows = chosen_buckets(events, slos).groupBy("slo", "minute").agg(F.sum("total").alias("total"), F.sum("bad").alias("bad"))
+    rows = chosen_events(events, slos).groupBy("slo", "minute").agg(F.count("*").alias("total"), F.count_if("bad").alias("bad"))
     ends = rows.groupBy("slo").agg(F.min("minute").alias("a"), F.max("minute").alias("b"))
     spine = ends.select("slo", F.explode(F.sequence(F.col("a"), F.expr(f"b + pmod(-b, {step})"))).alias("minute"))
     dense = spine.join(rows, ["slo", "minute"], "left").na.fill(0, ["total", "bad"])

@@ -58,10 +58,13 @@ def window_query(events: DataFrame, window: str | int, quantile: float = 0.95, a
         latency = F.percentile(S.finite("latency_ms"), F.lit(q))
     else:
         latency = quantile_of(F.kll_sketch_agg_double(S.finite("latency_ms"), F.lit(SKETCH_K)), q)
-    versions = with_series(events).groupBy("series").agg(F.count_distinct("model_version").alias("model_version_cardinality"))
-    found = in_window(rows, minutes, as_of_minute).groupBy("series").agg(*_outcome(), latency.alias("latency_quantile_ms"))
+    # both uses of the series table have the same columns, so that it is computed once
+    known = with_series(events).groupBy("series").agg(F.count_distinct("model_version").alias("model_version_cardinality"), F.max("minute").alias("last_minute"))
+    to = F.greatest("last_minute", _lit(as_of_minute))
+    inside = rows.join(known, "series").filter(F.col("minute").between(to - minutes, to))
+    found = inside.groupBy("series").agg(*_outcome(), latency.alias("latency_quantile_ms"), F.max("model_version_cardinality").alias("_versions"))
     # a series whose last event lies before the window still has a row, with nothing in it
-    out = versions.join(found, "series", "left").na.fill(0, ["total", "good", "server_failures"])
+    out = known.join(found, "series", "left").na.fill(0, ["total", "good", "server_failures"])
     return out.select(
         "series", F.coalesce(S.label("series", "model"), F.lit("unknown")).alias("model"), "total", "good", "server_failures",
         S.success_ratio().alias("success_ratio"), F.lit(q).alias("quantile"), "latency_quantile_ms", "model_version_cardinality",
@@ -90,6 +93,16 @@ def choose_series(rows: DataFrame, model: str | Column, fallback: bool = True) -
     return named.join(F.broadcast(best), "series", "left_semi")
 
 
+class UnknownModel(LookupError):
+    """No series bears the model's name."""
+
+
+def require_model(events: DataFrame, model: str) -> None:
+    """Raises ``UnknownModel`` unless some series has the model among its labels."""
+    if with_series(events).filter(S.label("series", "model") == model).isEmpty():
+        raise UnknownModel(model)
+
+
 def model_query(events: DataFrame, model: str, window: str | int, quantile: float = 0.95, as_of_minute: Minute | None = None) -> DataFrame:
     """``window_query`` of the series that ``model`` stands for; no row for an unknown model."""
     return window_query(choose_series(with_series(events), model).drop("series", "minute"), window, quantile, as_of_minute)

@@ -36,8 +36,10 @@ def model_rollup(events: DataFrame) -> DataFrame:
 
 
 def as_text(rows: DataFrame, most: int = 200) -> str:
-    """The first rows as a table, for a terminal."""
-    got = rows.limit(most).collect()
+    """The first rows as a table, for a terminal, and a line that says so where there are more."""
+    got = rows.limit(most + 1).collect()
+    more, got = len(got) > most, got[:most]
     table = [rows.columns, *[["" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v) for v in r] for r in got]]
     widths = [max(len(r[k]) for r in table) for k in range(len(rows.columns))]
-    return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, widths)).rstrip() for r in table)
+    lines = ["  ".join(v.ljust(w) for v, w in zip(r, widths)).rstrip() for r in table]
+    return "\n".join([*lines, f"... more than {most} rows"] if more else lines)

@@ -274,7 +274,8 @@ def _evaluated(spark: SparkSession, d: str, kind: str) -> tuple[DataFrame, DataF
 
 @query("burn_rates", slo_sql("availability") + " SELECT slo, w::BIGINT AS window_minutes, " + f"round({_pick(burn_sql, 'w')}, 6) AS burn_rate, {_pick('t', 'w')} AS total, {_pick('b', 'w')} AS bad FROM sums, (VALUES (5), (30), (60), (360), (4320)) x(w)")
 def _(spark, d):
-    sums = slo.budgets(*_evaluated(spark, d, "availability")[:2], as_of_minute=last_minute(load(spark, d)))
+    rows, slos, at = _evaluated(spark, d, "availability")
+    sums = slo.budgets(rows, slos, as_of_minute=at)
     one = lambda w: F.struct(F.lit(w).cast("long").alias("window_minutes"), S.burn_rate(F.col(f"total_{w}"), F.col(f"bad_{w}"), F.col("objective")).alias("burn_rate"), F.col(f"total_{w}").alias("total"), F.col(f"bad_{w}").alias("bad"))
     return rounded(sums.select("slo", F.inline(F.array(*map(one, (5, 30, 60, 360, 4320))))))
 
@@ -500,7 +501,7 @@ def _batched(rows: DataFrame, size: int) -> DataFrame:
 @query("batch_ingest", "SELECT seq // 100 AS batch_seq, (seq % 100)::INTEGER AS place, model, status FROM ev")
 def _(spark, d):
     found = events.parse_batches(_batched(load(spark, d), 100))
-    return found.select("arrival_seq.batch_seq", "arrival_seq.place", "model", "status")
+    return found.select(F.expr(f"arrival_seq div {events.BATCH_SPAN}").alias("batch_seq"), (F.col("arrival_seq") % events.BATCH_SPAN).cast("int").alias("place"), "model", "status")
 
 
 @query("batch_reply", "SELECT seq // 1200 AS arrival_seq, CASE WHEN count(*) > 1000 THEN 413 ELSE 202 END AS http_status, CASE WHEN count(*) > 1000 THEN 0 ELSE count(*) END AS ingested FROM ev GROUP BY 1")
@@ -515,20 +516,36 @@ def _(spark, d):
     folder = shared_folder(spark, "journal")
     events.to_wire(load(spark, d)).select("value").write.format("journal").mode("append").save(folder)
     frames = spark.read.format("journal").load(folder)
-    return events.parse_events(frames.withColumn("arrival_seq", F.struct("path", "frame"))).select("ts_nanos", "model", "model_version", "latency_ms", "status")
+    return events.parse_events(frames.withColumnRenamed("seq", "arrival_seq")).select("ts_nanos", "model", "model_version", "latency_ms", "status")
 
 
 # --- sketches, streams, simulation --------------------------------------------------------
 
 
-@query("latency_kll")
+@query("latency_kll", "SELECT series, count(v) FILTER (minute BETWEEN m - 43200 AND m) AS n, true AS rank_in_bounds, true AS versions_in_bounds FROM ev, edge GROUP BY series")
+def _(spark, d):
+    """The sketches' quantile and cardinality held against the exact ones: rank within 0.005, versions within 10 per cent."""
+    rows = load(spark, d)
+    at = last_minute(rows)
+    found = sketches.sketch_window(buckets.minute_buckets(rows, sketches=True), "30d", 0.95, at)
+    inside = windows.in_window(buckets.with_series(rows).select("series", "minute", S.finite("latency_ms").alias("v")), 43200, at)
+    met = inside.join(F.broadcast(found.select("series", "latency_quantile_ms")), "series")
+    ranks = met.groupBy("series").agg(F.avg((F.col("v") < F.col("latency_quantile_ms")).cast("double")).alias("low"), F.avg((F.col("v") <= F.col("latency_quantile_ms")).cast("double")).alias("high"))
+    out = found.join(ranks, "series").join(buckets.series_meta(rows).withColumnRenamed("model_version_cardinality", "versions"), "series")
+    near = (F.col("low") <= 0.955) & (F.col("high") >= 0.945)
+    return spelt(out.select("series", "n", near.alias("rank_in_bounds"), (F.abs(F.col("model_version_cardinality") - F.col("versions")) <= F.col("versions") * 0.1).alias("versions_in_bounds")))
+
+
+@query("latency_kll_values")
 def _(spark, d):
+    """The sketches' own values, which depend on their random choices."""
     rows = load(spark, d)
     return spelt(sketches.sketch_window(buckets.minute_buckets(rows, sketches=True), "30d", 0.95, last_minute(rows)))
 
 
-@query("version_hll")
+@query("version_hll", "SELECT series, count(DISTINCT version) AS versions_in_window FROM ev, edge WHERE minute BETWEEN m - 1440 AND m GROUP BY series")
 def _(spark, d):
+    """So few versions that the sketch counts them exactly."""
     rows = load(spark, d)
     return spelt(sketches.windowed_versions(buckets.minute_buckets(rows, sketches=True), "1d", last_minute(rows)))
 
@@ -556,12 +573,58 @@ def _(spark, d):
     return rounded(spark.read.schema(out.schema).parquet(found))
 
 
+@query("stream_registry", Z_SQL + f", {FOUND_SQL}, {LIMITS_SQL} SELECT * FROM found UNION ALL SELECT * FROM limits", recursive=True)
+def _(spark, d):
+    """z-score and threshold detectors on one stream."""
+    found, checkpoint = shared_folder(spark, "stream-registry"), shared_folder(spark, "stream-checkpoint")
+    known = anomaly.detectors_for(objectives(spark)).unionByName(anomaly.detector_table(spark, _limits()))
+    out = pipeline.detect_stream(_stream(spark, d), known)
+    out.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(found).awaitTermination()
+    return rounded(spark.read.schema(out.schema).parquet(found))
+
+
+@query("serve_ring", Z_SQL + f", {FOUND_SQL}, {LIMITS_SQL} SELECT * FROM (SELECT * FROM found UNION ALL SELECT * FROM limits) ORDER BY arrival_seq DESC, detector_id DESC LIMIT 20", recursive=True)
+def _(spark, d):
+    """The whole ingest of a stream, then a ring that holds fewer anomalies than were found."""
+    home, checkpoint = shared_folder(spark, "serve"), shared_folder(spark, "stream-checkpoint")
+    known = anomaly.detectors_for(objectives(spark)).unionByName(anomaly.detector_table(spark, _limits()))
+    for running in pipeline.serve(_stream(spark, d), known, home, checkpoint):
+        running.awaitTermination()
+    return rounded(pipeline.recent_anomalies(spark, home, 20))
+
+
+@query("serve_journal", f"SELECT series, minute, {COUNTS} FROM ev GROUP BY ALL")
+def _(spark, d):
+    """Buckets rebuilt from the journal that the ingest of a stream has kept."""
+    home, checkpoint = shared_folder(spark, "serve"), shared_folder(spark, "stream-checkpoint")
+    for running in pipeline.serve(_stream(spark, d), anomaly.detector_table(spark, _limits()), home, checkpoint):
+        running.awaitTermination()
+    frames = spark.read.format("journal").load(f"{home}/journal").withColumnRenamed("seq", "arrival_seq")
+    return spelt(buckets.minute_buckets(events.parse_events(frames)))
+
+
 def _simulated(scenario: str) -> None:
-    @query(f"simulate_{scenario.replace('-', '_')}")
+    name = scenario.replace("-", "_")
+
+    @query(
+        f"simulate_{name}",
+        f"""SELECT (s // 6)::BIGINT AS tenth, CASE WHEN '{scenario}' = 'rollout' AND s >= 30 THEN 'v1-new' ELSE 'v1' END AS model_version, count(*) * 2000 AS n,
+        true AS failures_as_modelled, true AS median_as_modelled, true AS tail_as_modelled FROM range(60) r(s) GROUP BY ALL""",
+    )
     def _(spark, d):
+        """Two thousand events a second for a minute, tenth by tenth against the traffic model."""
         made = simulate.simulate(spark, 2000, 60, scenario=scenario, seed=7, partitions=4)
-        tenth = F.expr("(ts_nanos div 6000000000L)").alias("tenth")
-        return rounded(made.groupBy(tenth, "model_version").agg(F.count("*").alias("n"), F.avg((~S.is_good()).cast("double")).alias("failures"), F.percentile("latency_ms", F.lit(0.5)).alias("median_ms"), F.percentile("latency_ms", F.lit(0.99)).alias("p99_ms")))
+        shape = made.groupBy(F.expr("ts_nanos div 6000000000L").alias("tenth"), "model_version").agg(
+            F.count("*").alias("n"), F.avg((~S.is_good()).cast("double")).alias("f"), F.percentile("latency_ms", F.lit(0.5)).alias("p50"), F.percentile("latency_ms", F.lit(0.999)).alias("p999"),
+        )
+        burst = F.col("tenth").between(2, 3) & F.lit(scenario == "burst")
+        drift = 1 + F.when(F.lit(scenario == "drift"), 2 * (F.col("tenth") + 0.5) / 10).otherwise(0.0)
+        median = F.exp(F.lit(simulate.MU)) * drift
+        far = F.lit(float(scenario == "tail-latency"))
+        return shape.select(
+            "tenth", "model_version", "n", F.when(burst, F.col("f").between(0.32, 0.39)).otherwise(F.col("f").between(0.002, 0.012)).alias("failures_as_modelled"),
+            F.col("p50").between(median * 0.95, median * 1.05).alias("median_as_modelled"), ((F.col("p999") > 6 * median).cast("double") == far).alias("tail_as_modelled"),
+        )
 
 
 for _scenario in simulate.SCENARIOS:

@@ -25,6 +25,8 @@ EVENT_SCHEMA = T.StructType(
 COLUMNS = ("arrival_seq", "ts_nanos", "model", "model_version", "latency_ms", "status", "input_tokens", "output_tokens", "cost_usd", "metadata")
 #: Limits of an ingest request.
 MOST_BYTES, MOST_EVENTS = 1 << 20, 1000
+#: Arrival numbers that a batch has for its events.
+BATCH_SPAN = 1024
 _U32_MAX = 2**32 - 1
 
 
@@ -66,13 +68,13 @@ def parse_events(messages: DataFrame, value: str = "value", seq: str = "arrival_
 def parse_batches(messages: DataFrame, value: str = "value", seq: str = "arrival_seq") -> DataFrame:
     """A JSON array of events in each message, refused whole if it has more than MOST_EVENTS or a bad event.
 
-    Events arrive in the order of ``seq``, then of their place in the array.
+    Events arrive in the order of ``seq``, then of their place in the array: ``arrival_seq`` is a long of both.
     """
     parsed = messages.filter(F.octet_length(value) <= MOST_BYTES).select(F.col(seq).alias("batch_seq"), _parsed(value, T.ArrayType(EVENT_SCHEMA)).alias("_events"))
     parsed = parsed.filter(F.size("_events").between(0, MOST_EVENTS))
     whole = parsed.filter(F.forall("_events", lambda e: F.coalesce(_complete(e), F.lit(False))))
     rows = whole.select("batch_seq", F.posexplode("_events").alias("place", "_event"))
-    return _tidy(rows.withColumn("arrival_seq", F.struct("batch_seq", "place")), "_event", "arrival_seq").filter(valid())
+    return _tidy(rows.withColumn("arrival_seq", F.col("batch_seq").cast("long") * BATCH_SPAN + F.col("place")), "_event", "arrival_seq").filter(valid())
 
 
 def _complete(event: Column) -> Column:

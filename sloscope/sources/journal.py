@@ -24,7 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 MAGIC, VERSION, MOST = b"SNTL", 1, 1 << 20
 HEADER, FRAME = "<4sI", "<II"
 HEADER_SIZE, FRAME_SIZE = struct.calcsize(HEADER), struct.calcsize(FRAME)
-SCHEMA = "path string, frame long, value string"
+SCHEMA = "path string, frame long, value string, seq long"
 
 
 class JournalCorruption(ValueError):
@@ -53,6 +53,8 @@ def read_frames(path: str, on_corrupt: str = "fail") -> Iterator[tuple[int, byte
 
     with open(path, "rb") as f:
         head = f.read(HEADER_SIZE)
+        if not head:
+            return  # created and nothing written yet
         if len(head) < HEADER_SIZE or struct.unpack(HEADER, head) != (MAGIC, VERSION):
             return bad(0, "not a journal of this version")
         offset = HEADER_SIZE
@@ -109,8 +111,8 @@ class JournalFile:
 
 
 class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, number: int):
+        self.path, self.number = path, number
 
 
 class _Reader(DataSourceReader):
@@ -118,13 +120,13 @@ class _Reader(DataSourceReader):
         self.paths, self.on_corrupt = paths, on_corrupt
 
     def partitions(self) -> list[_File]:
-        return [_File(p) for p in self.paths]
+        return [_File(p, k) for k, p in enumerate(self.paths)]
 
     def read(self, partition: _File) -> Iterator[tuple]:
         if partition is None:
             return
         for number, (_, payload) in enumerate(read_frames(partition.path, self.on_corrupt)):
-            yield partition.path, number, payload.decode()
+            yield partition.path, number, payload.decode(), partition.number << 40 | number
 
 
 class _Written(WriterCommitMessage):
@@ -165,8 +167,10 @@ class _Writer(DataSourceWriter):
 class JournalSource(DataSource):
     """``spark.read.format("journal").load(file or folder)`` and ``df.write.format("journal").save(folder)``.
 
-    Reading gives (path, frame, value); what is written is the string column ``value``.
-    The folder must be one that all executors share.
+    Reading gives (path, frame, value, seq), seq being a long in the order of path and
+    frame; what is written is the string column ``value``. The folder must be a mounted
+    one that all executors share: files are appended to and renamed in place, so the
+    address of an object store or another file system is refused.
     """
 
     @classmethod
@@ -177,11 +181,14 @@ class JournalSource(DataSource):
         return SCHEMA
 
     def _path(self) -> str:
-        return self.options["path"].removeprefix("file://").removeprefix("file:")
+        path = self.options["path"].removeprefix("file://").removeprefix("file:")
+        if "://" in path:
+            raise ValueError(f"a journal needs a mounted folder, not {path}")
+        return path
 
     def reader(self, schema) -> _Reader:
         path = self._path()
-        paths = sorted(glob(os.path.join(path, "*.journal"))) if os.path.isdir(path) else [path]
+        paths = sorted(glob(os.path.join(path, "**", "*.journal"), recursive=True)) if os.path.isdir(path) else [path]
         return _Reader(paths, self.options.get("on_corrupt", "fail"))
 
     def writer(self, schema, overwrite: bool) -> _Writer:

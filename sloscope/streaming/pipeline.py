@@ -19,22 +19,33 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sloscope.functions import scalars as S
 from sloscope.operators import anomaly, buckets
+from sloscope.sources import journal
+from sloscope.sources.events import to_wire
 
 _RESULT = "arrival_seq long, ts_nanos long, model string, detector_id string, source string, value double, score double, severity string"
 
 
+def _dated(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("event_date", F.to_date(F.timestamp_seconds(F.col("minute") * 60)))
+
+
 def write_buckets(batch: DataFrame, batch_id: int, folder: str, sketches: bool = True) -> None:
-    """One micro-batch's partial buckets, partitioned by day so that windows prune files."""
-    parts = buckets.minute_buckets(batch, sketches).withColumn("event_date", F.to_date(F.timestamp_seconds(F.col("minute") * 60)))
-    parts.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+    """One micro-batch's partial buckets in a folder by stream and batch, partitioned by day so that windows prune files.
+
+    A stream keeps its id as long as its checkpoint: a batch that is run again replaces
+    its own folder, and a new checkpoint's batches, which count from 0, replace no other's.
+    """
+    stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
+    parts = _dated(buckets.minute_buckets(batch, sketches))
+    parts.repartition("event_date").write.mode("overwrite").partitionBy("event_date").parquet(f"{folder}/stream_id={stream}/batch_id={batch_id}")
 
 
 def read_buckets(spark: SparkSession, folder: str, since_minute: int | None = None) -> DataFrame:
-    """The merged buckets of all batches; ``since_minute`` is pushed to the scan."""
+    """The merged buckets of all batches; ``since_minute`` prunes days and is pushed to the scan."""
     parts = spark.read.option("basePath", folder).parquet(folder)
     if since_minute is not None:
-        parts = parts.filter(F.col("minute") >= since_minute)
-    return buckets.merge_buckets(parts.drop("batch_id", "event_date"))
+        parts = parts.filter((F.col("minute") >= since_minute) & (F.col("event_date") >= F.to_date(F.timestamp_seconds(F.lit(since_minute * 60)))))
+    return buckets.merge_buckets(parts.drop("stream_id", "batch_id", "event_date"))
 
 
 def compact_buckets(spark: SparkSession, folder: str, target: str, retention_minutes: int | None = None) -> None:
@@ -42,8 +53,7 @@ def compact_buckets(spark: SparkSession, folder: str, target: str, retention_min
     merged = read_buckets(spark, folder)
     if retention_minutes is not None:
         merged = buckets.retain_newest(merged, retention_minutes)
-    days = merged.withColumn("event_date", F.to_date(F.timestamp_seconds(F.col("minute") * 60)))
-    days.write.mode("overwrite").parquet(f"{target}/batch_id=-1")
+    _dated(merged).repartition("event_date").write.mode("overwrite").partitionBy("event_date").parquet(f"{target}/stream_id=compact/batch_id=-1")
 
 
 def ingest(events: DataFrame, folder: str, checkpoint: str, also: Callable[[DataFrame, int], None] | None = None, **trigger) -> StreamingQuery:
@@ -61,9 +71,22 @@ def ingest(events: DataFrame, folder: str, checkpoint: str, also: Callable[[Data
     return events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def evaluate_every(events: DataFrame, checkpoint: str, evaluate: Callable[[int], None], seconds: int = 10) -> StreamingQuery:
-    """Calls ``evaluate`` with the batch number at every trigger, at least a second apart."""
-    return events.writeStream.foreachBatch(lambda _, n: evaluate(n)).option("checkpointLocation", checkpoint).trigger(processingTime=f"{max(1, seconds)} seconds").start()
+def evaluate_every(events: DataFrame, checkpoint: str, evaluate: Callable[[int], DataFrame | None], seconds: int = 10, keep: str | None = None) -> StreamingQuery:
+    """Calls ``evaluate`` with the batch number at every trigger, at least a second apart; ``keep`` holds its results for ``latest_evaluation``."""
+
+    def step(_: DataFrame, n: int) -> None:
+        found = evaluate(n)
+        if keep is not None and found is not None:
+            found.withColumn("evaluated_at", F.current_timestamp()).coalesce(1).write.mode("overwrite").parquet(f"{keep}/batch_id={n}")
+
+    return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(processingTime=f"{max(1, seconds)} seconds").start()
+
+
+def latest_evaluation(spark: SparkSession, keep: str) -> DataFrame:
+    """The newest result that ``evaluate_every`` kept: one row for each objective."""
+    held = spark.read.option("basePath", keep).parquet(keep)
+    newest = held.agg(F.max("evaluated_at").alias("evaluated_at"))
+    return held.join(F.broadcast(newest), "evaluated_at", "left_semi").drop("batch_id")
 
 
 def _observe(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -81,13 +104,40 @@ def _observe(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     yield pd.DataFrame({"arrival_seq": out["arrival_seq"], "ts_nanos": out["ts_nanos"], "model": key[0], "detector_id": key[1], "source": "zscore", "value": out["latency_ms"], "score": score, "severity": severity})
 
 
-def detect_stream(events: DataFrame, detectors: DataFrame) -> DataFrame:
+def zscore_stream(events: DataFrame, detectors: DataFrame) -> DataFrame:
     """z-score anomalies of a stream of events; state is three numbers a key, so there is no watermark."""
     wanted = F.broadcast(detectors.filter("kind = 'zscore'").select("detector_id", "model", "alpha", "threshold", "warmup"))
     rows = events.select("arrival_seq", "ts_nanos", "model", "latency_ms").join(wanted, "model")
     return rows.groupBy("model", "detector_id").applyInPandasWithState(_observe, _RESULT, "n long, mean double, variance double", "append", GroupStateTimeout.NoTimeout)
 
 
+def detect_stream(events: DataFrame, detectors: DataFrame) -> DataFrame:
+    """The registry on a stream: every detector of an event's model sees it; thresholds need no state."""
+    return zscore_stream(events, detectors).unionByName(anomaly.threshold_anomalies(events, detectors))
+
+
+def serve(events: DataFrame, detectors: DataFrame, home: str, checkpoint: str, **trigger) -> list[StreamingQuery]:
+    """The whole ingest of a stream of events below the folder ``home``: buckets, journal and anomalies.
+
+    Two queries run side by side, each with a checkpoint of its own: one writes buckets and
+    appends every micro-batch to the journal, the other runs the detectors. ``recent_anomalies``
+    reads the ring, ``read_buckets`` the buckets; the journal replays with format ``journal``.
+    """
+    journal.register(events.sparkSession)
+
+    def log(batch: DataFrame, batch_id: int) -> None:
+        to_wire(batch).select("value").write.format("journal").mode("overwrite").save(f"{home}/journal/batch_id={batch_id}")
+
+    kept = ingest(events, f"{home}/buckets", f"{checkpoint}/buckets", log, **trigger)
+    found = detect_stream(events, detectors).writeStream.format("parquet").option("checkpointLocation", f"{checkpoint}/anomalies")
+    return [kept, found.trigger(**(trigger or {"availableNow": True})).start(f"{home}/anomalies")]
+
+
+def recent_anomalies(spark: SparkSession, home: str, most: int = anomaly.RING) -> DataFrame:
+    """The ring: the last anomalies that the detectors of ``serve`` have found."""
+    return anomaly.ring(spark.read.schema(_RESULT).parquet(f"{home}/anomalies"), most)
+
+
 def windowed_counts(events: DataFrame, size: str = "1 minute", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counters by model and event-time window, with a watermark; later events are dropped here, unlike in buckets."""
     rows = events.withColumn("event_time", S.event_time()).withWatermark("event_time", late)

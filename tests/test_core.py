@@ -362,7 +362,7 @@ def test_json_batches(spark):
     e = '{"timestamp": 1, "model": "m", "model_version": "v", "latency_ms": 1.5, "status": "success"}'
     messages = [(1, f"[{e},{e}]"), (2, "[" + ",".join([e] * 1001) + "]"), (3, f"[{e},{{}}]"), (4, "no"), (5, "[]")]
     rows = spark.createDataFrame(messages, "arrival_seq long, value string")
-    assert [(r["arrival_seq"]["batch_seq"], r["arrival_seq"]["place"]) for r in events.parse_batches(rows).collect()] == [(1, 0), (1, 1)]
+    assert [r["arrival_seq"] for r in events.parse_batches(rows).collect()] == [1024, 1025]
     got = {r["arrival_seq"]: (r["http_status"], r["ingested"]) for r in events.batch_reply(rows).collect()}
     assert got == {1: (202, 2), 2: (413, 0), 3: (400, 0), 4: (400, 0), 5: (202, 0)}
 
