@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import re
 
 import pytest
@@ -78,3 +80,36 @@ def test_op7(spark, corpus, nothing):
 @pytest.mark.parametrize("text,label", [("under the two clause license", "bsd-2-clause"), ("a 3 clause licence", "bsd-3-clause"), ("Four-Clause License", "bsd-4-clause"), ("the 2-clause BSD license", "bsd-2-clause"), ("Simplified BSD License", "bsd-2-clause")])
 def test_clause_licenses_need_no_bsd(text, label):
     assert label in [x[0] for x in licences.scan(text)[2]]
+
+
+def plain_scan(text):
+    """Suppression and word numbers by their definition, rule by rule and hit by hit."""
+    line = b" " + b" ".join(w for w in licences.words_of(text) if w) + b" "
+    kept = []
+    for label, keyword, expression, confidence in licences.rules():
+        for m in expression.finditer(line) if keyword in line else ():
+            a, b = m.span()
+            if not any(x <= a and b <= y for _, x, y, _ in kept):
+                kept.append((label, a, b, confidence))
+    return sorted(((n, line.count(b" ", 0, a) - 1, line.count(b" ", 0, b), c) for n, a, b, c in kept), key=lambda x: (x[1], x[2], x[0]))
+
+
+def test_suppression_by_definition():
+    parts = ["licensed under the Apache License, Version 2.0", "MIT License", "GNU General Public License v3 or later", "see cc by sa 4.0 and CC BY", "some words", "the BSD 3 clause license", "GPL", "license GPLv2"]
+    rng = random.Random(5)
+    for _ in range(60):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        assert licences.scan(text)[2] == plain_scan(text)
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    line = "This file is licensed under the Apache License, Version 2.0 or the MIT License. "
+    took = []
+    for n in (4000, 16_000):
+        began = time.perf_counter()
+        words, base, found = licences.scan(line * n)
+        took.append(time.perf_counter() - began)
+        assert len(base) == 2 * n and len(found) >= 2 * n
+    assert took[1] < 7 * took[0] + 0.5
