@@ -2,8 +2,11 @@
 
 A detector sees the events of one model in the order of arrival, whatever their labels.
 The recurrences run over sorted Arrow batches with a three-number state carried from
-batch to batch, so memory doesn't grow with a model's events; one model's events are
-read in order by one task, which is what the recurrence asks for.
+batch to batch, so memory doesn't grow with a model's events. A stretch of events acts on
+the state before it by a formula of four numbers (``after``), so a model's events are cut
+by arrival into chunks that run side by side: one pass sums each chunk up, the sums alone
+are read in order to find where every chunk starts, and a second pass scores the events.
+Results don't depend on batches or tasks: detectors of equal settings give equal scores.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ DETECTOR_SCHEMA = "detector_id string, model string, kind string, alpha double,
 #: Fixed values of the preset for each objective.
 ALPHA, THRESHOLD, WARMUP = 0.05, 4.0, 60
 RING = 256
+#: Arrival numbers that differ only in so many low bits share a chunk.
+CHUNK_BITS = 16
 
 _ANOMALY = "arrival_seq long, ts_nanos long, model string, detector_id string, source string, value double, score double, severity string"
 _STATE = "model string, detector_id string, arrival_seq long, ts_nanos long, value double, n long, mean double, variance double, z double"
@@ -74,25 +79,87 @@ def ewma(values: np.ndarray, alpha: float, n: int = 0, mean: float = 0.0, varian
     return z, means, variances
 
 
+def after(state: tuple[float, float], chunk: tuple[int, float, float, float], alpha: float) -> tuple[float, float]:
+    """Mean and variance after a chunk, from those before it and the chunk's sums.
+
+    The sums are its number of values, its first value, and the mean and variance after it
+    if nothing came before. With a start off the first value by ``off``, each mean is off by
+    what decay has left of that, and the squares of the differences follow from it.
+    """
+    mean, variance = state
+    n, first, own_mean, own_variance = chunk
+    decay, off = (1 - alpha) ** n, mean - first
+    spread = decay * variance + own_variance + off * decay * (off * (1 - decay) - 2 * (own_mean - first))
+    return own_mean + decay * off, spread if spread > 0 or spread != spread else 0.0
+
+
+KEYS = ["model", "detector_id", "chunk"]
+_SUMS = "model string, detector_id string, chunk long, alpha double, n long, first double, mean double, variance double"
+_STARTS = "model string, detector_id string, chunk long, n0 long, mean0 double, variance0 double"
+
+
+def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each chunk's sums; rows are sorted by chunk and arrival, and one may go on in the next batch."""
+    names = [x.split()[0] for x in _SUMS.split(", ")]
+    key, held = None, []
+    for pdf in batches:
+        done = []
+        for now, rows in pdf.groupby(KEYS, sort=False):
+            x = rows["latency_ms"].to_numpy(float)
+            if now != key:
+                done += [held] if held else []
+                key, held = now, [*now, float(rows["alpha"].iloc[0]), 0, x[0], 0.0, 0.0]
+            _, means, variances = ewma(x, held[3], held[4], *held[6:])
+            held[4:] = held[4] + len(x), held[5], means[-1], variances[-1]
+        if done:
+            yield pd.DataFrame(done, columns=names)
+    if held:
+        yield pd.DataFrame([held], columns=names)
+
+
+def _starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The state before each chunk; rows are sorted by chunk."""
+    key, n, state = None, 0, (0.0, 0.0)
+    for pdf in batches:
+        found = []
+        for model, detector, chunk, alpha, *sums in pdf.itertuples(index=False, name=None):
+            if (model, detector) != key:
+                key, n, state = (model, detector), 0, (sums[1], 0.0)
+            found.append((model, detector, chunk, n, *state))
+            n, state = n + sums[0], after(state, sums, alpha)
+        yield pd.DataFrame(found, columns=[x.split()[0] for x in _STARTS.split(", ")])
+
+
 def _states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by model, detector and arrival; the last key's state is carried over."""
+    """Rows sorted by chunk and arrival, with the state before the chunk; the last chunk's state is carried over."""
     key, state = None, (0, 0.0, 0.0)
     for pdf in batches:
-        for now, rows in pdf.groupby(["model", "detector_id"], sort=False):
-            n, mean, variance = state if now == key else (0, 0.0, 0.0)
-            z, means, variances = ewma(rows["latency_ms"].to_numpy(float), float(rows["alpha"].iloc[0]), n, mean, variance)
+        for now, rows in pdf.groupby(KEYS, sort=False):
+            n, mean, variance = state if now == key else (rows[c].iloc[0] for c in ("n0", "mean0", "variance0"))
+            x = rows["latency_ms"].to_numpy(float)
+            z, means, variances = ewma(x, float(rows["alpha"].iloc[0]), n, mean, variance)
             counts = n + 1 + np.arange(len(rows))
             seen = {c: rows[c].to_numpy() for c in ("arrival_seq", "ts_nanos")}
-            yield pd.DataFrame({"model": now[0], "detector_id": now[1], **seen, "value": rows["latency_ms"].to_numpy(float), "n": counts, "mean": means, "variance": variances, "z": [None if np.isnan(x) else x for x in z]})
+            yield pd.DataFrame({"model": now[0], "detector_id": now[1], **seen, "value": x, "n": counts, "mean": means, "variance": variances, "z": np.where(np.isnan(z), None, z)})
             key, state = now, (int(counts[-1]), means[-1], variances[-1])
 
 
-def zscore_states(events: DataFrame, detectors: DataFrame) -> DataFrame:
-    """For every event and z-score detector of its model: the state after it and its score before it."""
-    wanted = detectors.filter("kind = 'zscore'").select("detector_id", "model", "alpha")
+def zscore_states(events: DataFrame, detectors: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
+    """For every event and z-score detector of its model: the state after it and its score before it.
+
+    Events without an arrival number come first. What one task reads in order is a chunk's
+    events, or one row a chunk; arrival numbers should therefore be dense.
+    """
+    wanted = detectors.filter("kind = 'zscore' AND detector_id IS NOT NULL").select("detector_id", "model", "alpha")
     rows = events.select("arrival_seq", "ts_nanos", "model", "latency_ms").join(F.broadcast(wanted), "model")
-    ordered = rows.repartition("model", "detector_id").sortWithinPartitions("model", "detector_id", "arrival_seq")
-    return ordered.select("model", "detector_id", "arrival_seq", "ts_nanos", "latency_ms", "alpha").mapInPandas(_states, _STATE)
+    chunk = F.coalesce(F.shiftright("arrival_seq", chunk_bits), F.lit(-(1 << 63)).cast("long"))
+    rows = rows.select("model", "detector_id", chunk.alias("chunk"), "arrival_seq", "ts_nanos", "latency_ms", "alpha")
+    dealt = rows.repartition(*KEYS)
+    sums = dealt.sortWithinPartitions(*KEYS, "arrival_seq").mapInPandas(_sums, _SUMS)
+    starts = sums.repartition("model", "detector_id").sortWithinPartitions(*KEYS).mapInPandas(_starts, _STARTS)
+    # the shuffle by KEYS above serves both passes; as an explicit one it is never split by key
+    ordered = dealt.join(starts, KEYS).sortWithinPartitions(*KEYS, "arrival_seq")
+    return ordered.mapInPandas(_states, _STATE)
 
 
 def zscore_anomalies(events: DataFrame, detectors: DataFrame) -> DataFrame:

@@ -265,6 +265,35 @@ def test_ewma_state_carries_over_and_stays_in_range(values, alpha, cut):
         np.testing.assert_array_equal(v2, variance[cut:])
 
 
+def stepwise(values, alpha):
+    """The recurrence as it is written down, value by value."""
+    n, mean, variance, rows = 0, 0.0, 0.0, []
+    for x in values:
+        z = (x - mean) / variance**0.5 if n >= 2 and variance**0.5 > np.finfo(float).eps else math.nan
+        mean, variance = (x, 0.0) if n == 0 else (mean + alpha * (x - mean), (1 - alpha) * (variance + alpha * (x - mean) ** 2))
+        n += 1
+        rows.append((z, mean, variance))
+    return np.array(rows).T
+
+
+@pytest.mark.parametrize("alpha", [0.001, 0.05, 0.7, 1.0])
+def test_chunks_give_the_recurrence(spark, made, alpha):
+    rng = np.random.default_rng(3)
+    spiky = rng.gamma(2.0, 40.0, 700) + np.where(rng.random(700) < 0.01, 3000, 0)
+    rows = made(event(i, i, latency=float(v)) for i, v in enumerate(spiky))
+    known = anomaly.detector_table(spark, [anomaly.zscore_detector("a", "m", alpha=alpha), anomaly.zscore_detector("b", "m", alpha=alpha)])
+    got, same = (anomaly.zscore_states(rows, known, chunk_bits=4).filter(F.col("detector_id") == d).orderBy("arrival_seq").toPandas() for d in "ab")
+    assert got.drop(columns="detector_id").equals(same.drop(columns="detector_id"))
+    z, means, variances = stepwise(spiky.tolist(), alpha)
+    assert got["n"].tolist() == list(range(1, 701))
+    np.testing.assert_allclose(got["mean"], means, rtol=1e-9)
+    np.testing.assert_allclose(got["variance"], variances, rtol=1e-9, atol=1e-9)
+    np.testing.assert_allclose(got["z"].astype(float), z, rtol=1e-8, atol=1e-9)
+    flat = made(event(i, i, latency=9.1 if i == 90 else 0.1) for i in range(91))
+    flat = anomaly.zscore_states(flat, known, chunk_bits=3).toPandas()
+    assert flat["z"].isna().all() and (flat.loc[flat["arrival_seq"] < 90, "variance"] == 0).all()
+
+
 def test_registry_thresholds_and_ring(spark, made):
     rows = made([event(0, 0, latency=50), event(1, 0, latency=5), event(2, 0, model="unknown", latency=9999), event(3, 0, latency=math.nan)])
     limits = [anomaly.threshold_detector(f"d{k}", "m", x) for k, x in enumerate((10.0, 20.0, 1000.0))] + [anomaly.threshold_detector("low", "m", 6.0, "below", "info")]
