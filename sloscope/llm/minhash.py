@@ -15,7 +15,10 @@ BUCKET such members is cut by the further bands that its members share, twice at
 sets at 0.8 share fewer than three bands with a probability of 1.2e-5), and what is still
 larger is dealt into chunks that meet in cells of two, so no bucket is unbounded and none is
 left out. Candidates must agree in as many places as the threshold makes all but certain
-(six standard deviations), and every link is verified on the whole sets.
+(six standard deviations). The parities of the elements dealt to PARITIES bits (Mitzenmacher,
+Pagh & Pham, 2014) differ in no more bits than the sets in elements, so a pair with more
+differing bits than the threshold allows is no link: in a group whose members are nearly
+similar, pairs end in the join. Every link is verified on the whole sets.
 
 Defined cases: a null or empty text and one without words have an empty set, linked with
 nothing; fewer words than a shingle make one shingle of the whole sequence; case (A-Z) and
@@ -48,13 +51,16 @@ PLACES = BANDS * DEPTH
 NEAR = 85
 #: Rounds in which a band's members are compared with one of them; members of a bucket that are then compared with each
 #: other; how often a larger one is cut by further bands before it is dealt into chunks.
-ROUNDS, BUCKET, CUTS = 3, 5_000, 2
+ROUNDS, BUCKET, CUTS = 2, 5_000, 2
 #: Rows of a few longs that every task may be told.
 BROADCAST_ROWS = 500_000
 #: Elements and sets that take their steps together.
 _PART, _SETS = 1 << 16, 512
-#: Columns of 16 places each, four bits a place.
+#: Bits of a set's parities.
+PARITIES = 512
+#: Columns of 16 places each, four bits a place, and of 64 parities each.
 SIGNS = tuple(f"s{k}" for k in range(PLACES // 16))
+ODDS = tuple(f"p{k}" for k in range(PARITIES // 64))
 #: An offer: the rank in the high bits, the draw below.
 _DRAW = 57
 
@@ -128,6 +134,12 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return least
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """Whether an odd number of elements is dealt to each of PARITIES bits, as longs."""
+    dealt = np.bincount((_mixed(own) >> np.uint64(40)).astype(np.int64) % PARITIES, minlength=PARITIES)
+    return np.packbits((dealt & 1).astype(np.uint8)).view(np.int64)
+
+
 _PRINTS = "node long, n int, keys array<long>, signs array<long>"
 
 
@@ -141,13 +153,14 @@ def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = [np.array(k, np.uint64).view(np.int64) for k in keys]
         bits = (_mixed(least) >> np.uint64(60)).astype(np.uint8)
         signs = (bits[:, ::2] | bits[:, 1::2] << 4).view(np.int64) if len(sets) else np.zeros((0, len(SIGNS)), np.int64)
+        signs = [np.concatenate((row, parities(s))) for row, s in zip(signs, sets)]
         columns = [pa.array(np.array([node_of(s) for s in sets], np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int32())]
-        columns += [pa.array(keys, pa.list_(pa.int64())), pa.array(list(signs), pa.list_(pa.int64()))]
+        columns += [pa.array(keys, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], names=[*names, "node", "n", "keys", "signs"])
 
 
 def with_prints(texts: DataFrame) -> DataFrame:
-    """``texts`` with node (the set's name), n (its size), keys (of its bands) and signs in place of ``text``."""
+    """``texts`` with node (the set's name), n (its size), keys (of its bands) and signs (places and parities) in place of ``text``."""
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema.fields if f.name != "text")
     return texts.mapInArrow(_printed, f"{kept}, {_PRINTS}")
 
@@ -191,17 +204,22 @@ def least_alike(near: int) -> int:
 
 
 def _may_match(x: str, y: str, near: int) -> Column:
-    """Whether sets with columns of these suffixes can be similar by their sizes, and look alike by their signatures."""
-    alike = F.lit(0)
+    """Whether sets with columns of these suffixes can be similar by their sizes and parities, and look alike by their signatures."""
+    alike, odd = F.lit(0), F.lit(0)
+    for c in ODDS:
+        odd = odd + F.bit_count(F.expr(f"{c}{x} ^ {c}{y}"))
     for c in SIGNS:
         apart = F.expr(f"{c}{x} ^ {c}{y}")
         apart = apart.bitwiseOR(F.shiftrightunsigned(apart, 1))
         apart = apart.bitwiseOR(F.shiftrightunsigned(apart, 2)).bitwiseAND(F.lit(0x1111111111111111))
         alike = alike + 16 - F.bit_count(apart)
-    return (F.least(f"n{x}", f"n{y}").cast("long") * 100 >= F.greatest(f"n{x}", f"n{y}").cast("long") * near) & (alike >= least_alike(near))
+    sizes = F.least(f"n{x}", f"n{y}").cast("long") * 100 >= F.greatest(f"n{x}", f"n{y}").cast("long") * near
+    # of sets that are similar, at most this share of their elements is in one of them only
+    few = odd.cast("long") * (100 + near) <= (F.col(f"n{x}").cast("long") + F.col(f"n{y}")) * (100 - near)
+    return sizes & few & (alike >= least_alike(near))
 
 
-_MEMBER = ("node", "n", "root", *SIGNS)
+_MEMBER = ("node", "n", "root", *SIGNS, *ODDS)
 
 
 def _met(members: DataFrame, near: int, *by: str) -> DataFrame:
@@ -250,7 +268,7 @@ def similar_roots(heads: DataFrame, texts: DataFrame, near: int = NEAR) -> DataF
     met = stash(keyed.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1"), "minhash-met")
     weighed = stash(keyed.join(_told(met), "key"), "minhash-keyed")
     weights = weighed.groupBy("node").agg(F.sum("many").alias("weight"))
-    known = stash(heads.join(weights, "node").select("node", "n", "weight", "head", *(F.col("signs")[k].alias(c) for k, c in enumerate(SIGNS))), "minhash-known")
+    known = stash(heads.join(weights, "node").select("node", "n", "weight", "head", *(F.col("signs")[k].alias(c) for k, c in enumerate((*SIGNS, *ODDS)))), "minhash-known")
     members = stash(weighed.select("key", "node").join(known.drop("head"), "node"), "minhash-members")
     own = texts.join(_told(known.select("node", *(f"head.{c}" for c in KEY))), list(KEY)).select("node", "text").mapInArrow(_sets, "node long, own binary")
     own = stash(own.dropDuplicates(["node"]), "minhash-sets")
@@ -275,13 +293,16 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     return docs.select(*row_key(), F.col("doc_id").isNull().alias("_no_id"), F.col("text").cast("string").alias("text"))
 
 
-def components(docs: DataFrame, near: int = NEAR) -> tuple[DataFrame, DataFrame]:
-    """Each row's prints (KEY, _no_id, node, n), and for sets with several rows or links node, head (the first row's KEY) and size."""
+def components(docs: DataFrame, near: int = NEAR, empty_alike: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Each row's prints (KEY, _no_id, node, n), and for sets with several rows or links node, head (the first row's KEY) and size.
+
+    With ``empty_alike`` texts without words are equal; else they are linked with nothing.
+    """
     texts = keyed_texts(docs)
     with passing(docs.sparkSession):
         whole = stash(with_prints(texts), "minhash-prints")
         head = F.min(F.struct("_no_id", *KEY)).alias("head")
-        heads = whole.filter("n > 0").groupBy("node").agg(head, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("signs").alias("signs"))
+        heads = whole.filter("n >= 0" if empty_alike else "n > 0").groupBy("node").agg(head, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("signs").alias("signs"))
         heads = stash(heads, "minhash-heads")
         roots = similar_roots(heads, texts, near)
         members = stash(heads.join(roots, "node", "left").select("node", "head", "copies", F.coalesce("root", "node").alias("root")), "minhash-members")

@@ -104,3 +104,14 @@ def test_estimate_is_unbiased_and_below_the_variance_of_minima():
     plain = 0.5 * 0.5 / minhash.PLACES
     assert abs(np.mean(shares) - 0.5) < 4 * (plain / 300) ** 0.5
     assert np.var(shares) < 0.8 * plain
+
+
+def test_parities_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(6)
+    for n in (1, 40, 300, 5000):
+        a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        b = np.unique(np.concatenate((a[n // 7 :], rng.integers(0, 2**64, n // 9, np.uint64))))
+        odd = int(np.bitwise_count(minhash.parities(a) ^ minhash.parities(b)).sum())
+        apart = len(np.setxor1d(a, b))
+        assert odd <= apart and (apart - odd) % 2 == 0
+        assert n > 300 or odd >= apart * 0.7
