@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from sloscope.llm import near_dedup
+from sloscope.llm import minhash, near_dedup
 
 WORDS = [f"{a}{b}" for a in ("river", "stone", "cloud", "née") for b in "abcdefghij"]
 
@@ -61,8 +61,8 @@ def test_pairs_at_the_threshold_and_above_are_joined(spark):
 @pytest.mark.parametrize("bucket", [2, 100])
 def test_bands_with_many_members_are_cut(spark, monkeypatch, bucket):
     """Without rounds and with tiny buckets all links come from cut bands and the pairs left in them."""
-    monkeypatch.setattr(near_dedup, "ROUNDS", 0)
-    monkeypatch.setattr(near_dedup, "BUCKET", bucket)
+    monkeypatch.setattr(minhash, "ROUNDS", 0)
+    monkeypatch.setattr(minhash, "BUCKET", bucket)
     rows = corpus_rows()
     got = near_dedup.keep_heads(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in got.collect()) == brute(rows)
@@ -79,22 +79,26 @@ def test_a_dense_group_gives_few_pairs(spark):
         rows.append((k, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     seen = []
-    links = near_dedup._links
+    links = minhash._links
     with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(near_dedup, "_links", lambda pairs, own: seen.append(pairs.distinct().count()) or links(pairs, own))
+        patch.setattr(minhash, "_links", lambda pairs, own, near: seen.append(pairs.distinct().count()) or links(pairs, own, near))
         assert [r["doc_id"] for r in near_dedup.keep_heads(docs).collect()] == [0]
     assert sum(seen) < 20 * 300
 
 
-def test_minima_agree_as_often_as_the_sets():
+@pytest.mark.parametrize("near", [0.80, 0.85])
+def test_no_link_at_the_threshold_is_lost(near):
+    """Of 400 pairs just at the threshold all share three bands, as cut bands need, and agree in enough places."""
     rng = np.random.default_rng(3)
-    hits, alike = [], []
-    for _ in range(300):
-        a = rng.integers(0, 2**63, 180).astype(np.uint64)
-        b = np.unique(np.concatenate((a[20:], rng.integers(0, 2**63, 20).astype(np.uint64))))
-        (keys, signs), (other, others) = near_dedup.band_keys(np.unique(a)), near_dedup.band_keys(b)
-        hits.append((keys == other).mean())
-        alike.append(sum(x == y for c, d in zip(signs.tobytes(), others.tobytes()) for x, y in ((c & 15, d & 15), (c >> 4, d >> 4))))
-    assert 0.34 < np.mean(hits) < 0.48  # 0.8 ** 4 is 0.41
-    assert all(h > 0 for h in hits)
-    assert 51 < np.mean(alike) < 53 and np.mean(np.array(alike) >= near_dedup.ALIKE) > 0.88
+    shared, alike = [], []
+    for _ in range(400):
+        n = int(rng.integers(20, 400))
+        both = -(-int(near * 100) * n // 100)
+        a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        b = np.concatenate((a[:both], rng.integers(0, 2**64, (n - both) // 2, np.uint64)))  # the union is larger by a half of the rest
+        a = np.concatenate((a[:both], a[both:][: n - both - (n - both) // 2]))
+        assert minhash.similar(np.unique(a), np.unique(b), int(near * 100))
+        one, other = minhash.signatures([a, b])
+        shared.append((one == other).reshape(minhash.BANDS, minhash.DEPTH).all(axis=1).sum())
+        alike.append((one == other).sum())
+    assert min(shared) > minhash.CUTS and min(alike) >= minhash.least_alike(int(near * 100))
