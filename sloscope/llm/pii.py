@@ -2,8 +2,8 @@ r"""Personal data by bootstrapped contextual extraction, in DataFrame and SQL fu
 
 Fixed forms (email, ip, card, phone) are found first. Then every value that holds a digit
 makes an edge between an instance (the value) and each of its lexical patterns: the word
-before it and the two words before it, each with the separator (``=``, ``:``, ``#`` or
-none). Values of a fixed form, or shaped like a secret, are the seeds; scores pass over
+before it and the two words before it, each with the separator (``=``, ``:``, ``#``, a
+line's end or none); the word may stand in quotes, as keys do. Values of a fixed form, or shaped like a secret, are the seeds; scores pass over
 the graph a few times: a pattern's confidence is its instances' mean score, an
 instance's score its best pattern's confidence. Patterns of high confidence and enough
 distinct seeds then mark every value that they introduce, whatever it looks like, as a
@@ -40,8 +40,9 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: The form of a value behind its words: a phone or a card, perhaps with spaces, or six characters or more with a digit.
 VALUE = r"\+[0-9][\x20().0-9-]{6,20}[0-9]|[0-9](?:[\x20-]?[0-9]){11,18}(?![0-9])|(?=[^\x00-\x20]{0,63}[0-9])[^\x00-\x20\x22'<>|,;]{6,}+"
 _WORD = r"\p{L}[\p{L}0-9_]{0,31}+"
-#: Perhaps a word, a word, a separator or a space, perhaps a quote, and a value.
-CONTEXT = rf"(?<![\p{{L}}0-9_])(?:({_WORD})[\x20\t]{{1,3}})?({_WORD})(?:[\x20\t]{{0,3}}([:=#])[\x20\t]{{0,3}}|[.,]?[\x20\t]{{1,3}})[\x22'(]?({VALUE})"
+#: Perhaps a word, a word, perhaps a quote, a separator (a line may end behind it), a line's end or a space, perhaps a quote, and a value.
+_BETWEEN = r"[\x20\t]{0,3}([:=#])[\x20\t\r\n]{0,3}|[.,]?[\x20\t]{0,3}(\r?\n)[\x20\t]{0,3}|[.,]?[\x20\t]{1,3}"
+CONTEXT = rf"(?<![\p{{L}}0-9_])(?:({_WORD})[\x20\t]{{1,3}})?({_WORD})[\x22'\]]?(?:{_BETWEEN})[\x22'(]?({VALUE})"
 SECRET = r"^(?:[0-9a-fA-F]{32,}|(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9_+/=-]{24,})$"
 
 ROUNDS, SEEDS, CONFIDENCE = 3, 3, 0.7
@@ -109,10 +110,11 @@ def _scanned(docs: DataFrame) -> DataFrame:
     rows = docs.select(*row_key(), text_or_empty().alias("text"))
     seen = F.expr(f"if(text RLIKE '[0-9]', {matches('text', CONTEXT)}, {_NO_MATCH})")
     part = lambda k: f"coalesce(regexp_extract(x.m, '{_quoted(CONTEXT)}', {k}), '')"
+    sign = f"concat({part(3)}, if({part(4)} = '', '', '|'))"  # a word at a line's end is a pattern of its own
     tidy = F.expr(
         f"""transform(seen, x -> struct(
-            transform(filter(array(concat({part(2)}, {part(3)}), if({part(1)} = '', '', concat({part(1)}, ' ', {part(2)}, {part(3)}))), p -> p <> ''), p -> lower(p)) AS patterns,
-            x.s + length(x.m) - length({part(4)}) AS s, regexp_replace({part(4)}, '[^\\\\p{{L}}0-9]+$', '') AS value))"""
+            transform(filter(array(concat({part(2)}, {sign}), if({part(1)} = '', '', concat({part(1)}, ' ', {part(2)}, {sign}))), p -> p <> ''), p -> lower(p)) AS patterns,
+            x.s + length(x.m) - length({part(5)}) AS s, regexp_replace({part(5)}, '[^\\\\p{{L}}0-9]+$', '') AS value))"""
     )
     rows = rows.select(*KEY, *(e.alias(k) for k, e in fixed_spans("text").items()), seen.alias("seen"))
     bounds = [F.transform(k, lambda x: F.struct(x["s"].alias("s"), (x["s"] + F.length(x["m"])).alias("e"))).alias(k) for k in KINDS]

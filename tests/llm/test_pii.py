@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -81,6 +82,24 @@ def test_words_around_seeds_become_patterns(spark):
     assert all(len(got[k]["phone"]) == 1 and got[k]["id"] == [] for k in range(4, 8))
 
 
+WRITTEN = ["secret = {}", "IBAN: {}", "account number {}", "passport no. {}", "access key is {}", "password for {}", '"token": "{}"', "ref\n{}", "{{'api_key': '{}'}}", "key:\n  {}", "export API_TOKEN={}", "- bearer: {}", "id,\r\n{}", "conf['pin'] = {}"]
+
+
+@pytest.mark.parametrize("forms", [WRITTEN])
+def test_unseen_ids_are_found_in_every_form(spark, forms):
+    """Nine seeds teach a form, and three values of other shapes are found by it; numbers elsewhere stay."""
+    rng = random.Random(12)
+    rows, want = [], {}
+    for k, form in enumerate(forms):
+        values = ["".join(rng.choice("abcdef0123456789") for _ in range(40)) + "0" for _ in range(9)] + [f"{rng.choice('KQZ')}{rng.randint(10**5, 10**6)}" for _ in range(3)]
+        for j, v in enumerate(values):
+            text = f"Some text {k} stands here.\n\n" + form.format(v) + "\n\nand room 123456 there"
+            want[len(rows)] = [(text.index(v), text.index(v) + len(v))]
+            rows.append((len(rows), text))
+    got = {r["row"]["doc_id"]: [tuple(x) for x in r["id"]] for r in pii.found_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_ids_clear_of_fixed_spans(spark):
     row = spark.sql("SELECT array(named_struct('s', 10L, 'e', 20L), named_struct('s', 30L, 'e', 31L), named_struct('s', 40L, 'e', 50L), named_struct('s', 0L, 'e', 2L)) AS ids, array(named_struct('s', 2L, 'e', 9L), named_struct('s', 5L, 'e', 11L), named_struct('s', 31L, 'e', 60L)) AS fixed")
     assert [tuple(x) for x in row.select(pii._clear("ids", "fixed").alias("x")).first()["x"]] == [(0, 2), (30, 31)]
