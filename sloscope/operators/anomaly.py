@@ -26,6 +26,8 @@ ALPHA, THRESHOLD, WARMUP = 0.05, 4.0, 60
 RING = 256
 #: Arrival numbers that differ only in so many low bits share a chunk.
 CHUNK_BITS = 16
+#: Chunks of what came before, of events without an arrival number, and of the state after all others.
+PRIOR, UNNUMBERED, LAST = -(2**63), -(2**63) + 1, 2**63 - 1
 
 _ANOMALY = "arrival_seq long, ts_nanos long, model string, detector_id string, source string, value double, score double, severity string"
 _STATE = "model string, detector_id string, arrival_seq long, ts_nanos long, value double, n long, mean double, variance double, z double"
@@ -118,16 +120,20 @@ def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The state before each chunk; rows are sorted by chunk."""
+    """The state before each chunk and, as chunk LAST, the one after all; rows are sorted by chunk."""
     key, n, state = None, 0, (0.0, 0.0)
+    names = [x.split()[0] for x in _STARTS.split(", ")]
     for pdf in batches:
         found = []
         for model, detector, chunk, alpha, *sums in pdf.itertuples(index=False, name=None):
             if (model, detector) != key:
+                found += [(*key, LAST, n, *state)] if key else []
                 key, n, state = (model, detector), 0, (sums[1], 0.0)
             found.append((model, detector, chunk, n, *state))
             n, state = n + sums[0], after(state, sums, alpha)
-        yield pd.DataFrame(found, columns=[x.split()[0] for x in _STARTS.split(", ")])
+        yield pd.DataFrame(found, columns=names)
+    if key:
+        yield pd.DataFrame([(*key, LAST, n, *state)], columns=names)
 
 
 def _states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,27 +150,42 @@ def _states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             key, state = now, (int(counts[-1]), means[-1], variances[-1])
 
 
-def zscore_states(events: DataFrame, detectors: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
+def _dealt(events: DataFrame, detectors: DataFrame, chunk_bits: int) -> DataFrame:
+    """Each event under every z-score detector of its model, with its chunk; one explicit shuffle serves both passes and is never split by key."""
+    wanted = detectors.filter("kind = 'zscore' AND detector_id IS NOT NULL").select("detector_id", "model", "alpha")
+    rows = events.select("arrival_seq", "ts_nanos", "model", "latency_ms").join(F.broadcast(wanted), "model")
+    chunk = F.coalesce(F.shiftright("arrival_seq", chunk_bits), F.lit(UNNUMBERED).cast("long"))
+    return rows.select("model", "detector_id", chunk.alias("chunk"), "arrival_seq", "ts_nanos", "latency_ms", "alpha").repartition(*KEYS)
+
+
+def zscore_starts(events: DataFrame, detectors: DataFrame, prior: DataFrame | None = None, chunk_bits: int = CHUNK_BITS) -> DataFrame:
+    """model, detector_id, chunk, n0, mean0, variance0: the state before each chunk and, as chunk LAST, after all events.
+
+    ``prior`` (model, detector_id, n, mean, variance) is the state that earlier events have
+    left: a chunk like any other, before the first.
+    """
+    sums = _dealt(events, detectors, chunk_bits).sortWithinPartitions(*KEYS, "arrival_seq").mapInPandas(_sums, _SUMS)
+    if prior is not None:
+        known = prior.join(F.broadcast(detectors.filter("kind = 'zscore'").select("model", "detector_id", "alpha")), ["model", "detector_id"])
+        sums = sums.union(known.select("model", "detector_id", F.lit(PRIOR).cast("long").alias("chunk"), "alpha", "n", F.col("mean").alias("first"), "mean", "variance"))
+    return sums.repartition("model", "detector_id").sortWithinPartitions(*KEYS).mapInPandas(_starts, _STARTS)
+
+
+def zscore_states(events: DataFrame, detectors: DataFrame, chunk_bits: int = CHUNK_BITS, starts: DataFrame | None = None) -> DataFrame:
     """For every event and z-score detector of its model: the state after it and its score before it.
 
     Events without an arrival number come first. What one task reads in order is a chunk's
-    events, or one row a chunk; arrival numbers should therefore be dense.
+    events, or one row a chunk; arrival numbers should therefore be dense. ``starts`` of
+    ``zscore_starts`` may be given where they are already known.
     """
-    wanted = detectors.filter("kind = 'zscore' AND detector_id IS NOT NULL").select("detector_id", "model", "alpha")
-    rows = events.select("arrival_seq", "ts_nanos", "model", "latency_ms").join(F.broadcast(wanted), "model")
-    chunk = F.coalesce(F.shiftright("arrival_seq", chunk_bits), F.lit(-(1 << 63)).cast("long"))
-    rows = rows.select("model", "detector_id", chunk.alias("chunk"), "arrival_seq", "ts_nanos", "latency_ms", "alpha")
-    dealt = rows.repartition(*KEYS)
-    sums = dealt.sortWithinPartitions(*KEYS, "arrival_seq").mapInPandas(_sums, _SUMS)
-    starts = sums.repartition("model", "detector_id").sortWithinPartitions(*KEYS).mapInPandas(_starts, _STARTS)
-    # the shuffle by KEYS above serves both passes; as an explicit one it is never split by key
-    ordered = dealt.join(starts, KEYS).sortWithinPartitions(*KEYS, "arrival_seq")
+    starts = zscore_starts(events, detectors, None, chunk_bits) if starts is None else starts
+    ordered = _dealt(events, detectors, chunk_bits).join(starts, KEYS).sortWithinPartitions(*KEYS, "arrival_seq")
     return ordered.mapInPandas(_states, _STATE)
 
 
-def zscore_anomalies(events: DataFrame, detectors: DataFrame) -> DataFrame:
+def zscore_anomalies(events: DataFrame, detectors: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     wanted = F.broadcast(detectors.filter("kind = 'zscore'").select("detector_id", "model", "threshold", "warmup"))
-    fired = zscore_states(events, detectors).join(wanted, ["model", "detector_id"]).filter((F.col("n") >= F.col("warmup")) & (F.abs("z") >= F.col("threshold")))
+    fired = zscore_states(events, detectors, starts=starts).join(wanted, ["model", "detector_id"]).filter((F.col("n") >= F.col("warmup")) & (F.abs("z") >= F.col("threshold")))
     return fired.select("arrival_seq", "ts_nanos", "model", "detector_id", F.lit("zscore").alias("source"), "value", F.col("z").alias("score"), S.z_severity(F.col("z")).alias("severity"))
 
 

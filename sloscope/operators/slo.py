@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sloscope.functions import scalars as S
+from sloscope.operators import pyramid
 from sloscope.operators.buckets import with_series
+from sloscope.operators.sketches import count_above
 from sloscope.operators.windows import Minute, _lit
 
 TIER_SCHEMA = "tier_no int, burn_rate double, long_min long, short_min long, severity string, label string"
@@ -40,8 +42,12 @@ def chosen_series(events: DataFrame, slos: DataFrame) -> DataFrame:
     has the model among its labels. Objectives are as many as the configuration has.
     """
     last = with_series(events).groupBy("series").agg(F.max("minute").alias("last_minute"))
-    last = last.select("series", "last_minute", S.is_bare().alias("bare"), S.label("series", "model").alias("model"))
-    met = last.join(F.broadcast(slos), "model").filter((F.col("sli_kind") != "latency_threshold") | F.col("bare"))
+    return chosen_of(last.select("series", "last_minute", S.is_bare().alias("bare"), S.label("series", "model").alias("model")), slos)
+
+
+def chosen_of(known: DataFrame, slos: DataFrame) -> DataFrame:
+    """The same from a table of series: series, last_minute, bare and model."""
+    met = known.select("series", "last_minute", "bare", "model").join(F.broadcast(slos), "model").filter((F.col("sli_kind") != "latency_threshold") | F.col("bare"))
     best = F.min_by(F.struct("series", "last_minute"), F.struct(~F.col("bare"), F.col("series")))
     return met.groupBy("name").agg(best.alias("best")).join(F.broadcast(slos), "name").select(F.col("name").alias("slo"), "best.*", "sli_kind", "threshold_ms", "window_nanos")
 
@@ -58,13 +64,13 @@ def chosen_events(events: DataFrame, slos: DataFrame) -> DataFrame:
     return met.select("slo", "minute", "last_minute", "window_nanos", F.coalesce(bad, F.lit(False)).alias("bad"))
 
 
-def _tier_windows(tiers: tuple) -> list[int]:
+def tier_windows(tiers: tuple) -> list[int]:
     return sorted({m for _, _, long_min, short_min, *_ in tiers for m in (long_min, short_min)} | {HOUR})
 
 
 def budgets(events: DataFrame, slos: DataFrame, tiers: tuple = DEFAULT_TIERS, as_of_minute: Minute | None = None) -> DataFrame:
     """One row for each objective with ``total_<minutes>`` and ``bad_<minutes>`` of every window; objectives without a series have zeros."""
-    windows = {str(m): F.lit(m) for m in _tier_windows(tiers)} | {"full": _minutes("window_nanos")}
+    windows = {str(m): F.lit(m) for m in tier_windows(tiers)} | {"full": _minutes("window_nanos")}
     rows = chosen_events(events, slos).withColumn("_to", F.greatest("last_minute", _lit(as_of_minute)))
     sums = []
     for name, minutes in windows.items():
@@ -75,6 +81,34 @@ def budgets(events: DataFrame, slos: DataFrame, tiers: tuple = DEFAULT_TIERS, as
     return out.na.fill(0, [c for c in out.columns if c.startswith(("total_", "bad_"))])
 
 
+def budgets_from_blocks(read: pyramid.Reader, known: DataFrame, slos: DataFrame, tiers: tuple = DEFAULT_TIERS, as_of_minute: int | None = None) -> DataFrame:
+    """``budgets`` from stored levels and the catalogue of series.
+
+    Bad calls of a latency objective are counted from each block's sketch: exact for blocks
+    of fewer latencies than the sketch keeps, else within its rank error. The objectives'
+    right edges and windows, a few numbers each, limit what is read; sketches are read only
+    where an objective needs them.
+    """
+    chosen = chosen_of(known, slos).select("*", F.greatest("last_minute", _lit(as_of_minute)).alias("_to"), _minutes("window_nanos").alias("_full"))
+    edges = chosen.select("_to", "_full", "sli_kind", "threshold_ms").collect()
+    windows = {str(m): F.lit(m) for m in tier_windows(tiers)} | {"full": F.col("_full")}
+    lengths = [*tier_windows(tiers), *{r["_full"] for r in edges}]
+    low, high = min((r["_to"] for r in edges), default=0), max((r["_to"] for r in edges), default=0)
+    slow = sorted({r["threshold_ms"] for r in edges if r["sli_kind"] == "latency_threshold"})
+    columns = ("total", "good", *(["latency_sketch"] if slow else []))
+    rows = pyramid.blocks(read, lengths, low, high, *columns).join(F.broadcast(chosen), "series")
+    bad = F.col("total") - F.col("good")
+    if slow:
+        # a sketch is asked for a fixed value only, and thresholds are as many as the configuration has
+        above = F.coalesce(*(F.when(F.col("threshold_ms") == x, count_above("latency_sketch", x)) for x in slow))
+        bad = F.when(F.col("sli_kind") == "latency_threshold", above).otherwise(bad)
+    rows = rows.withColumn("bad", bad)
+    sums = [F.sum(F.when(pyramid.covers(m, F.col("_to")), F.col(c))).alias(f"{c}_{name}") for name, m in windows.items() for c in ("total", "bad")]
+    named = slos.select(F.col("name").alias("slo"), "model", "objective")
+    out = named.join(rows.groupBy("slo").agg(*sums), "slo", "left")
+    return out.na.fill(0, [c for c in out.columns if c.startswith(("total_", "bad_"))])
+
+
 def alerts_of(tiers: tuple = DEFAULT_TIERS) -> Column:
     """Of the columns of ``budgets``, an array of the tiers that fire: both windows burn at the tier's rate or more."""
     parts = []
@@ -97,7 +131,11 @@ def flat_alerts(sums: DataFrame, tiers: tuple = DEFAULT_TIERS) -> DataFrame:
 
 def evaluate(events: DataFrame, slos: DataFrame, tiers: tuple = DEFAULT_TIERS, as_of_minute: Minute | None = None) -> DataFrame:
     """One row for each objective: burn rates, what is left of the budget, and its alerts in tier order."""
-    sums = budgets(events, slos, tiers, as_of_minute)
+    return evaluation_of(budgets(events, slos, tiers, as_of_minute), tiers)
+
+
+def evaluation_of(sums: DataFrame, tiers: tuple = DEFAULT_TIERS) -> DataFrame:
+    """``evaluate`` of the windows' sums."""
     one = lambda name, f: f(F.col(f"total_{name}"), F.col(f"bad_{name}"), F.col("objective"))
     return sums.select("slo", "objective", one(HOUR, S.burn_rate).alias("burn_rate_1h"), one("full", S.burn_rate).alias("burn_rate_full_window"), one("full", S.budget_remaining).alias("budget_remaining"), alerts_of(tiers).alias("alerts"))
 
@@ -119,10 +157,15 @@ def timeline(events: DataFrame, slos: DataFrame, tiers: tuple = DEFAULT_TIERS, s
     # every minute is there, so a window's sum is the difference of two running sums, whatever its length
     order = Window.partitionBy("slo").orderBy("minute")
     running = dense.select("slo", "minute", *[F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in ("total", "bad")])
-    sums = [(F.col(c) - F.lag(c, m + 1, 0).over(order)).alias(f"{c}_{m}") for m in _tier_windows(tiers) for c in ("total", "bad")]
+    sums = [(F.col(c) - F.lag(c, m + 1, 0).over(order)).alias(f"{c}_{m}") for m in tier_windows(tiers) for c in ("total", "bad")]
     out = running.select("slo", "minute", *sums).filter(F.col("minute") % step == 0)
+    return tiers_at(out, slos, tiers)
+
+
+def tiers_at(sums: DataFrame, slos: DataFrame, tiers: tuple = DEFAULT_TIERS) -> DataFrame:
+    """Of the windows' sums of objectives at minutes: both burn rates of every tier and whether it fires."""
     named = slos.select(F.col("name").alias("slo"), "objective")
-    out = out.join(F.broadcast(named), "slo")
+    out = sums.join(F.broadcast(named), "slo")
     each = [
         F.struct(
             F.lit(number).alias("tier_no"), F.lit(label).alias("tier_label"), F.lit(float(rate)).alias("threshold"),

@@ -34,7 +34,7 @@ def minutes(spark, spec):
     for first, last, each, bad in spec:
         rows = spark.range((last - first + 1) * each).select((F.floor(F.col("id") / each) + first).cast("long").alias("minute"), (F.col("id") % each).alias("i"))
         status = F.when(F.expr(bad), "server_error").otherwise("success")
-        parts.append(rows.select(F.col("minute"), status.alias("status"), F.when(F.expr(bad), 2000.0).otherwise(50.0).alias("latency_ms")))
+        parts.append(rows.select(F.col("minute"), status.alias("status"), F.when(F.expr(bad), 1750.0).otherwise(40.0).alias("latency_ms")))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.union(p)
@@ -149,44 +149,44 @@ def tiers_of(row):
     return [a["tier_label"] for a in row["alerts"]]
 
 
-def test_fast_burn_fires_every_tier(spark):
-    rows = minutes(spark, [(0, 69, 1000, "i % 2 = 0")])
-    r = one(slo.evaluate(rows, objective(spark), as_of_minute=69))
+def test_a_third_of_bad_calls_fires_every_tier(spark):
+    rows = minutes(spark, [(0, 94, 240, "i % 3 = 1")])
+    r = one(slo.evaluate(rows, objective(spark), as_of_minute=94))
     assert tiers_of(r) == ["fast", "moderate", "slow"]
     fast = r["alerts"][0]
-    assert (fast["short_total"], fast["long_total"]) == (6 * 1000, 61 * 1000) and fast["long_burn_rate"] == pytest.approx(50)
+    assert (fast["short_total"], fast["long_total"]) == (6 * 240, 61 * 240) and fast["long_burn_rate"] == pytest.approx(100 / 3)
 
 
-def test_healthy_ticket_only_and_diagnostics(spark):
-    assert tiers_of(one(slo.evaluate(minutes(spark, [(0, 69, 100, "false")]), objective(spark)))) == []
-    r = one(slo.evaluate(minutes(spark, [(0, 69, 1000, "i % 40 = 0")]), objective(spark)))
-    assert tiers_of(r) == ["slow"] and r["burn_rate_1h"] == pytest.approx(2.5)
-    r = one(slo.evaluate(minutes(spark, [(0, 69, 1000, "i % 50 = 0")]), objective(spark)))
-    assert r["burn_rate_full_window"] == pytest.approx(2.0) and r["budget_remaining"] == pytest.approx(-1.0) and tiers_of(r) == ["slow"]
+def test_no_bad_calls_and_a_slow_burn(spark):
+    assert tiers_of(one(slo.evaluate(minutes(spark, [(0, 44, 90, "false")]), objective(spark)))) == []
+    r = one(slo.evaluate(minutes(spark, [(0, 44, 640, "i % 64 = 9")]), objective(spark)))
+    assert tiers_of(r) == ["slow"] and r["burn_rate_1h"] == pytest.approx(1.5625)
+    r = one(slo.evaluate(minutes(spark, [(0, 44, 500, "i % 25 = 9")]), objective(spark)))
+    assert r["burn_rate_full_window"] == pytest.approx(4.0) and r["budget_remaining"] == pytest.approx(-3.0) and tiers_of(r) == ["slow"]
 
 
-def test_short_windows_clear_after_recovery(spark):
-    rows = minutes(spark, [(0, 29, 1000, "i % 2 = 0"), (30, 60, 1000, "false")])
-    r = one(slo.evaluate(rows, objective(spark), as_of_minute=60))
-    assert tiers_of(r) == ["slow"]
-    line = slo.timeline(rows, objective(spark), step=30).filter("tier_label = 'fast'").orderBy("minute").collect()
-    assert [(x["minute"], x["fires"]) for x in line] == [(0, True), (30, True), (60, False)]
+def test_short_windows_clear_when_calls_are_good_again(spark):
+    rows = minutes(spark, [(0, 19, 300, "i % 3 = 0"), (20, 51, 300, "false")])
+    r = one(slo.evaluate(rows, objective(spark), as_of_minute=51))
+    assert tiers_of(r) == ["slow"] and r["burn_rate_1h"] == pytest.approx(100 * 2000 / 15600)
+    line = slo.timeline(rows, objective(spark), step=17).filter("tier_label = 'fast'").orderBy("minute").collect()
+    assert [(x["minute"], x["fires"]) for x in line] == [(0, True), (17, True), (34, False), (51, False)]
 
 
-def test_two_bursts(spark):
-    burst = "i % 5 <> 0"
-    rows = minutes(spark, [(0, 9, 2000, "i % 1000 = 0"), (10, 19, 2000, burst), (20, 39, 2000, "i % 1000 = 0"), (40, 49, 2000, burst), (50, 69, 2000, "i % 1000 = 0")])
-    r = one(slo.evaluate(rows, objective(spark), as_of_minute=69))
+def test_two_bad_stretches(spark):
+    rare, bad = "i % 300 = 0", "i % 4 <> 1"
+    rows = minutes(spark, [(0, 14, 600, rare), (15, 27, 600, bad), (28, 44, 600, rare), (45, 52, 600, bad), (53, 75, 600, rare)])
+    r = one(slo.evaluate(rows, objective(spark), as_of_minute=75))
     assert tiers_of(r) == ["moderate", "slow"]
-    assert r["alerts"][0]["long_burn_rate"] == pytest.approx(100 * (32000 + 100) / 140000)
+    assert r["alerts"][0]["long_burn_rate"] == pytest.approx(100 * (21 * 450 + 55 * 2) / 45600)
 
 
 def test_latency_objective(spark):
-    slow = {"sli_kind": "latency_threshold", "threshold_ms": 200.0, "quantile": 0.95}
-    rows = minutes(spark, [(0, 69, 100, "i % 2 = 0")])
+    slow = {"sli_kind": "latency_threshold", "threshold_ms": 260.0, "quantile": 0.95}
+    rows = minutes(spark, [(0, 33, 120, "i % 6 = 5")])
     r = one(slo.evaluate(rows, objective(spark, **slow)))
-    assert r["burn_rate_1h"] == pytest.approx(50) and "fast" in tiers_of(r)
-    quiet = one(slo.evaluate(rows, objective(spark, **(slow | {"threshold_ms": 5000.0}))))
+    assert r["burn_rate_1h"] == pytest.approx(100 / 6) and "fast" in tiers_of(r)
+    quiet = one(slo.evaluate(rows, objective(spark, **(slow | {"threshold_ms": 4000.0}))))
     assert quiet["burn_rate_1h"] == 0 and tiers_of(quiet) == []
 
 
@@ -220,13 +220,11 @@ def test_budgets(spark, total, bad, goal, burn, left):
 # --- detectors ----------------------------------------------------------------------------
 
 
-def noise():
-    """A congruential generator's values around 50, with one spike."""
-    x, out = 12345, []
-    for i in range(200):
-        x = (x * 1103515245 + 12345) % 2**31
-        out.append(1000.0 if i == 150 else 50 + (x % 100) / 100)
-    return out
+def waves():
+    """A slow wave with ripples, one dip and one jump."""
+    values = [320 + 40 * math.sin(k / 23) + 6 * (k * 0.6180339887 % 1) for k in range(420)]
+    values[263], values[377] = 12.0, 2100.0
+    return values
 
 
 def zscores(spark, made, values, **settings_):
@@ -234,15 +232,31 @@ def zscores(spark, made, values, **settings_):
     return anomaly.detect(rows, anomaly.detector_table(spark, [anomaly.zscore_detector("d", "m", **settings_)])).orderBy("arrival_seq").collect()
 
 
-def test_one_spike_is_one_anomaly_and_drift_is_none(spark, made):
-    (r,) = zscores(spark, made, noise(), alpha=0.1, threshold=3.0, warmup=30)
-    assert (r["arrival_seq"], r["severity"], r["value"]) == (150, "critical", 1000.0)
-    assert zscores(spark, made, [100 + 0.01 * i for i in range(500)], alpha=0.1, threshold=3.0, warmup=30) == []
+def fired(values, alpha, threshold, warmup):
+    """Places and scores of the anomalies, value by value."""
+    z = stepwise(values, alpha)[0]
+    return [(k, score) for k, score in enumerate(z) if k + 1 >= warmup and abs(score) >= threshold]
 
 
-def test_spike_after_a_flat_series(spark, made):
-    (r,) = zscores(spark, made, [10000 if i == 99 else 50 + i % 3 for i in range(100)], alpha=0.1, threshold=3.0, warmup=30)
-    assert r["arrival_seq"] == 99 and r["score"] == pytest.approx(12218.5906, abs=1e-3)
+@pytest.mark.parametrize("alpha,threshold,warmup", [(0.07, 5.0, 45), (0.3, 4.0, 2), (0.02, 3.5, 300)])
+def test_dip_and_jump(spark, made, alpha, threshold, warmup):
+    got = zscores(spark, made, waves(), alpha=alpha, threshold=threshold, warmup=warmup)
+    want = fired(waves(), alpha, threshold, warmup)
+    assert [r["arrival_seq"] for r in got] == [k for k, _ in want]
+    assert [r["score"] for r in got] == pytest.approx([z for _, z in want])
+    assert 377 in [k for k, _ in want]
+    if alpha == 0.07:
+        assert [(r["arrival_seq"], r["severity"]) for r in got] == [(263, "critical"), (377, "critical")]
+
+
+def test_steady_growth_is_none(spark, made):
+    assert zscores(spark, made, [30 * 1.004**k for k in range(300)], alpha=0.15, threshold=4.5, warmup=60) == []
+
+
+def test_jump_after_a_nearly_flat_series(spark, made):
+    values = [*(60.0 + k % 4 for k in range(88)), 9000.0]
+    (r,) = zscores(spark, made, values, alpha=0.2, threshold=8.0, warmup=40)
+    assert r["arrival_seq"] == 88 and r["score"] == pytest.approx(fired(values, 0.2, 8.0, 40)[-1][1])
 
 
 def test_warmup_and_flat_series(spark, made):
