@@ -51,7 +51,8 @@ def needed(level: str, windows: list[int], low: int, high: int) -> list[tuple[in
     _, above = LEVELS[level]
     if above is None:
         return [(low - max(windows), high)]
-    ranges = sorted([(low - above + 1, high), *((low - w, high - w + above - 1) for w in windows)])
+    left = [(low - w, min(high, high - w + above - 1)) for w in windows]
+    ranges = sorted([*left, *((max(low - w, low - above + 1), high) for w in windows)])
     merged = [ranges[0]]
     for a, b in ranges[1:]:
         if a <= merged[-1][1] + 1:
