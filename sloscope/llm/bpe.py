@@ -4,7 +4,8 @@ A piece's leaves hold the rank of the pair that begins at each live position and
 its node the least of both children, ties to the left: the root is the leftmost
 minimum pair. A merge changes three leaves (the pair, its right half, its left
 neighbour), each a logarithmic walk to the root; live neighbours are linked lists.
-Trees of many pieces of one width advance together as rows of one array.
+Trees of many pieces of one width advance together as rows of one array; a long piece,
+of which there are few, has a tree of its own.
 
 Defined cases: a null text counts as empty and has no ids; characters that are
 not valid on their own never occur in a Spark string. Repeated rows and null ids
@@ -30,6 +31,8 @@ from sloscope.llm.pieces import PieceCodec, chunks
 RANKS = "byte_bpe_50k.tiktoken"
 #: Leaves of the trees that advance together.
 FOREST = 1 << 19
+#: Bytes of a piece beyond which its tree is walked alone.
+LONG = 1024
 _SHIFT = np.int64(32)
 _NONE = np.int64(1) << np.int64(62)
 
@@ -50,6 +53,7 @@ class BytePairEncoder:
                 a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = rank
+        self.pairs = pairs
         self.pair_keys = np.fromiter(sorted(pairs), np.int64, len(pairs))
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
 
@@ -66,6 +70,8 @@ class BytePairEncoder:
             rank = self.ranks.get(piece)
             if rank is not None:
                 out[k] = rank.to_bytes(4, "little")
+            elif len(piece) > LONG:
+                out[k] = self._merge_long(piece)
             elif piece:
                 by_width[max(2, 1 << (len(piece) - 1).bit_length())].append(k)
         for width, own in by_width.items():
@@ -130,6 +136,48 @@ class BytePairEncoder:
         packed = flat.tobytes()
         return (packed[4 * a : 4 * b] for a, b in zip([0, *ends], ends))
 
+    def _merge_long(self, piece: bytes) -> bytes:
+        """The same for one piece: with no other trees beside it, plain numbers are faster than arrays of one row."""
+        n, find, none = len(piece), self.pairs.get, 1 << 62
+        width = 1 << (n - 1).bit_length()
+        ids, before, after = self.bytes[np.frombuffer(piece, np.uint8)].tolist(), list(range(-1, n - 1)), [*range(1, n), -1]
+        tree = [none] * (2 * width)
+        for k in range(n - 1):
+            rank = find(ids[k] << 32 | ids[k + 1])
+            if rank is not None:
+                tree[width + k] = rank << 32 | k
+        for node in range(width - 1, 0, -1):
+            a, b = tree[2 * node], tree[2 * node + 1]
+            tree[node] = a if a < b else b
+
+        def put(leaf: int, value: int) -> None:
+            node = leaf + width
+            tree[node] = value
+            while node > 1:
+                other = tree[node ^ 1]
+                node >>= 1
+                least = value if value < other else other
+                if tree[node] == least:
+                    return
+                tree[node] = value = least
+
+        while (top := tree[1]) < none:
+            at = top & 0xFFFFFFFF
+            gone = after[at]
+            beyond, left = after[gone], before[at]
+            ids[at], ids[gone] = top >> 32, -1
+            after[at] = beyond
+            put(gone, none)
+            rank = None
+            if beyond >= 0:
+                before[beyond] = at
+                rank = find(ids[at] << 32 | ids[beyond])
+            put(at, none if rank is None else rank << 32 | at)
+            if left >= 0:
+                rank = find(ids[left] << 32 | ids[at])
+                put(left, none if rank is None else rank << 32 | left)
+        return np.array([i for i in ids if i >= 0], "<u4").tobytes()
+
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
 import struct
+import time
 import zlib
 from collections import defaultdict
 
@@ -155,3 +157,24 @@ def test_level_choice_keeps_the_sum_of_squares_least():
     for size in range(1, 11):
         legal = [level for level in range(11 - size) if not level or packer.counts[level]]
         assert total_after(packer._place(size), size) == min(total_after(level, size) for level in legal)
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "a", "etaoinshrdlu", "é日ab", "xy z\n"])
+def test_long_pieces_are_encoded_as_short_ones(alphabet, monkeypatch):
+    """Around the length at which a piece's tree is walked alone, both ways give the same ids."""
+    encoder, _ = bpe.codec(bpe.RANKS)
+    rng = random.Random(len(alphabet))
+    pieces = ["".join(rng.choice(alphabet) for _ in range(n)).encode() for n in (1023, 1024, 1025, 1500, 2500)]
+    alone = encoder.encode_pieces(pieces)
+    monkeypatch.setattr(bpe, "LONG", 1 << 30)
+    assert encoder.encode_pieces(pieces) == alone
+    assert [encoder.decode(a) for a in alone] == pieces
+
+
+def test_a_very_long_piece_takes_time_in_proportion():
+    encoder, _ = bpe.codec(bpe.RANKS)
+    rng = random.Random(1)
+    piece = "".join(rng.choice("etaoinshrdlucmw") for _ in range(300_000)).encode()
+    began = time.perf_counter()
+    assert encoder.decode(encoder.encode_pieces([piece])[0]) == piece
+    assert time.perf_counter() - began < 30
