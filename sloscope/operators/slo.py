@@ -15,7 +15,7 @@ from sloscope.functions import scalars as S
 from sloscope.operators import pyramid
 from sloscope.operators.buckets import with_series
 from sloscope.operators.sketches import count_above
-from sloscope.operators.windows import Minute, _lit
+from sloscope.operators.windows import Minute, _lit, recent
 
 TIER_SCHEMA = "tier_no int, burn_rate double, long_min long, short_min long, severity string, label string"
 #: Threshold, windows in minutes, severity.
@@ -52,13 +52,14 @@ def chosen_of(known: DataFrame, slos: DataFrame) -> DataFrame:
     return met.groupBy("name").agg(best.alias("best")).join(F.broadcast(slos), "name").select(F.col("name").alias("slo"), "best.*", "sli_kind", "threshold_ms", "window_nanos")
 
 
-def chosen_events(events: DataFrame, slos: DataFrame) -> DataFrame:
+def chosen_events(events: DataFrame, slos: DataFrame, minutes: int | None = None, as_of_minute: Minute | None = None) -> DataFrame:
     """slo, minute, the columns of ``chosen_series`` and whether each event of an objective's series is bad.
 
     Bad is anything but success for a success ratio, and a finite latency above the
-    threshold for a latency objective.
+    threshold for a latency objective. With ``minutes`` only events that a window of so many
+    can hold are read; the series are still chosen from all.
     """
-    rows = with_series(events).select("series", "minute", "status", S.finite("latency_ms").alias("latency_ms"))
+    rows = with_series(events if minutes is None else recent(events, minutes, as_of_minute)).select("series", "minute", "status", S.finite("latency_ms").alias("latency_ms"))
     met = rows.join(F.broadcast(chosen_series(events, slos)), "series")
     bad = F.when(F.col("sli_kind") == "latency_threshold", F.col("latency_ms") > F.col("threshold_ms")).otherwise(~S.is_good())
     return met.select("slo", "minute", "last_minute", "window_nanos", F.coalesce(bad, F.lit(False)).alias("bad"))
@@ -71,7 +72,10 @@ def tier_windows(tiers: tuple) -> list[int]:
 def budgets(events: DataFrame, slos: DataFrame, tiers: tuple = DEFAULT_TIERS, as_of_minute: Minute | None = None) -> DataFrame:
     """One row for each objective with ``total_<minutes>`` and ``bad_<minutes>`` of every window; objectives without a series have zeros."""
     windows = {str(m): F.lit(m) for m in tier_windows(tiers)} | {"full": _minutes("window_nanos")}
-    rows = chosen_events(events, slos).withColumn("_to", F.greatest("last_minute", _lit(as_of_minute)))
+    longest = None
+    if isinstance(as_of_minute, int):  # a number of the configuration
+        longest = max(*tier_windows(tiers), slos.agg(F.coalesce(F.max(_minutes("window_nanos")), F.lit(0))).first()[0])
+    rows = chosen_events(events, slos, longest, as_of_minute).withColumn("_to", F.greatest("last_minute", _lit(as_of_minute)))
     sums = []
     for name, minutes in windows.items():
         inside = F.col("minute").between(F.col("_to") - minutes, F.col("_to"))

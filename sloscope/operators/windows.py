@@ -103,8 +103,10 @@ def require_model(events: DataFrame, model: str) -> None:
         raise UnknownModel(model)
 
 
-def model_query(events: DataFrame, model: str, window: str | int, quantile: float = 0.95, as_of_minute: Minute | None = None) -> DataFrame:
-    """``window_query`` of the series that ``model`` stands for; no row for an unknown model."""
+def model_query(events: DataFrame, model: str, window: str | int, quantile: float = 0.95, as_of_minute: Minute | None = None, known_only: bool = False) -> DataFrame:
+    """``window_query`` of the series that ``model`` stands for; an unknown model has no row, or with ``known_only`` raises ``UnknownModel``."""
+    if known_only:
+        require_model(events, model)
     return window_query(choose_series(with_series(events), model).drop("series", "minute"), window, quantile, as_of_minute)
 
 

@@ -12,9 +12,14 @@ from sloscope.operators.windows import Minute
 WINDOW, QUANTILE = "5m", 0.95
 
 
-def golden_signals(events: DataFrame, as_of_minute: Minute | None = None, window: str = WINDOW, quantile: float = QUANTILE) -> DataFrame:
-    """Each series' snapshot with its health by success and by latency; unknown where there was nothing."""
+def golden_signals(events: DataFrame, as_of_minute: Minute | None = None, window: str = WINDOW, quantile: float = QUANTILE, model: str | None = None) -> DataFrame:
+    """Each series' snapshot with its health by success and by latency; unknown where there was nothing.
+
+    With ``model`` only series that have it among their labels.
+    """
     shot = windows.window_query(events, window, quantile, as_of_minute)
+    if model is not None:
+        shot = shot.filter(F.col("model") == model)
     return shot.select(S.series_text().alias("series"), *[c for c in shot.columns if c != "series"], S.success_health(F.col("success_ratio")).alias("success_health"), S.latency_health(F.col("latency_quantile_ms")).alias("latency_health"))
 
 

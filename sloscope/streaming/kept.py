@@ -12,16 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def located(spark: SparkSession, path: str):
+    """Hadoop's path and the file system that it is on."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    found, files = located(spark, path)
+    return files.exists(found)
+
+
 class Kept:
     def __init__(self, spark: SparkSession, folder: str, schema: str) -> None:
         self.spark, self.folder, self.schema = spark, folder, schema
         self.columns = spark.createDataFrame([], schema).columns
 
-    def _path(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        found = jvm.org.apache.hadoop.fs.Path(path)
-        return found, found.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
     def place(self, stream: str, batch_id: int) -> str:
         return f"{self.folder}/stream_id={stream}/batch_id={batch_id}"
 
@@ -30,8 +36,7 @@ class Kept:
         return self.spark.read.schema(self.schema).parquet(self.place(stream, batch_id))
 
     def _newest(self, without: str | None = None) -> DataFrame:
-        path, files = self._path(self.folder)
-        if not files.exists(path):
+        if not exists(self.spark, self.folder):
             return self.spark.createDataFrame([], self.schema)
         rows = self.spark.read.schema(f"{self.schema}, written_at timestamp, stream_id string, batch_id long").option("basePath", self.folder).parquet(self.folder)
         if without is not None:
@@ -44,13 +49,14 @@ class Kept:
 
     def before(self, stream: str, batch_id: int) -> DataFrame:
         """The table as a batch finds it."""
-        path, files = self._path(self.place(stream, batch_id - 1))
-        return self.at(stream, batch_id - 1) if files.exists(path) else self._newest(without=stream)
+        if exists(self.spark, self.place(stream, batch_id - 1)):
+            return self.at(stream, batch_id - 1)
+        return self._newest(without=stream)
 
     def put(self, table: DataFrame, stream: str, batch_id: int) -> DataFrame:
         """Keeps ``table`` as the one after a batch and returns it as written."""
         table.select(*self.columns, F.current_timestamp().alias("written_at")).coalesce(1).write.mode("overwrite").parquet(self.place(stream, batch_id))
-        path, files = self._path(self.place(stream, batch_id - 2))
+        path, files = located(self.spark, self.place(stream, batch_id - 2))
         files.delete(path, True)
         return self.at(stream, batch_id)
 

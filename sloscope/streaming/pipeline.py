@@ -20,12 +20,12 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sloscope.functions import scalars as S
-from sloscope.operators import anomaly, buckets
+from sloscope.operators import anomaly, buckets, slo
 from sloscope.operators import detectors as custom
 from sloscope.sources import journal
 from sloscope.sources.events import to_wire
-from sloscope.streaming.kept import Kept
-from sloscope.streaming.store import SERIES, batch_folder, stream_id, write_store
+from sloscope.streaming.kept import Kept, exists
+from sloscope.streaming.store import SERIES, batch_folder, stored_budgets, stream_id, write_store
 
 _RESULT = "arrival_seq long, ts_nanos long, model string, detector_id string, source string, value double, score double, severity string"
 
@@ -215,6 +215,18 @@ def serve(events: DataFrame, detectors: DataFrame, home: str, checkpoint: str, c
     return [start(keep, "store"), start(detect, "anomalies")]
 
 
+def serve_evaluations(spark: SparkSession, slos: DataFrame, home: str, checkpoint: str, tiers: tuple = slo.DEFAULT_TIERS, seconds: int = 10) -> StreamingQuery:
+    """Evaluates the objectives from the store below ``home`` every so many seconds, events or none, for ``latest_evaluation``."""
+
+    def evaluate(_: int) -> DataFrame | None:
+        if not exists(spark, f"{home}/store/catalogue"):
+            return None
+        return slo.evaluation_of(stored_budgets(spark, f"{home}/store", slos, tiers), tiers)
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return evaluate_every(ticks, checkpoint, evaluate, seconds, f"{home}/evaluations")
+
+
 def recent_anomalies(spark: SparkSession, home: str, most: int = anomaly.RING) -> DataFrame:
     """The ring: the last anomalies that the detectors of ``serve`` have found; no more is read than it holds."""
     return anomaly.ring(Kept(spark, f"{home}/ring", _RESULT).latest(), most)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sloscope import cli
-from sloscope.operators import anomaly, buckets
+from sloscope.operators import anomaly, buckets, windows
 from sloscope.sources import config, events, journal, simulate
 from sloscope.streaming import pipeline
 
@@ -141,6 +141,8 @@ def test_watermarked_windows_and_evaluation_trigger(spark, traffic, tmp_path):
     q.awaitTermination()
     assert spark.table("w").agg(F.sum("total")).first()[0] == rows.count()
     ticks = []
+    with pytest.raises(windows.UnknownModel):
+        windows.model_query(rows, "no such model", "1h", known_only=True)
     q = pipeline.evaluate_every(stream, str(tmp_path / "c4"), ticks.append, seconds=0)
     q.processAllAvailable()
     q.stop()
@@ -154,6 +156,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert row["total"] == 6000 and row["series"] == "inference{model=m}"
     assert "unknown model" in cli.main(["query", "--events", out, "--model", "x"], spark)
     assert {json.loads(line)["slo"] for line in cli.main(["evaluate", "--events", out, "--config", conf], spark).splitlines()} == {"a", "b"}
+    args = ["serve", "--events", out, "--config", conf, "--home", str(tmp_path / "home"), "--checkpoint", str(tmp_path / "check"), "--once"]
+    served = {r["slo"]: r for r in map(json.loads, cli.main(args, spark).splitlines())}
+    batch = {r["slo"]: r for r in map(json.loads, cli.main(["evaluate", "--events", out, "--config", conf], spark).splitlines())}
+    assert served["a"] == batch["a"] and set(served) == {"a", "b"}  # b's slow calls are the sketch's
+    assert served["b"]["burn_rate_1h"] == pytest.approx(batch["b"]["burn_rate_1h"], rel=0.02)
+    text = cli.main(["dashboard", "--events", out, "--config", conf, "--model", "m", "--times", "2", "--refresh-secs", "0"], spark)
+    assert "inference{model=m}" in text and "b" in text
+    assert "inference{" not in cli.main(["dashboard", "--events", out, "--model", "x"], spark)
     text = cli.main(["report", "--events", out, "--config", conf, "--title", "T", "--note", "n"], spark)
     assert "## T" in text and "- n" in text and "inference{model=m}" in text
     assert json.loads(cli.main(["bench", "--events", "10000"], spark))["successes"] > 9000

@@ -223,3 +223,26 @@ def test_burn_rates_by_stream_state(spark, tmp_path):
     closed = [r for r in key(got) if r[1] <= last[r[0]] and r[1] < 1599]
     assert closed == [r for r in key(want) if r[1] < 1599] and any(r[5] for r in closed)
     assert max(r[1] for r in key(got)) == 1599 // 7 * 7  # quiet minutes close by timer
+
+
+def test_compaction_replaces_days_at_once(spark, traffic, tmp_path, monkeypatch):
+    home, some = str(tmp_path), traffic.filter("ts_nanos < 60000000000 * 4000")
+    for n in range(3):
+        store.write_store(some.filter(F.col("arrival_seq") % 3 == n), n, home)
+    every = [(0, 5000)]
+    read = lambda: store.reader(spark, home)("minute", every)
+    sums = lambda: sorted((repr(r["series"]), r["minute"], r["success"], r["timeout"]) for r in buckets.merge_buckets(read()).collect())
+    want, rows = sums(), read().count()
+    with monkeypatch.context() as broken:  # a compaction that ends before its table is kept
+        broken.setattr(Kept, "put", lambda *_: (_ for _ in ()).throw(OSError()))
+        with pytest.raises(OSError):
+            store.compact(spark, home)
+    assert sums() == want and read().count() == rows
+    assert store.compact(spark, home, before_minute=2880) == 2  # the third day is still open
+    assert sums() == want and 0 < read().count() < rows
+    assert store.compact(spark, home, before_minute=2880) == 0
+    store.write_store(traffic.filter("arrival_seq < 40").withColumn("ts_nanos", F.lit(5).cast("long")), 3, home)  # late events
+    late = sums()
+    assert store.compact(spark, home) == 2 and sums() == late
+    assert read().select("event_date", "stream_id", "batch_id").distinct().groupBy("event_date").count().filter("count > 1").isEmpty()
+    assert not list(tmp_path.glob("minute/stream_id=none/batch_id=0/event_date=1970-01-01/*.parquet"))  # deleted a compaction later
