@@ -9,8 +9,11 @@ gathered. Parity signatures of characters and of neighbours, of which an edit ch
 and four bits at most, prune meetings; the rest are compared by a bit-parallel edit distance over a
 diagonal band (Hyyrö, 2003) that keeps one machine word a column.
 
-Keys shared by very many lines are cut again on the signature: of five parts one is
-equal for lines in reach. What is still too many under one piece is met chunk by chunk.
+Keys shared by very many lines are cut by the rest of the line: what stands outside the
+shared segment is within the same edits, so it is cut into segments and probed as a line is,
+level by level, and a short rest meets under what up to EDITS deletions leave of it. Lines
+with one common start are so told apart by what follows it. A key that is still large is cut
+on the signature (of five parts one is equal for lines in reach), then met chunk by chunk.
 Buckets are bounded, give out one verdict a line and never a pair, and lose no link.
 
 A line goes if an earlier one (by doc_id, null last, then rows as read, then place) is
@@ -34,6 +37,8 @@ BUCKET = 500
 #: Keys (8 bytes each) that may be broadcast; beyond it lines are shuffled to their keys.
 BROADCAST_KEYS = 1_000_000
 PARTS = 2 * EDITS + 1
+#: How often a large key is cut by the rest of its lines; the shortest rest that is cut into segments.
+CUTS, SHORTEST = 4, (EDITS + 1) ** 2
 _WORD = 64
 
 
@@ -79,25 +84,45 @@ def regions(edits: int = EDITS) -> list[Column]:
     return [F.expr(e) for k, (start, size) in own for e in (f"greatest(0, {start} - {_MARGIN}) AS _s{k}", f"substring(line, greatest(0, {start} - {_MARGIN}) + 1, {size} + {2 * _MARGIN}) AS _r{k}")]
 
 
-def line_keys(edits: int = EDITS) -> Column:
+def _probes(edits: int) -> list[tuple[int, int, int]]:
+    """(characters less, segment, shift) of each key of a line, in order."""
+    # k edits at most stand left of the first equal segment, edits - k right of it
+    return [(less, k, shift) for less in range(edits + 1) for k in range(edits + 1) for shift in range(max(-k, less - (edits - k)), min(k, less + (edits - k)) + 1)]
+
+
+def line_keys(edits: int = EDITS, least: int = LEAST) -> Column:
     """array<long> of a line's keys (``n`` characters, measures and regions): odd ones for its own segments, even ones
     for substrings that may be a segment of a line of its length or up to ``edits`` shorter, 0 where there is none.
 
-    Lines of LEAST characters have segments longer than ``edits``, so no substring leaves the line.
+    Lines of ``least`` characters have segments longer than ``edits``, so no substring leaves the line.
     """
-    if LEAST < (edits + 1) ** 2:
-        raise ValueError("LEAST is too small for so many edits")
-    keys = []
-    for less in range(edits + 1):
-        for k, (start, size) in enumerate(segments(less, edits)):
-            # k edits at most stand left of the first equal segment, edits - k right of it
-            for shift in range(max(-k, less - (edits - k)), min(k, less + (edits - k)) + 1):
-                own = int(less == 0 and shift == 0)
-                key = f"shiftleft(xxhash64(n - {less}, {k}, substring(_r{k}, {start} + {shift + 1} - _s{k}, {size})), 1) | {own}L"
-                keys.append(f"if(n >= {LEAST + less}, {key}, 0L)" if less else key)
+    if least < (edits + 1) ** 2:
+        raise ValueError("lines are too short for so many edits")
+    keys, cuts = [], {less: segments(less, edits) for less in range(edits + 1)}
+    for less, k, shift in _probes(edits):
+        start, size = cuts[less][k]
+        own = int(less == 0 and shift == 0)
+        key = f"shiftleft(xxhash64(n - {less}, {k}, substring(_r{k}, {start} + {shift + 1} - _s{k}, {size})), 1) | {own}L"
+        keys.append(f"if(n >= {least + less}, {key}, 0L)" if less else key)
     return F.expr(f"array({', '.join(keys)})")
 
 
+def line_rests(edits: int = EDITS) -> Column:
+    """array<string>: for each of a line's keys the line with one character in place of what the key stands for."""
+    cuts = {less: segments(less, edits) for less in range(edits + 1)}
+    places = [(f"int({cuts[less][k][0]} + {shift})", f"int({cuts[less][k][1]})") for less, k, shift in _probes(edits)]
+    return F.expr(f"transform(array({', '.join(f'struct({at} AS a, {size} AS s)' for at, size in places)}), p -> concat(substring(line, 1, p.a), '\\u0001', substring(line, p.a + p.s + 1)))")
+
+
+def deletions(edits: int = EDITS) -> Column:
+    """array<string>: what is left of the short string ``line`` after up to ``edits`` deletions."""
+    left = "array(line)"
+    for _ in range(edits):
+        each = "transform(sequence(1, greatest(1, length(v))), i -> concat(substring(v, 1, i - 1), substring(v, i + 1)))"
+        left = f"array_distinct(concat({left}, flatten(transform({left}, v -> {each}))))"
+    return F.expr(left)
+
+
 #: Parities of the counts of characters and of pairs of neighbours, each dealt to 64 bits.
 SIGNATURE = "aggregate(chars, 0L, (a, c) -> a ^ shiftleft(1L, ascii(c) & 63))"
 PAIR_SIGNATURE = "aggregate(chars, struct(0L AS s, 0 AS before), (a, c) -> struct(a.s ^ shiftleft(1L, (31 * a.before + ascii(c)) & 63) AS s, ascii(c) AS before), a -> a.s)"
@@ -143,8 +168,8 @@ def line_table(rows: DataFrame) -> DataFrame:
 
 
 def _keyed(lines: DataFrame, *carried: str) -> DataFrame:
-    """The carried columns, key and indexed, for each key of the lines that have any; equal lines repeat."""
-    each = lines.filter("keys IS NOT NULL").select(*carried, F.explode("keys").alias("_key")).filter("_key <> 0")
+    """The carried columns, key, its place in the line's keys and indexed, for each key of the lines that have any; equal lines repeat."""
+    each = lines.filter("keys IS NOT NULL").select(*carried, F.posexplode("keys").alias("place", "_key")).filter("_key <> 0")
     return each.withColumns({"key": F.shiftright("_key", 1), "indexed": F.col("_key").bitwiseAND(F.lit(1))}).drop("_key")
 
 
@@ -167,25 +192,63 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return once.select("h", "h2", "line", F.expr(SIGNATURE).alias("sig"), F.expr(PAIR_SIGNATURE).alias("pairs"))
 
 
-def _cells(members: DataFrame) -> DataFrame:
-    """Buckets that can be met whole, keyed by (key, part, piece, cell).
+def _cut(rows: DataFrame) -> DataFrame:
+    """Rows (key, h, h2, line) of large keys under finer ones (key, h, h2, line, indexed); ``line`` is what no key stands for yet.
 
-    A key with more than BUCKET lines is cut by pieces of the signature, of which lines
-    in reach share one; a piece still too large is dealt into chunks, each of which meets
-    each other one in a cell of two.
+    Two rests within EDITS share a segment as lines do; if one is shorter than SHORTEST,
+    both are at most EDITS longer and share what some deletions leave of them.
+    """
+    sized = rows.withColumn("n", F.length("line"))
+    long = sized.filter(F.col("n") >= SHORTEST).select("*", *measures()).select("*", *regions())
+    long = long.select("key", "h", "h2", F.inline(F.arrays_zip(line_keys(EDITS, SHORTEST).alias("sub"), line_rests().alias("rest")))).filter("sub <> 0")
+    long = long.select(F.xxhash64("key", F.shiftright("sub", 1)).alias("key"), "h", "h2", F.col("rest").alias("line"), F.col("sub").bitwiseAND(F.lit(1)).alias("indexed"))
+    short = sized.filter(F.col("n") < SHORTEST + EDITS).select("key", "h", "h2", F.explode(deletions()).alias("left"))
+    short = short.select(F.xxhash64("key", F.lit("short"), "left").alias("key"), "h", "h2", F.lit("").alias("line"), F.lit(1).cast("long").alias("indexed"))
+    return long.union(short).distinct()
+
+
+def _fine_keys(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, h, h2) of keys with up to BUCKET lines, and of those that remain larger however they are cut."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    sized = members.join(stash(sizes, "lines-sizes"), "key")
+    small = sized.filter(F.col("size") <= BUCKET).select("key", "h", "h2")
+    large = stash(sized.filter(F.col("size") > BUCKET).drop("size"), "lines-large")
+    if large.isEmpty():
+        return small, large.select("key", "h", "h2")
+    place = F.element_at(line_rests(), F.col("place") + 1)
+    lines = large.join(texts.select("h", "h2", "line"), ["h", "h2"]).select("*", *measures())
+    rows, ended = lines.select("key", "h", "h2", place.alias("line")), []
+    for cut in range(CUTS):
+        finer = stash(_cut(rows), "lines-finer")
+        # indexed or not: a key under which no line has a segment of its own joins nothing
+        sizes = finer.groupBy("key").agg(F.count("*").alias("size"), F.min("h").alias("a"), F.max("h").alias("b"), F.max("indexed").alias("any")).filter("a <> b AND any = 1").select("key", "size")
+        finer = stash(finer.join(stash(sizes, "lines-sizes"), "key"), "lines-sized")
+        small = small.union(finer.filter(F.col("size") <= BUCKET).select("key", "h", "h2"))
+        ended.append(finer.filter((F.col("size") > BUCKET) & (F.col("line") == "")).select("key", "h", "h2"))
+        rows = stash(finer.filter((F.col("size") > BUCKET) & (F.col("line") != "")).select("key", "h", "h2", "line"), "lines-large")
+        if rows.isEmpty():
+            break
+    for part in ended:
+        rows = rows.select("key", "h", "h2").union(part)
+    return small.distinct(), rows.select("key", "h", "h2").distinct()
+
+
+def _cells(small: DataFrame, large: DataFrame) -> DataFrame:
+    """Rows with ``sig`` of buckets that can be met whole, keyed by (key, part, piece, cell).
+
+    A key that is still large is cut by pieces of the signature, of which lines in reach
+    share one; a piece still too large is dealt into chunks, each of which meets each other
+    one in a cell of two.
     """
-    counts = members.groupBy("key").agg(F.count("*").alias("size"))
-    sized = members.join(counts, "key")
     zero = F.lit(0).cast("long")
-    small = sized.filter(F.col("size") <= BUCKET).select("*", zero.alias("part"), zero.alias("piece"))
+    small = small.select("*", zero.alias("part"), zero.alias("piece"), F.lit(0).alias("cell"))
     width = -(-_WORD // PARTS)
     pieces = F.array(*[F.struct(F.lit(k).cast("long").alias("part"), F.shiftrightunsigned("sig", k * width).bitwiseAND(F.lit((1 << width) - 1)).alias("piece")) for k in range(PARTS)])
-    large = sized.filter(F.col("size") > BUCKET).select("*", F.inline(pieces))
-    parted = small.union(large).drop("size")
+    parted = large.select("*", F.inline(pieces))
     again = parted.groupBy("key", "part", "piece").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("chunks"))
     dealt = parted.join(again, ["key", "part", "piece"]).withColumn("chunk", F.pmod("h2", "chunks").cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.least(k, F.col("chunk")) * F.col("chunks") + F.greatest(k, F.col("chunk")))
-    return dealt.withColumn("cell", F.explode(cells)).drop("chunks", "chunk")
+    return small.unionByName(dealt.withColumn("cell", F.explode(cells)).drop("chunks", "chunk"))
 
 
 def near_lines(rows: DataFrame, lines: DataFrame, first: DataFrame) -> DataFrame:
@@ -196,11 +259,12 @@ def near_lines(rows: DataFrame, lines: DataFrame, first: DataFrame) -> DataFrame
     alive = stash(shared_keys(lines), "lines-keys")
     if alive.count() <= BROADCAST_KEYS:
         alive = F.broadcast(alive)
-    members = stash(_keyed(lines, "h", "h2", "n").join(alive, "key", "left_semi").select("key", "h", "h2", "n").distinct(), "lines-members")
-    texts = _texts(rows, stash(members.select("h", "h2").distinct(), "lines-wanted"))
-    members = members.join(texts.join(first.select("h", "h2", "first"), ["h", "h2"]), ["h", "h2"])
+    members = stash(_keyed(lines, "h", "h2", "n").join(alive, "key", "left_semi").select("key", "h", "h2", "n", "place").distinct(), "lines-members")
+    texts = stash(_texts(rows, stash(members.select("h", "h2").distinct(), "lines-wanted")), "lines-texts")
+    told = texts.join(first.select("h", "h2", "first"), ["h", "h2"]).withColumn("n", F.length("line"))
+    small, large = (part.join(told, ["h", "h2"]) for part in _fine_keys(members, texts))
     one = F.struct("first", "n", "sig", "pairs", "h", "h2", F.split("line", "").alias("chars"))
-    met = _cells(members).groupBy("key", "part", "piece", "cell").agg(F.array_sort(F.collect_set(one)).alias("bucket")).filter(F.size("bucket") > 1)
+    met = _cells(small, large).groupBy("key", "part", "piece", "cell").agg(F.array_sort(F.collect_set(one)).alias("bucket")).filter(F.size("bucket") > 1)
     reach = f"q.first < p.first AND abs(q.n - p.n) <= {EDITS} AND bit_count(q.sig ^ p.sig) <= {2 * EDITS} AND bit_count(q.pairs ^ p.pairs) <= {4 * EDITS}"
     close = f"if(q.n >= p.n, {banded_distance('q.chars', 'p.chars')}, {banded_distance('p.chars', 'q.chars')}) <= {EDITS}"
     near = F.expr(f"transform(filter(bucket, p -> exists(bucket, q -> {reach} AND {close})), p -> struct(p.h AS h, p.h2 AS h2))")
