@@ -119,7 +119,7 @@ def test_a_hot_key_takes_time_in_proportion(spark):
     took = {}
     for n in (1000, 1000, 4000):  # the first run compiles
         lines = common_start(n)
-        docs = spark.createDataFrame([(k, "\\n".join(lines[k * 50 : k * 50 + 50])) for k in range(len(lines) // 50 + 1)], "doc_id long, text string")
+        docs = spark.createDataFrame([(k, "\n".join(lines[k * 50 : k * 50 + 50])) for k in range(len(lines) // 50 + 1)], "doc_id long, text string")
         began = time.perf_counter()
         got = line_dedup.removed_lines(line_dedup._numbered(docs)).collect()
         took[n] = time.perf_counter() - began
@@ -131,7 +131,7 @@ def test_cut_keys_are_few_lines_each(spark, monkeypatch):
     """However often short rests, common middles and periodic lines repeat, no pair in reach is lost."""
     monkeypatch.setattr(line_dedup, "BUCKET", 3)
     rng = random.Random(7)
-    rows = [(k, "\\n".join("".join(rng.choice(("ab", "ba", "c"))  for _ in range(11)) + rng.choice(("", "x", "same end of all")) for _ in range(3))) for k in range(25)]
+    rows = [(k, "\n".join("".join(rng.choice(("ab", "ba", "c"))  for _ in range(11)) + rng.choice(("", "x", "same end of all")) for _ in range(3))) for k in range(25)]
     rows += [(40 + k, f"{rng.randint(0, 99):02d} a common middle of lines {rng.randint(0, 99):02d}") for k in range(25)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     got = line_dedup.removed_lines(line_dedup._numbered(docs)).orderBy("rid").collect()
@@ -143,7 +143,7 @@ def test_deletions_meet_within_two_edits(spark):
     pairs = []
     for _ in range(300):
         a = "".join(rng.choice("abc") for _ in range(rng.randint(0, 10)))
-        pairs.append((a, changed(rng, a, rng.randint(0, 3)) if a else rng.choice("abc")))
+        pairs.append((a, changed(rng, a, rng.randint(0, min(3, len(a) - 1))) if a else rng.choice("abc")))
     df = spark.createDataFrame(pairs, "a string, b string")
     left = lambda c: df.withColumn("line", F.col(c)).select("a", "b", line_dedup.deletions().alias("d"))
     met = {(x["a"], x["b"]) for x, y in zip(left("a").collect(), left("b").collect()) if set(x["d"]) & set(y["d"])}
