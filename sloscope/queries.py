@@ -465,10 +465,13 @@ DURATIONS = ("30s", "5m", "6h", "3d", "  1h ", "", "5", "h", "5x", "-5m", "1.5h"
 @query(
     "duration_parse",
     "SELECT t AS text, TRY_CAST(nullif(regexp_extract(trim(t), '^\\+?([0-9]+)[smhd]$', 1), '') AS BIGINT) * CASE right(trim(t), 1) WHEN 's' THEN 1 WHEN 'm' THEN 60 WHEN 'h' THEN 3600 WHEN 'd' THEN 86400 END * 1000000000 AS nanos FROM (VALUES "
-    + ", ".join(f"('{t}')" for t in DURATIONS) + ") x(t)",
+    + ", ".join(f"('{t}')" for t in DURATIONS) + " UNION SELECT (tokens_out // 2)::VARCHAR || ['s', 'm', 'h', 'd', 'x'][(seq % 5 + 1)::INTEGER] FROM ev) x(t)",
 )
 def _(spark, d):
-    rows = spark.sql("VALUES " + ", ".join(f"('{t}')" for t in DURATIONS)).toDF("text")
+    """Durations made of the events' numbers, and the forms that are none."""
+    units = F.element_at(F.array(*map(F.lit, "smhdx")), (F.col("arrival_seq") % 5 + 1).cast("int"))
+    made = load(spark, d).select(F.concat(F.expr("output_tokens div 2").cast("string"), units).alias("text"))
+    rows = spark.sql("VALUES " + ", ".join(f"('{t}')" for t in DURATIONS)).toDF("text").union(made).distinct()
     return rows.select("text", S.duration_nanos("text").alias("nanos"))
 
 

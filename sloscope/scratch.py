@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+#: Folders of applications whose session names none.
+_own: dict[str, str] = {}
+
+
 def base_folder(spark: SparkSession) -> str:
     """The application's folder below ``spark.checkpoint.dir``.
 
@@ -18,8 +22,10 @@ def base_folder(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='sloscope-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        application = spark.sparkContext.applicationId
+        if application not in _own:
+            _own[application] = f"file://{tempfile.mkdtemp(prefix='sloscope-')}"
+        base = _own[application]
     return f"{base.rstrip('/')}/sloscope-{spark.sparkContext.applicationId}"
 
 
