@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sloscope.functions import scalars as S
 from sloscope.operators import anomaly, buckets, detectors, quantiles, slo, windows
 from sloscope.queries import (
-    _FRAMES, _NAMED, _STEP, ALERTS_SQL, FOUND_SQL, LIMITS_SQL, ORACLES, SEVERITY_SQL, TIERS_SQL, Z_SQL, _limits, _pick, _stream, burn_sql, last_minute, load, objectives, query, rounded, slo_sql, spelt, window_sql,
+    _FRAMES, _NAMED, _STEP, ALERTS_SQL, COUNTS, FOUND_SQL, LIMITS_SQL, ORACLES, SEVERITY_SQL, TIERS_SQL, Z_SQL, _limits, _pick, _stream, burn_sql, last_minute, load, objectives, query, rounded, slo_sql, spelt, window_sql,
 )
 from sloscope.scratch import shared_folder
 from sloscope.streaming import burning, pipeline, store
@@ -88,6 +88,38 @@ def _(spark, d):
     return rounded(slo.flat_alerts(store.stored_budgets(spark, home, objectives(spark), as_of_minute=at)))
 
 
+CUSTOM_TIERS = ((1, 2.0, 360, 60, "page", "six-hours"), (2, 1.2, 4320, 30, "ticket", "three-days"), (3, 50.0, 60, 5, "page", "never"))
+_CUSTOM_SQL = "(VALUES " + ", ".join(f"({n}, '{label}', '{severity}', {rate}::DOUBLE, {a}, {b})" for n, rate, a, b, severity, label in CUSTOM_TIERS) + ") AS tiers(tier_no, tier_label, severity, rate, lw, sw)"
+
+
+@query("stored_custom_tiers", slo_sql("availability") + f", {ALERTS_SQL.replace(TIERS_SQL, _CUSTOM_SQL)} SELECT slo, tier_no, tier_label, severity, round(long_burn_rate, 6) AS long_burn_rate, round(short_burn_rate, 6) AS short_burn_rate, long_total, short_total FROM alerts")
+def _(spark, d):
+    """Tiers of a user's own: other windows, rates and names."""
+    home, at, _ = stored(spark, d)
+    return rounded(slo.flat_alerts(store.stored_budgets(spark, home, objectives(spark), CUSTOM_TIERS, at), CUSTOM_TIERS))
+
+
+@query("latest_evaluation", slo_sql("availability") + f" SELECT slo, objective, round({burn_sql('60')}, 6) AS burn_rate_1h, round({burn_sql('full')}, 6) AS burn_rate_full_window FROM sums")
+def _(spark, d):
+    """What the periodic evaluation of a store has kept last; an evaluation of an earlier minute stands before it."""
+    home, at, _ = stored(spark, d)
+    keep = pipeline.evaluations(spark, f"{home}/evaluations")
+    for n, minute in enumerate((at - 5000, at)):
+        found = slo.evaluation_of(store.stored_budgets(spark, home, objectives(spark), as_of_minute=minute))
+        keep.put(found.withColumn("evaluated_at", F.current_timestamp()), "periodic", n)
+    return rounded(pipeline.latest_evaluation(spark, f"{home}/evaluations").select("slo", "objective", "burn_rate_1h", "burn_rate_full_window"))
+
+
+@query("compacted_buckets", f"SELECT series, minute, {COUNTS}, 1::BIGINT AS parts FROM ev GROUP BY ALL")
+def _(spark, d):
+    """The minutes of a store after compaction: as many events as before, and one part a day."""
+    home, at, _ = stored(spark, d)
+    store.compact(spark, home)
+    rows = store.reader(spark, home)("minute", [(0, at)])
+    parts = rows.groupBy("series", "minute").agg(*[F.sum(c).alias(c) for c in buckets.COUNTERS], F.count("*").alias("parts"))
+    return spelt(parts)
+
+
 # --- streams ------------------------------------------------------------------------------
 
 

@@ -79,7 +79,8 @@ EVALUATION_SCHEMA = """slo string, objective double, burn_rate_1h double, burn_r
     alerts array<struct<tier_no: int, tier_label: string, severity: string, long_burn_rate: double, short_burn_rate: double, long_total: bigint, short_total: bigint>>"""
 
 
-def _evaluations(spark: SparkSession, keep: str) -> Kept:
+def evaluations(spark: SparkSession, keep: str) -> Kept:
+    """The kept table of evaluations: the newest two, by stream and batch."""
     return Kept(spark, keep, f"{EVALUATION_SCHEMA}, evaluated_at timestamp")
 
 
@@ -89,14 +90,14 @@ def evaluate_every(events: DataFrame, checkpoint: str, evaluate: Callable[[int],
     def step(batch: DataFrame, n: int) -> None:
         found = evaluate(n)
         if keep is not None and found is not None:
-            _evaluations(batch.sparkSession, keep).put(found.withColumn("evaluated_at", F.current_timestamp()), stream_id(batch), n)
+            evaluations(batch.sparkSession, keep).put(found.withColumn("evaluated_at", F.current_timestamp()), stream_id(batch), n)
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(processingTime=f"{max(1, seconds)} seconds").start()
 
 
 def latest_evaluation(spark: SparkSession, keep: str) -> DataFrame:
     """The newest result that ``evaluate_every`` kept: one row for each objective."""
-    return _evaluations(spark, keep).latest()
+    return evaluations(spark, keep).latest()
 
 
 def _observe(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
