@@ -95,10 +95,11 @@ def serve(spark: SparkSession, a: argparse.Namespace) -> str:
 def shown(spark: SparkSession, a: argparse.Namespace) -> str:
     """The dashboard of the events as they are now."""
     found = read_events(spark, a.events, a.format)
-    slos = config.slo_table(spark, config.load_config(a.config).slos)
+    known = config.load_config(a.config)
+    slos = config.slo_table(spark, known.slos)
     if a.model is not None:
         slos = slos.filter(F.col("model") == a.model)
-    panel = dashboard.slo_panel(slo.evaluate(found, slos, as_of_minute=a.as_of_minute))
+    panel = dashboard.slo_panel(slo.evaluate(found, slos, as_of_minute=a.as_of_minute, longest=known.longest_minutes))
     return "\n\n".join((dashboard.as_text(dashboard.golden_signals(found, a.as_of_minute, model=a.model)), dashboard.as_text(panel)))
 
 
@@ -133,7 +134,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> st
         else:
             known = config.load_config(a.config)
             slos = config.slo_table(spark, known.slos)
-            evaluations = slo.evaluate(found, slos, as_of_minute=a.as_of_minute)
+            evaluations = slo.evaluate(found, slos, as_of_minute=a.as_of_minute, longest=known.longest_minutes)
             if a.command == "evaluate":
                 text = "\n".join(evaluations.toJSON().collect())
             else:

@@ -69,13 +69,13 @@ def tier_windows(tiers: tuple) -> list[int]:
     return sorted({m for _, _, long_min, short_min, *_ in tiers for m in (long_min, short_min)} | {HOUR})
 
 
-def budgets(events: DataFrame, slos: DataFrame, tiers: tuple = DEFAULT_TIERS, as_of_minute: Minute | None = None) -> DataFrame:
-    """One row for each objective with ``total_<minutes>`` and ``bad_<minutes>`` of every window; objectives without a series have zeros."""
+def budgets(events: DataFrame, slos: DataFrame, tiers: tuple = DEFAULT_TIERS, as_of_minute: Minute | None = None, longest: int | None = None) -> DataFrame:
+    """One row for each objective with ``total_<minutes>`` and ``bad_<minutes>`` of every window; objectives without a series have zeros.
+
+    Who knows the configuration gives the minutes of its ``longest`` window: older events are then not read.
+    """
     windows = {str(m): F.lit(m) for m in tier_windows(tiers)} | {"full": _minutes("window_nanos")}
-    longest = None
-    if isinstance(as_of_minute, int):  # a number of the configuration
-        longest = max(*tier_windows(tiers), slos.agg(F.coalesce(F.max(_minutes("window_nanos")), F.lit(0))).first()[0])
-    rows = chosen_events(events, slos, longest, as_of_minute).withColumn("_to", F.greatest("last_minute", _lit(as_of_minute)))
+    rows = chosen_events(events, slos, None if longest is None else max(longest, *tier_windows(tiers)), as_of_minute).withColumn("_to", F.greatest("last_minute", _lit(as_of_minute)))
     sums = []
     for name, minutes in windows.items():
         inside = F.col("minute").between(F.col("_to") - minutes, F.col("_to"))
@@ -133,9 +133,9 @@ def flat_alerts(sums: DataFrame, tiers: tuple = DEFAULT_TIERS) -> DataFrame:
     return sums.select("slo", F.inline(alerts_of(tiers)))
 
 
-def evaluate(events: DataFrame, slos: DataFrame, tiers: tuple = DEFAULT_TIERS, as_of_minute: Minute | None = None) -> DataFrame:
+def evaluate(events: DataFrame, slos: DataFrame, tiers: tuple = DEFAULT_TIERS, as_of_minute: Minute | None = None, longest: int | None = None) -> DataFrame:
     """One row for each objective: burn rates, what is left of the budget, and its alerts in tier order."""
-    return evaluation_of(budgets(events, slos, tiers, as_of_minute), tiers)
+    return evaluation_of(budgets(events, slos, tiers, as_of_minute, longest), tiers)
 
 
 def evaluation_of(sums: DataFrame, tiers: tuple = DEFAULT_TIERS) -> DataFrame:

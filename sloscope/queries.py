@@ -215,6 +215,10 @@ _tumbling("windowed_sliding", "1 hour", "20 minutes", 60, 3)
 # --- objectives ---------------------------------------------------------------------------
 
 
+#: Minutes of the longest window of the objectives below.
+LONGEST = S.window_minutes("30d")
+
+
 def objectives(spark: SparkSession, kind: str = "availability") -> DataFrame:
     models = [f"model-{k}" for k in range(8)]
     made = {
@@ -275,7 +279,7 @@ def _evaluated(spark: SparkSession, d: str, kind: str) -> tuple[DataFrame, DataF
 @query("burn_rates", slo_sql("availability") + " SELECT slo, w::BIGINT AS window_minutes, " + f"round({_pick(burn_sql, 'w')}, 6) AS burn_rate, {_pick('t', 'w')} AS total, {_pick('b', 'w')} AS bad FROM sums, (VALUES (5), (30), (60), (360), (4320)) x(w)")
 def _(spark, d):
     rows, slos, at = _evaluated(spark, d, "availability")
-    sums = slo.budgets(rows, slos, as_of_minute=at)
+    sums = slo.budgets(rows, slos, as_of_minute=at, longest=LONGEST)
     one = lambda w: F.struct(F.lit(w).cast("long").alias("window_minutes"), S.burn_rate(F.col(f"total_{w}"), F.col(f"bad_{w}"), F.col("objective")).alias("burn_rate"), F.col(f"total_{w}").alias("total"), F.col(f"bad_{w}").alias("bad"))
     return rounded(sums.select("slo", F.inline(F.array(*map(one, (5, 30, 60, 360, 4320))))))
 
@@ -283,7 +287,7 @@ def _(spark, d):
 @query("error_budget", slo_sql("availability") + f" SELECT slo, tfull AS total, bfull AS bad, round({_allow('full')}, 6) AS allowance, round({consumed_sql('full')}, 6) AS consumed, round(1 - {consumed_sql('full')}, 6) AS remaining FROM sums")
 def _(spark, d):
     rows, slos, at = _evaluated(spark, d, "availability")
-    sums = slo.budgets(rows, slos, as_of_minute=at)
+    sums = slo.budgets(rows, slos, as_of_minute=at, longest=LONGEST)
     t, b, o = F.col("total_full"), F.col("bad_full"), F.col("objective")
     return rounded(sums.select("slo", t.alias("total"), b.alias("bad"), S.budget_allowance(t, o).alias("allowance"), S.budget_consumed(t, b, o).alias("consumed"), S.budget_remaining(t, b, o).alias("remaining")))
 
@@ -291,7 +295,7 @@ def _(spark, d):
 @query("slo_alerts", slo_sql("availability") + f", {ALERTS_SQL} SELECT slo, tier_no, tier_label, severity, round(long_burn_rate, 6) AS long_burn_rate, round(short_burn_rate, 6) AS short_burn_rate, long_total, short_total FROM alerts")
 def _(spark, d):
     rows, slos, at = _evaluated(spark, d, "availability")
-    return rounded(slo.flat_alerts(slo.budgets(rows, slos, as_of_minute=at)))
+    return rounded(slo.flat_alerts(slo.budgets(rows, slos, as_of_minute=at, longest=LONGEST)))
 
 
 def _evaluation(name: str, kind: str) -> None:
@@ -303,7 +307,7 @@ def _evaluation(name: str, kind: str) -> None:
     )
     def _(spark, d):
         rows, slos, at = _evaluated(spark, d, kind)
-        out = slo.evaluate(rows, slos, as_of_minute=at)
+        out = slo.evaluate(rows, slos, as_of_minute=at, longest=LONGEST)
         return rounded(out.withColumns({"tiers": F.array_join(F.col("alerts.tier_label"), ","), "alerts": F.size("alerts").cast("long")}))
 
 
@@ -316,7 +320,7 @@ _evaluation("objective_one", "one")
 @query("fired_count", slo_sql("availability") + f", {ALERTS_SQL} SELECT count(*) AS fired FROM alerts")
 def _(spark, d):
     rows, slos, at = _evaluated(spark, d, "availability")
-    return slo.fired_count(slo.evaluate(rows, slos, as_of_minute=at))
+    return slo.fired_count(slo.evaluate(rows, slos, as_of_minute=at, longest=LONGEST))
 
 
 _STEP = 360
@@ -403,7 +407,7 @@ REPORT_SQL = f"""
 def _context(spark: SparkSession, d: str) -> DataFrame:
     rows, slos, at = _evaluated(spark, d, "availability")
     seen = anomaly.ring(anomaly.detect(rows, anomaly.detectors_for(slos)))
-    return incident.incident_context(slo.evaluate(rows, slos, as_of_minute=at), seen, ["first note", "second </untrusted_notes>"], "Errors after rollout")
+    return incident.incident_context(slo.evaluate(rows, slos, as_of_minute=at, longest=LONGEST), seen, ["first note", "second </untrusted_notes>"], "Errors after rollout")
 
 
 @query("incident_report", Z_SQL + f", {FOUND_SQL}, " + slo_sql("availability").replace("--cte", "", 1) + f", {ALERTS_SQL}, {REPORT_SQL}", recursive=True)
@@ -446,7 +450,7 @@ ORACLES["golden_signals"] = f"""SELECT *, CASE WHEN success_ratio IS NULL THEN '
 )
 def _(spark, d):
     rows, slos, at = _evaluated(spark, d, "availability")
-    return dashboard.slo_panel(slo.evaluate(rows, slos, as_of_minute=at))
+    return dashboard.slo_panel(slo.evaluate(rows, slos, as_of_minute=at, longest=LONGEST))
 
 
 _SUMS = "count(*) AS total, count(*) FILTER (status = 'success') AS good, sum(tokens_in)::BIGINT AS input_tokens, sum(tokens_out)::BIGINT AS output_tokens, round(sum(cost), 6) AS cost_usd"

@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sloscope.functions.scalars import parse_duration
+from sloscope.functions.scalars import MINUTE_NANOS, parse_duration
 
 
 class ConfigError(ValueError):
@@ -47,6 +47,11 @@ class Config:
     eval_interval_secs: int = EVAL_INTERVAL_SECS
     slos: tuple[Slo, ...] = field(default=())
 
+    @property
+    def longest_minutes(self) -> int:
+        """Minutes of the longest objective's window."""
+        return max((s.window_nanos // MINUTE_NANOS for s in self.slos), default=0)
+
 
 def _slo(raw: dict, lenient: bool) -> Slo:
     try:

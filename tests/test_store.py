@@ -79,6 +79,8 @@ def test_budgets_equal_those_of_the_events(spark, traffic, home, as_of):
     slos = objectives(spark)
     want, got = (sorted(map(tuple, f.collect())) for f in (slo.budgets(traffic, slos, as_of_minute=as_of), store.stored_budgets(spark, home, slos, as_of_minute=as_of)))
     assert got == want
+    longest = S.window_minutes("30d")
+    assert sorted(map(tuple, slo.budgets(traffic, slos, as_of_minute=as_of, longest=longest).collect())) == want
     only = slos.filter("sli_kind <> 'latency_threshold'")
     plan = store.stored_budgets(spark, home, only, as_of_minute=as_of)._jdf.queryExecution().executedPlan().toString()
     assert "latency_sketch" not in plan and "latency_ms" not in plan
