@@ -40,9 +40,9 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: The form of a value behind its words: a phone or a card, perhaps with spaces, or six characters or more with a digit.
 VALUE = r"\+[0-9][\x20().0-9-]{6,20}[0-9]|[0-9](?:[\x20-]?[0-9]){11,18}(?![0-9])|(?=[^\x00-\x20]{0,63}[0-9])[^\x00-\x20\x22'<>|,;]{6,}+"
 _WORD = r"\p{L}[\p{L}0-9_]{0,31}+"
-#: Perhaps a word, a word, perhaps a quote, a separator (a line may end behind it), a line's end or a space, perhaps a quote, and a value.
+#: Perhaps a word, a word, perhaps a quote and a bracket, a separator (a line may end behind it), a line's end or a space, perhaps a quote, and a value.
 _BETWEEN = r"[\x20\t]{0,3}([:=#])[\x20\t\r\n]{0,3}|[.,]?[\x20\t]{0,3}(\r?\n)[\x20\t]{0,3}|[.,]?[\x20\t]{1,3}"
-CONTEXT = rf"(?<![\p{{L}}0-9_])(?:({_WORD})[\x20\t]{{1,3}})?({_WORD})[\x22'\]]?(?:{_BETWEEN})[\x22'(]?({VALUE})"
+CONTEXT = rf"(?<![\p{{L}}0-9_])(?:({_WORD})[\x20\t]{{1,3}})?({_WORD})[\x22'\]]{{0,2}}(?:{_BETWEEN})[\x22'(]?({VALUE})"
 SECRET = r"^(?:[0-9a-fA-F]{32,}|(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9_+/=-]{24,})$"
 
 ROUNDS, SEEDS, CONFIDENCE = 3, 3, 0.7
