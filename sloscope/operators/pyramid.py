@@ -10,6 +10,10 @@ batch, and the read is limited to those blocks by literal ranges that reach the
 
 The catalogue has one row a series: its last minute and a sketch of all its versions. So
 the window's right edge and the lifetime versions need no look at the history.
+
+A sketch knows a quantile only by rank, within its error once a block or a window has more
+latencies than it keeps. Where the quantile itself is asked for, the stored latencies of the
+window's minutes are read as well, and the value is selected from them by exact counts.
 """
 
 from __future__ import annotations
@@ -21,12 +25,15 @@ from pyspark.sql import functions as F
 
 from sloscope.functions import scalars as S
 from sloscope.operators.buckets import SKETCH_K, merge_buckets, with_totals
+from sloscope.operators.quantiles import exact_quantile
 from sloscope.operators.windows import Minute, _lit, quantile_of
 
 #: Minutes of a block of each level, and of the block above it.
 LEVELS = {"minute": (1, 60), "hour": (60, 1440), "day": (1440, None)}
 #: Reads the rows of a level whose block's first minute lies in one of the ranges.
 Reader = Callable[[str, list[tuple[int, int]]], DataFrame]
+#: Reads the latencies (series, minute, latency_ms) of a range of minutes.
+Latencies = Callable[[int, int], DataFrame]
 
 
 def roll_up(parts: DataFrame, level: str) -> DataFrame:
@@ -86,17 +93,24 @@ def right_edges(known: DataFrame, as_of_minute: Minute | None) -> tuple[int, int
     return None if low is None else (low, high)
 
 
-def stored_window(read: Reader, known: DataFrame, window: str | int, quantile: float = 0.95, as_of_minute: Minute | None = None) -> DataFrame:
+def stored_window(read: Reader, known: DataFrame, window: str | int, quantile: float = 0.95, as_of_minute: Minute | None = None, latencies: Latencies | None = None) -> DataFrame:
     """``window_query`` from stored levels and the merged catalogue; quantiles and versions are the sketches'.
 
+    With ``latencies`` the quantile is exact, a value of the window at any number of events.
     A series without events in the window has a row with nothing in it.
     """
     minutes, q = S.window_minutes(window), min(1.0, max(0.0, quantile))
     low, high = right_edges(known, as_of_minute) or (0, 0)
     to = F.greatest("last_minute", _lit(as_of_minute)).alias("to")
-    rows = blocks(read, [minutes], low, high, "total", "good", "server_failures", "latency_sketch").join(known.select("series", to), "series")
-    sums = [F.sum(c).alias(c) for c in ("total", "good", "server_failures")]
-    found = rows.filter(covers(minutes, F.col("to"))).groupBy("series").agg(*sums, F.kll_merge_agg_double("latency_sketch", F.lit(SKETCH_K)).alias("sketch"))
-    found = found.withColumn("latency_quantile_ms", quantile_of("sketch", q)).drop("sketch")
+    edges, counts = known.select("series", to), ("total", "good", "server_failures")
+    sums = [F.sum(c).alias(c) for c in counts]
+    rows = blocks(read, [minutes], low, high, *counts, *(() if latencies else ("latency_sketch",))).join(edges, "series").filter(covers(minutes, F.col("to")))
+    if latencies:
+        values = latencies(low - minutes, high).join(edges, "series").filter(F.col("minute").between(F.col("to") - minutes, F.col("to")))
+        exact = exact_quantile(values.select("series", F.col("latency_ms").alias("v")), q, discrete=True)
+        found = rows.groupBy("series").agg(*sums).join(exact.select("series", F.col("quantile").alias("latency_quantile_ms")), "series", "left")
+    else:
+        found = rows.groupBy("series").agg(*sums, F.kll_merge_agg_double("latency_sketch", F.lit(SKETCH_K)).alias("sketch"))
+        found = found.withColumn("latency_quantile_ms", quantile_of("sketch", q)).drop("sketch")
     out = known.join(found, "series", "left").na.fill(0, ["total", "good", "server_failures"])
     return out.select("series", F.coalesce("model", F.lit("unknown")).alias("model"), "total", "good", "server_failures", S.success_ratio().alias("success_ratio"), F.lit(q).alias("quantile"), "latency_quantile_ms", "model_version_cardinality")

@@ -43,11 +43,16 @@ def _proposed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"a": F.when(low == 0, F.col("lo")).otherwise(at(low)), "b": F.when(high == GRID, F.col("hi")).otherwise(at(high))}).drop("grid")
 
 
-def exact_quantile(values: DataFrame, q: float, limit: int = LIMIT) -> DataFrame:
-    """series, n and quantile (interpolated as ``percentile`` does) of ``values`` (series, v); null values don't count."""
+def exact_quantile(values: DataFrame, q: float, limit: int = LIMIT, discrete: bool = False) -> DataFrame:
+    """series, n and quantile (interpolated as ``percentile`` does) of ``values`` (series, v); null values don't count.
+
+    With ``discrete`` the quantile is the least value with a share ``q`` of the values up to it, as ``percentile_disc`` has it.
+    """
     values = values.filter("v IS NOT NULL").select("series", "v")
     first = values.groupBy("series").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), _sketch(F.col("v")).alias("grid"))
     place = (F.col("n") - 1) * F.lit(float(q))
+    if discrete:  # rounded, so that a product next to a whole number counts as that number
+        place = F.greatest(F.ceil(F.round(F.col("n") * F.lit(float(q)), 7)) - 1, F.lit(0)).cast("double")
     first = first.select("series", "n", place.alias("place"), F.floor(place).cast("long").alias("k"), "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"), "grid")
     known = _written(_proposed(first))
     done = (F.col("inside") <= limit) | (F.col("lo") == F.col("hi"))

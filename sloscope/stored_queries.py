@@ -34,9 +34,9 @@ def stored(spark: SparkSession, d: str) -> tuple[str, int | None, DataFrame]:
 def _stored_window(name: str, window: str, minutes: int) -> None:
     @query(name, window_sql(minutes).replace("quantile_cont", "quantile_disc"))
     def _(spark, d):
-        """So few events that the sketches hold every latency: the quantile is a value of the window."""
+        """Counters from the levels; the quantile is a value of the window, selected from its stored latencies."""
         home, at, _ = stored(spark, d)
-        return rounded(spelt(store.stored_window(spark, home, window, 0.95, at)))
+        return rounded(spelt(store.stored_window(spark, home, window, 0.95, at, exact=True)))
 
 
 _stored_window("stored_window_5m", "5m", 5)

@@ -1,9 +1,10 @@
-"""The store of a stream: levels of bucket partials and the catalogue of series, by batch.
+"""The store of a stream: levels of bucket partials, latencies and the catalogue of series, by batch.
 
 Every micro-batch adds a folder of its own to each level and to the catalogue; a batch that
 is run again replaces its folders, and a new checkpoint has a stream id of its own, so no
 stream touches another's. Minutes are partitioned by day, and rows are sorted by minute, so
-that ranges of minutes prune folders, files and row groups.
+that ranges of minutes prune folders, files and row groups. So are the latencies, one short
+row an event, which only exact quantiles read.
 
 Compaction merges the minutes of days that several batches have written to. Its output is a
 batch of the stream COMPACT that nobody sees until a kept table names it, with the parts of
@@ -20,6 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sloscope.functions import scalars as S
 from sloscope.operators import buckets, pyramid, slo
 from sloscope.operators.windows import Minute
 from sloscope.streaming.kept import Kept, exists, located
@@ -28,6 +30,7 @@ SERIES = "series struct<metric: string, labels: array<struct<key: string, value:
 _PLACE = "stream_id string, batch_id long"
 LEVEL_SCHEMA = f"{SERIES}, minute long, success long, client_error long, server_error long, timeout long, latency_sketch binary, version_sketch binary, {_PLACE}"
 CATALOGUE_SCHEMA = f"{SERIES}, last_minute long, version_sketch binary, {_PLACE}"
+LATENCY_SCHEMA = f"{SERIES}, minute long, latency_ms double, {_PLACE}, event_date date"
 
 
 #: The stream that compactions write as.
@@ -50,11 +53,13 @@ def _day(minute: Column) -> Column:
 
 
 def write_store(batch: DataFrame, batch_id: int, home: str, stream: str | None = None) -> None:
-    """One micro-batch's partials at every level, and its series; each level is made of the one below."""
+    """One micro-batch's partials at every level, its latencies and its series; each level is made of the one below."""
     spark, stream = batch.sparkSession, stream or stream_id(batch)
-    place = {name: batch_folder(f"{home}/{name}", stream, batch_id) for name in (*pyramid.LEVELS, "catalogue")}
+    place = {name: batch_folder(f"{home}/{name}", stream, batch_id) for name in (*pyramid.LEVELS, "latency", "catalogue")}
     parts = buckets.minute_buckets(batch, sketches=True).withColumn("event_date", _day(F.col("minute")))
     parts.repartition("event_date").sortWithinPartitions("event_date", "minute").write.mode("overwrite").partitionBy("event_date").parquet(place["minute"])
+    values = buckets.with_series(batch).select("series", "minute", S.finite("latency_ms").alias("latency_ms"), _day(F.col("minute")).alias("event_date")).filter("latency_ms IS NOT NULL")
+    values.hint("rebalance", "event_date").sortWithinPartitions("event_date", "minute").write.mode("overwrite").partitionBy("event_date").parquet(place["latency"])
     below = spark.read.schema(f"{LEVEL_SCHEMA}, event_date date").parquet(place["minute"]).drop("event_date", "stream_id", "batch_id")
     pyramid.catalogue_of(below).write.mode("overwrite").parquet(place["catalogue"])
     for level in ("hour", "day"):
@@ -122,9 +127,22 @@ def reader(spark: SparkSession, home: str) -> pyramid.Reader:
     return read
 
 
-def stored_window(spark: SparkSession, home: str, window: str | int, quantile: float = 0.95, as_of_minute: Minute | None = None) -> DataFrame:
-    """The rolling window of every series of the store."""
-    return pyramid.stored_window(reader(spark, home), catalogue(spark, home), window, quantile, as_of_minute)
+def latencies(spark: SparkSession, home: str) -> pyramid.Latencies:
+    def read(low: int, high: int) -> DataFrame:
+        rows, day = _read(spark, home, "latency", LATENCY_SCHEMA), lambda m: _day(F.lit(m).cast("long"))
+        return rows.filter(F.col("minute").between(low, high) & F.col("event_date").between(day(low), day(high))).select("series", "minute", "latency_ms")
+
+    return read
+
+
+def stored_window(spark: SparkSession, home: str, window: str | int, quantile: float = 0.95, as_of_minute: Minute | None = None, exact: bool = False) -> DataFrame:
+    """The rolling window of every series of the store.
+
+    ``exact`` selects the latency quantile from the stored latencies of the window, else it
+    is the sketches', within their rank error. A store that was written before latencies
+    were kept has sketches only.
+    """
+    return pyramid.stored_window(reader(spark, home), catalogue(spark, home), window, quantile, as_of_minute, latencies(spark, home) if exact else None)
 
 
 def stored_budgets(spark: SparkSession, home: str, slos: DataFrame, tiers: tuple = slo.DEFAULT_TIERS, as_of_minute: int | None = None) -> DataFrame:

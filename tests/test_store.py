@@ -6,11 +6,13 @@ import random
 import sys
 
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from sloscope import queries, stored_queries  # noqa: F401  registers more of them
 from sloscope.functions import scalars as S
 from sloscope.operators import anomaly, buckets, detectors, pyramid, quantiles, slo, windows
 from sloscope.sources import config, events, simulate
@@ -69,6 +71,36 @@ def test_window_equals_that_of_the_events(spark, traffic, home, window, as_of):
     assert not want
 
 
+def test_stored_quantiles_are_exact_at_any_number_of_events(spark, tmp_path):
+    """More latencies in a minute than its sketch keeps, among them ties and ones that aren't finite; late and early batches."""
+    rng = np.random.default_rng(7)
+    made = [(m, float(v)) for m, n in ((2879, 9000), (1500, 4000), (1439, 500), (1438, 3000)) for v in rng.gamma(2, 60, n).round(1)]
+    rows = [(k, m * S.MINUTE_NANOS, f"m{k % 2}", "v", v, "success", None, None, None, {}) for k, (m, v) in enumerate(made)]
+    rows += [(-1, 2879 * S.MINUTE_NANOS, "m0", "v", float("inf"), "success", None, None, None, {}), (-2, 2879 * S.MINUTE_NANOS, "none", "v", float("nan"), "success", None, None, None, {})]
+    events_, home = spark.createDataFrame(rows, SCHEMA), f"file://{tmp_path}"
+    for n in (1, 0, 1):
+        store.write_store(events_.filter(F.pmod("arrival_seq", F.lit(2)) == n), n, home)
+    for q in (0.0, 0.07, 0.5, 0.95, 1.0):
+        got = {r["model"]: (r["total"], r["latency_quantile_ms"]) for r in store.stored_window(spark, home, "1d", q, 2879, exact=True).collect()}
+        held = {m: sorted(v for k, (at, v) in enumerate(made) if k % 2 == j and at >= 1439) for j, m in enumerate(("m0", "m1"))}
+        least = lambda v: v[max(0, -(-round(q * 100) * len(v) // 100) - 1)]
+        assert got == {"m0": (len(held["m0"]) + 1, least(held["m0"])), "m1": (len(held["m1"]), least(held["m1"])), "none": (1, None)}
+    plan = store.latencies(spark, home)(1439, 2879)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(minute,1439), LessThanOrEqual(minute,2879)" in plan and "(event_date#" in plan[plan.index("PartitionFilters") :]
+
+
+@pytest.mark.parametrize("name", ["stored_window_1d"])
+def test_queries_of_days_with_more_latencies_than_a_sketch_keeps(spark, tmp_path, name):
+    folder, con = str(tmp_path), duckdb.connect()
+    con.sql(
+        f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-03-01 10:00:00' + INTERVAL (i * 7 % 2000) MINUTE AS ts, i % 2 AS user_id, 'view' AS event_type,
+        round(hash(i) % 100003 / 7, 2)::DOUBLE AS value, '{{"k": ' || i % 100 || '}}' AS props FROM range(30000) t(i)) TO '{folder}/events.parquet'"""
+    )
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    got, want = queries.QUERIES[name](spark, folder), con.sql(queries.ORACLES[name])
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
 def objectives(spark):
     slow = ("latency_threshold", 80.0, 0.95)
     return config.slo_table(spark, [config.Slo("a", "a", 0.9, "30d"), config.Slo("as", "a", 0.7, "7d", *slow), config.Slo("b", "b", 0.95, "3d"), config.Slo("bs", "b", 0.95, "3d", *slow), config.Slo("c", "c", 0.8, "30d"), config.Slo("gone", "z", 0.8, "1d")])
