@@ -140,7 +140,7 @@ def _(spark, d):
     for running in pipeline.serve(_stream(spark, d), anomaly.detector_table(spark, _limits()), home, shared_folder(spark, "stream-checkpoint")):
         running.awaitTermination()
     known = store.catalogue(spark, f"{home}/store")
-    return rounded(spelt(store.stored_window(spark, f"{home}/store", "1d", 0.95, known.agg(F.max("last_minute")).first()[0])))
+    return rounded(spelt(store.stored_window(spark, f"{home}/store", "1d", 0.95, known.agg(F.max("last_minute")).first()[0], exact=True)))
 
 
 @query(

@@ -89,7 +89,7 @@ def test_stored_quantiles_are_exact_at_any_number_of_events(spark, tmp_path):
     assert "GreaterThanOrEqual(minute,1439), LessThanOrEqual(minute,2879)" in plan and "(event_date#" in plan[plan.index("PartitionFilters") :]
 
 
-@pytest.mark.parametrize("name", ["stored_window_1d"])
+@pytest.mark.parametrize("name", ["stored_window_1d", "serve_windows"])
 def test_queries_of_days_with_more_latencies_than_a_sketch_keeps(spark, tmp_path, name):
     folder, con = str(tmp_path), duckdb.connect()
     con.sql(
