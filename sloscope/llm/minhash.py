@@ -18,7 +18,9 @@ left out. Candidates must agree in as many places as the threshold makes all but
 (six standard deviations). The parities of the elements dealt to PARITIES bits (Mitzenmacher,
 Pagh & Pham, 2014) differ in no more bits than the sets in elements, so a pair with more
 differing bits than the threshold allows is no link: in a group whose members are nearly
-similar, pairs end in the join. Every link is verified on the whole sets.
+similar, pairs end in the join. Every link is verified on the whole sets. Where the texts'
+SimHash fingerprints are taken along, the pairs that these link are verified first, and
+bands only meet what is then still in different components.
 
 Defined cases: a null or empty text and one without words have an empty set, linked with
 nothing; fewer words than a shingle make one shingle of the whole sequence; case (A-Z) and
@@ -42,6 +44,7 @@ from pyspark.sql import functions as F
 
 from sloscope.llm.common import KEY, passing, row_key, stash, table
 from sloscope.llm.components import connected_components
+from sloscope.llm.simhash import _fingerprints, fingerprint_pairs
 
 WIDTH = 5
 SEED = 42
@@ -159,10 +162,15 @@ def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], names=[*names, "node", "n", "keys", "signs"])
 
 
-def with_prints(texts: DataFrame) -> DataFrame:
-    """``texts`` with node (the set's name), n (its size), keys (of its bands) and signs (places and parities) in place of ``text``."""
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema.fields if f.name != "text")
-    return texts.mapInArrow(_printed, f"{kept}, {_PRINTS}")
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_printed`` behind the SimHash fingerprint of three-word shingles, in one worker."""
+    return _printed(_fingerprints(batches, 3))
+
+
+def with_prints(texts: DataFrame, fingerprints: bool = False) -> DataFrame:
+    """``texts`` with node (the set's name), n (its size), keys (of its bands) and signs (places and parities) in place of ``text``; with ``fingerprints`` also _fp."""
+    kept = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema.fields if f.name != "text"), *(["_fp long"] if fingerprints else [])])
+    return texts.mapInArrow(_marked if fingerprints else _printed, f"{kept}, {_PRINTS}")
 
 
 def similar(a: np.ndarray, b: np.ndarray, near: int = NEAR) -> bool:
@@ -259,10 +267,11 @@ def _pairs(members: DataFrame, heads: DataFrame, near: int) -> DataFrame:
     return found.union(_met(large.withColumn("cell", F.explode(cells)).drop("chunks", "chunk"), near, "key", "cell"))
 
 
-def similar_roots(heads: DataFrame, texts: DataFrame, near: int = NEAR) -> DataFrame:
+def similar_roots(heads: DataFrame, texts: DataFrame, near: int = NEAR, first: DataFrame | None = None) -> DataFrame:
     """node, root for each set that has a similar one; ``heads`` has node, n, keys, signs and a row (head) of each distinct set.
 
-    Nodes are known by 64 bits of their sets' hash. ``texts`` has KEY and text.
+    Nodes are known by 64 bits of their sets' hash. ``texts`` has KEY and text. The pairs a, b
+    of ``first`` are verified before the bands, whether they share one or not.
     """
     keyed = heads.select(F.explode("keys").alias("key"), "node")
     met = stash(keyed.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1"), "minhash-met")
@@ -270,9 +279,16 @@ def similar_roots(heads: DataFrame, texts: DataFrame, near: int = NEAR) -> DataF
     weights = weighed.groupBy("node").agg(F.sum("many").alias("weight"))
     known = stash(heads.join(weights, "node").select("node", "n", "weight", "head", *(F.col("signs")[k].alias(c) for k, c in enumerate((*SIGNS, *ODDS)))), "minhash-known")
     members = stash(weighed.select("key", "node").join(known.drop("head"), "node"), "minhash-members")
-    own = texts.join(_told(known.select("node", *(f"head.{c}" for c in KEY))), list(KEY)).select("node", "text").mapInArrow(_sets, "node long, own binary")
+    wanted = known.select("node", *(f"head.{c}" for c in KEY))
+    if first is not None:
+        paired = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
+        wanted = stash(wanted.union(heads.join(_told(paired), "node", "left_semi").select("node", *(f"head.{c}" for c in KEY))).distinct(), "minhash-wanted")
+    own = texts.join(_told(wanted), list(KEY)).select("node", "text").mapInArrow(_sets, "node long, own binary")
     own = stash(own.dropDuplicates(["node"]), "minhash-sets")
     links, rooted = None, members.withColumn("root", F.col("node"))
+    if first is not None:
+        links = _links(first, own, near)
+        rooted = stash(members.join(stash(connected_components(links), "minhash-roots"), "node", "left").withColumn("root", F.coalesce("root", "node")), "minhash-rooted")
     for turn in range(ROUNDS + 1):
         if turn < ROUNDS:
             order = F.struct((F.lit(0) if turn else -F.col("weight")).cast("long").alias("w"), F.xxhash64("node", F.lit(turn)).alias("o"), *(F.col(c).alias(f"{c}_b") for c in _MEMBER))
@@ -293,18 +309,20 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     return docs.select(*row_key(), F.col("doc_id").isNull().alias("_no_id"), F.col("text").cast("string").alias("text"))
 
 
-def components(docs: DataFrame, near: int = NEAR, empty_alike: bool = False) -> tuple[DataFrame, DataFrame]:
+def components(docs: DataFrame, near: int = NEAR, empty_alike: bool = False, fingerprints: bool = False) -> tuple[DataFrame, DataFrame]:
     """Each row's prints (KEY, _no_id, node, n), and for sets with several rows or links node, head (the first row's KEY) and size.
 
     With ``empty_alike`` texts without words are equal; else they are linked with nothing.
+    With ``fingerprints`` the links of SimHash are verified first.
     """
     texts = keyed_texts(docs)
     with passing(docs.sparkSession):
-        whole = stash(with_prints(texts), "minhash-prints")
+        whole = stash(with_prints(texts, fingerprints), "minhash-prints")
         head = F.min(F.struct("_no_id", *KEY)).alias("head")
         heads = whole.filter("n >= 0" if empty_alike else "n > 0").groupBy("node").agg(head, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("signs").alias("signs"))
         heads = stash(heads, "minhash-heads")
-        roots = similar_roots(heads, texts, near)
+        first = stash(fingerprint_pairs(whole.filter("n > 0").select("node", "_fp")), "minhash-first") if fingerprints else None
+        roots = similar_roots(heads, texts, near, first)
         members = stash(heads.join(roots, "node", "left").select("node", "head", "copies", F.coalesce("root", "node").alias("root")), "minhash-members")
         least = members.groupBy("root").agg(F.min("head").alias("head"), F.sum("copies").alias("size")).filter("size > 1")
         found = stash(members.select("node", "root").join(least, "root").select("node", "head", "size"), "minhash-found", keep=True)

@@ -273,6 +273,23 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return family(_rooted(distinct.select("fp"), exact), exact, True)
 
 
+def fingerprint_pairs(marks: DataFrame) -> DataFrame:
+    """a, b: pairs of ``node`` whose fingerprints (``_fp``) are equal or linked, enough to join all that are.
+
+    ``marks`` has a row for each node and fingerprint. Linked fingerprints meet by one node
+    of each, and so do nodes of one fingerprint: as many pairs as links of a forest.
+    """
+    marks = stash(marks.distinct(), "simhash-marks")
+    ones = stash(marks.groupBy(F.col("_fp").alias("fp")).agg(F.min("node").alias("one"), F.count("*").alias("nodes")), "simhash-ones")
+    links = stash(fingerprint_links(ones.select("fp")), "simhash-met")
+    several, ends = ones.filter("nodes > 1"), links.select(F.col("a").alias("fp")).union(links.select("b")).distinct()
+    several = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several
+    alike = marks.join(several, marks["_fp"] == several["fp"]).select(F.col("node").alias("a"), F.col("one").alias("b"))
+    ends = stash(ones.join(ends, "fp", "left_semi").select("fp", "one"), "simhash-ends")
+    near = links.join(ends.toDF("a", "one"), "a").join(ends.toDF("b", "other"), "b").select(F.col("one").alias("a"), F.col("other").alias("b"))
+    return alike.union(near).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def fingerprint_components(prints: DataFrame, *carried: str) -> DataFrame:
     """fp, and the least value of each carried column over the fingerprint's component."""
     least = [F.min(c).alias(c) for c in carried]

@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sloscope.llm import minhash, near_dedup
+from sloscope.llm import minhash, near_dedup, simhash
 
 WORDS = [f"{a}{b}" for a in ("river", "stone", "cloud", "née") for b in "abcdefghij"]
 
@@ -86,6 +87,32 @@ def test_a_dense_group_gives_few_pairs(spark):
     assert sum(seen) < 20 * 300
 
 
+def test_fingerprints_within_three_bits_are_met_and_verified(spark, monkeypatch):
+    """With the bands shut, SimHash alone joins what it links, but only what is similar."""
+    monkeypatch.setattr(minhash, "_may_match", lambda *_: F.lit(False))
+    rng = random.Random(9)
+    texts = []
+    for k in range(12):
+        words = [f"{rng.choice(WORDS)}{rng.randrange(500)}" for _ in range(1500)]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            words[rng.randrange(1500)] = "changed"
+            texts.append(" ".join(words))
+    common = "one two three " * 400
+    alike = len(texts)  # one repeated phrase decides the fingerprints of texts that are not similar
+    texts += [common + " ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(3)]
+    prints, sets, root = [simhash.fingerprint(t) for t in texts], [plain_shingles(t) for t in texts], list(range(len(texts)))
+    near = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3
+    assert near(alike, alike + 1) and near(alike, alike + 2)
+    for a in range(len(texts)):
+        for b in range(a):
+            if near(a, b) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    got = corpus_pipeline.near(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "")
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root)) and len(set(root)) < 30
+
+
 @pytest.mark.parametrize("near", [0.80, 0.85])
 def test_no_link_at_the_threshold_is_lost(near):
     """Of 400 pairs just at the threshold all share three bands, as cut bands need, and agree in enough places."""
